@@ -10,9 +10,12 @@ digest, so copies cost nothing more. A representative's signature of COORDINATES
   (by count, then token), so only those are posted. A document with that many tokens of its own has no candidates.
 * Skip merging: a list whose documents all belong to one component is skipped from then on. Instead of all pairs of a
   list, its documents first meet the list's hub, the document whose tokens are the most frequent (in a group of copies
-  with edits: the one nearest to all others). Confirmed links merge components, the lists are looked at again, and
-  only what still lies in different components of a list is paired, after HUB_ROUNDS rounds document by document.
+  with edits: the one nearest to all others). Confirmed links merge components, and the lists are looked at again.
 * Counting: a pair goes on if its signatures agree in MATCHES coordinates or more, and is confirmed on the full sets.
+* The rest: documents of lists that are still open after HUB_ROUNDS rounds are joined on prefixes of their full sets,
+  rarest shingles first, across components only. A pair that shares its first prefix shingle at places p and q has at
+  most 1 + min(n - p, m - q) shingles in common; one that can't reach the threshold is never made. This step misses no
+  link between such documents.
 
 With 64 coordinates and a match threshold of 32, a pair of resemblance 0.75 is missed with probability 8e-6 (binomial
 tail); every reported link is exact.
@@ -141,6 +144,28 @@ def _open_lists(posted: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(mixed, "token")
 
 
+def _rest(open_docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components that prefixes of full sets can't rule out. open_docs: doc_id, comp.
+
+    Of two sets the smaller one (by size, then id) needs only the first n - ceil(2t / (1 + t) n) + 1 of its shingles,
+    the other n - ceil(t n) + 1, t the threshold.
+    """
+    rows = sets.join(open_docs, "doc_id").select("doc_id", "comp", F.explode("shingles").alias("g"))
+    counts = rows.groupBy("g").agg(F.count("*").alias("f"))
+    ranked = rows.join(counts, "g").groupBy("doc_id", "comp").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("s"))  # one document's set
+    n = F.size("s")
+    probe = n - F.ceil(n * percent / 100.0 - 1e-9) + 1
+    index = n - F.ceil(n * 2.0 * percent / (100.0 + percent) - 1e-9) + 1
+    posted = ranked.select("doc_id", "comp", n.alias("n"), index.alias("index"), F.posexplode(F.slice("s", F.lit(1), probe.cast("int"))).alias("p", "x")).filter("x.f > 1")
+    posted = materialise(posted.select("doc_id", "comp", "n", "index", (F.col("p") + 1).alias("p"), F.col("x.g").alias("g")), "rest")
+    left = posted.filter("p <= index").drop("index")
+    right = posted.select("g", F.col("doc_id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("m"), F.col("p").alias("q"))
+    reach = (100 + percent) * (1 + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q"))) >= percent * (F.col("n") + F.col("m"))
+    smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("doc_id") < F.col("y")))
+    pairs = left.join(right.withColumnRenamed("g", "h"), (F.col("g") == F.col("h")) & (F.col("comp") != F.col("cy")) & smaller & (100 * F.col("n") >= percent * F.col("m")) & reach)
+    return pairs.select(F.least("doc_id", "y").alias("a"), F.greatest("doc_id", "y").alias("b"))
+
+
 def link(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs that has an id."""
     rows = documents(docs, id_col, text_col).filter(F.col("doc_id").isNotNull())
@@ -174,8 +199,7 @@ def link(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATES, mat
             hubs = hubs.join(labels.select(F.col("doc_id").alias("hub"), F.col("comp").alias("hc")), "hub")
             pairs = lists.join(hubs, "token").filter("comp <> hc").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
         else:
-            right = lists.select("token", F.col("doc_id").alias("y"), F.col("comp").alias("cy"))
-            pairs = lists.join(right, "token").filter("doc_id < y and comp <> cy").select(F.col("doc_id").alias("a"), F.col("y").alias("b"))
+            pairs = _rest(lists.select("doc_id", "comp").distinct(), sets, percent)
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -183,7 +207,7 @@ def link(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATES, mat
         if pairs.isEmpty():
             continue
         done = pairs if done is None else done.unionByName(pairs)
-        links = materialise(_confirmed(pairs, near, sets, matches, percent), "links")
+        links = materialise(_confirmed(pairs, near, sets, matches if k < HUB_ROUNDS else 0, percent), "links")
         labels = components(labels, links)
     # Back to all rows: by class, then by component; a class whose representative had no candidates is its own.
     rep_comp = reps.select("doc_id", "digest").join(labels, "doc_id", "left").select("digest", F.coalesce("comp", "doc_id").alias("comp"))

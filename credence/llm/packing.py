@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from credence.llm.common import documents, materialise, parallel
 CAPACITY, END = 4096, 1
 SALTS = 64
 #: Words held by a worker between tasks; later ones are encoded where they occur.
-CACHE = 400_000
+CACHE = 150_000
 CHUNK = 1 << 20
 
 # -- tokenising ------------------------------------------------------------------------------------------------------
@@ -36,6 +37,11 @@ _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹
 _BEYOND = re.compile("[^\x00-\xff]")
 
 
+#: How a byte-level vocabulary writes bytes: those that print as themselves, the others as letters from U+0100 on.
+_PRINTING = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTING)}
+
+
 class Encoder:
     """ids of texts as little-endian 32-bit bytes, by a public tokenizer and a bounded cache of its words.
 
@@ -47,6 +53,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
+
+    def _cut(self, word: str) -> bytes:
+        """ids of one cut, by the tokenizer's own model: what it does with a cut, without what it notes besides."""
+        plain = word if word.isascii() and word.isalnum() else word.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(plain)]
+        return pack_ids(f"<{len(ids)}I", *ids)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -74,7 +87,7 @@ class Encoder:
         new = list(set().union(*cut).difference(cache))
         known = cache
         if new:
-            ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+            ids = [self._cut(w) for w in new]
             if len(cache) + len(new) <= CACHE:
                 cache.update(zip(new, ids))
             else:
@@ -122,10 +135,10 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
         enc, end = encoder(path), np.array([END], "<u4").tobytes()
         for b in batches:
             ids, ends = b.column("doc_id").to_pylist(), b.column("text")
-            for a in range(0, len(ids), 2000):
-                texts = [x.as_py() or "" for x in ends.slice(a, 2000)]
+            for a in range(0, len(ids), 500):
+                texts = [x.as_py() or "" for x in ends.slice(a, 500)]
                 rows, held = [], []
-                for d, raw in zip(ids[a : a + 2000], enc.encode(texts)):
+                for d, raw in zip(ids[a : a + 500], enc.encode(texts)):
                     raw += end
                     n = len(raw) // 4
                     for k, s in enumerate(range(0, n, capacity)):

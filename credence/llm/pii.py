@@ -221,8 +221,8 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         return []
     out = []
     for kind, a, b in base_spans(p.text):
-        if b > a and any(p.changed[a:b]):
-            s, e = p.at[a], p.to[b - 1]
+        s, e = p.at[a], p.to[b - 1]
+        if any(p.changed[a:b]) or e - s != b - a:  # a rewritten character, or one that vanished
             if not any(k == kind and s < y and x < e for k, x, y in base) and not any(k == kind and s < y and x < e for k, x, y in out):
                 out.append((kind, s, e))
     return out

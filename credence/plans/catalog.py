@@ -809,3 +809,42 @@ def session_machine_batch(spark, sf):
 
     e = table(spark, sf, "events").select(F.col("user_id").alias("problem_id"), F.col("event_id").alias("recv_index"), F.when(F.col("event_id") % 3 == 0, "assistant").otherwise("user").alias("role"), F.col("event_type").alias("content"), (F.col("event_id") % 4 == 0).alias("is_message_end"), F.lit(False).alias("is_trajectory_end"))
     return batch_equivalent(e)
+
+
+# -- replay ----------------------------------------------------------------------------------------------------------------
+
+
+def _replayed(spark, sf, strategy, **options):
+    from credence.operators import replay
+
+    n = B.nodes(spark, sf).withColumn("tool_result_items", F.lit(None).cast("array<struct<title:string,snippet:string>>"))
+    return replay.select(n, R.coherent(B.relations(spark, sf), n), RT.similarities(RT.units(n), _families(spark, sf)), strategy, 900, **options)
+
+
+@query()
+def chain_selection(spark, sf):
+    return _replayed(spark, sf, "chains")
+
+
+@query()
+def evidence_first_selection(spark, sf):
+    return _replayed(spark, sf, "evidence_first")
+
+
+@query()
+def pruned_selection(spark, sf):
+    return _replayed(spark, sf, "pruned")
+
+
+@query()
+def answer_directed_selection(spark, sf):
+    """In the order of evidence paths."""
+    return _replayed(spark, sf, "answer_directed", by_path=True)
+
+
+@query("SELECT n.item_id, CAST(length('### Earlier investigation memory') + 2 + CASE WHEN sum(CASE WHEN procedural THEN 0 ELSE 1 END) > 0 THEN length('#### Candidate evidence') ELSE 0 END + CASE WHEN sum(CASE WHEN procedural THEN 1 ELSE 0 END) > 0 THEN length('#### Search history') + CASE WHEN sum(CASE WHEN procedural THEN 0 ELSE 1 END) > 0 THEN 2 ELSE 0 END ELSE 0 END + sum(c) + coalesce(any_value(e), 0) AS INTEGER) AS chars FROM (SELECT *, length('- [B' || id || '] ' || trim(text)) + CASE WHEN procedural THEN 0 ELSE 18 END + 1 AS c FROM nodes WHERE turn_id <= 3) n LEFT JOIN (SELECT item_id, length('#### Relation paths') + 2 + sum(length('- [B' || from_id || '] ' || type || ' [B' || to_id || ']') + 1) AS e FROM relations WHERE (from_id % 1000) <= 3 AND (to_id % 1000) <= 3 GROUP BY item_id) r ON r.item_id = n.item_id GROUP BY n.item_id", ND, RL)
+def rendered_size(spark, sf):
+    from credence.operators import replay
+
+    n = B.nodes(spark, sf)
+    return replay.rendered(n, n.filter("turn_id <= 3"), B.relations(spark, sf), 100_000).select("item_id", "chars")

@@ -17,7 +17,7 @@ digest, so copies cost nothing more. A representative's signature of COORDINATES
   most 1 + min(n - p, m - q) shingles in common; one that can't reach the threshold is never made. This step misses no
   link between such documents.
 
-With 64 coordinates and a match threshold of 32, a pair of resemblance 0.75 is missed with probability 8e-6 (binomial
+With 64 coordinates and a match threshold of 32, a pair of resemblance 0.75 is missed with probability 5e-6 (binomial
 tail); every reported link is exact.
 
 Nulls and edges: a null or wordless text has an empty set and is linked with nothing; fewer than five words are one
@@ -237,13 +237,13 @@ ORACLE_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM documents WHERE doc_id IS NOT NULL
-), s AS (
+), s AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w
-), e AS (SELECT doc_id, unnest(s) AS g FROM s),
-n AS (SELECT doc_id, len(s) AS n FROM s),
-o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-l AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+), e AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM s),
+n AS MATERIALIZED (SELECT doc_id, len(s) AS n FROM s),
+o AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * c >= 75 * (x.n + y.n - c)),
 r AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other),
 m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id, m.component_id = s.doc_id AS kept

@@ -2,7 +2,7 @@
 
 A paragraph is a line. Its features are its word unigrams, bigrams and trigrams (lower case, letters and digits) that
 the model knows and that hold an anchor word; a paragraph without any has the bias alone and is `unknown`, so only
-texts that hold an anchor word are cut up. The model is a sparse multinomial logistic regression over licence families
+texts that hold an anchor word are cut up ("MIT" only in capitals, as "mit" is a common word of German). The model is a sparse multinomial logistic regression over licence families
 and `unknown`, trained here on the templates below, parts of them and sentences that merely use the same words; small
 weights are set to zero. Its confidence is calibrated by one temperature, fitted on parts of templates held out of
 training. A prediction is confirmed by its templates: the share of a template's trigrams that the paragraph holds must
@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from credence.llm.common import documents, inline
+from credence.llm.common import documents, inline, materialise
 
 CONFIRM, CONFIDENT = 0.5, 0.5
 UNKNOWN = "unknown"
@@ -115,7 +115,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """row, doc_id, start, n-grams of the paragraphs that hold an anchor word."""
-    anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(ANCHORS)) + r")(?![a-z0-9])"
+    # The first letters come first: most places of a text end there.
+    words = sorted(ANCHORS - {"mit"})
+    first = "".join(sorted({w[0] for w in words} | {"m"}))
+    anchor = f"(?=[{first}{first.upper()}])(?<![A-Za-z0-9])(?:MIT|(?i:{'|'.join(words)}))(?![A-Za-z0-9])"
     rows = documents(docs).filter(F.col("text").rlike(anchor))
     lines = rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(anchor))
     w = F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9]+"), F.lit(0))
@@ -130,7 +133,7 @@ def classify(docs: DataFrame) -> DataFrame:
     families, weights, bias, temperature = model()
     # The model is a constant of this module: a few thousand weights, small enough to broadcast.
     table = inline(spark, [(g, f, float(x)) for g, row in weights.items() for f, x in zip(families, row) if x], "gram string, family string, weight double")
-    units = paragraphs(docs)
+    units = materialise(paragraphs(docs), "paragraphs")
     exploded = units.select("doc_id", "unit", F.explode("grams").alias("gram"))
     sums = exploded.join(F.broadcast(table), "gram").groupBy("doc_id", "unit", "family").agg(F.sum("weight").alias("z"))
     shape = sums.select("doc_id", "unit").distinct().select("doc_id", "unit", F.explode(F.array(*(F.struct(F.lit(f).alias("family"), F.lit(float(x)).alias("bias")) for f, x in zip(families, bias)))).alias("f")).select("doc_id", "unit", "f.family", "f.bias")

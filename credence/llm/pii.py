@@ -7,11 +7,12 @@ each character they write, the source characters it stands for:
    dashes and spaces become ASCII; invisible characters vanish;
 2. at/dot disguises: "[at]", "(at)", "{at}", "<at>" and "[dot]", "(punkt)"..., with the spaces around them, become @ and
    "."; bare " at " and " dot " only between name-like pieces of one address;
-3. spelled digits: runs of three or more digit words (English, German, French, Spanish) become digits, and in such runs
-   "dot" and "point" become "." and "plus" becomes "+".
+3. spelled digits: runs of three or more digit words or numbers that hold a word (English, German, French, Spanish)
+   become digits, and in such runs "dot" and "point" become "." and "plus" becomes "+". Runs of plain numbers alone are
+   nothing spelled: lists of years would be cards.
 
 The same detectors run on the plain form; a match that holds a rewritten character is mapped back to source offsets and
-added unless it overlaps a base span of its kind. Each transducer has a cheap trigger, so plain texts cost one scan.
+added unless it overlaps a base span of its kind. A text is rewritten only where a transducer's own pattern matches.
 
 Offsets are code points, end exclusive. A null text counts as empty: no spans. Texts are processed whole, in time linear
 in their length. Repeated rows each get a row; an empty table gives an empty result; other columns pass only through
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
@@ -37,6 +39,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_LETTER = re.compile(r"[^\W\d_]")
 
 Span = tuple[str, int, int]
 
@@ -99,16 +102,14 @@ _LOOKALIKES = dict(zip("аеорсухівјѕԁԛԝһкмтАВЕКМНОРСТ
 _LOOKALIKES |= dict.fromkeys("\u2024\u3002\uff0e\uff61\u00b7\u2022\u2219\u22c5", ".") | dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe63\uff0d", "-")
 _LOOKALIKES |= dict.fromkeys("\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", " ")
 _INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
-#: Latin-1 has but the soft hyphen, the no-break space and the middle dot; everything else of interest lies above.
-_GLYPH_TRIGGER = re.compile("[\u00a0\u00ad\u00b7\u0370-\u03ff\u0400-\u052f\u2000-\u2060\u2212\u2219\u22c5\u2460-\u24ff\u3000-\u3002\ufe00-\uffff\U0001d400-\U0001d7ff]")
-_FRAMED_TRIGGER = re.compile(r"(?i)[\[({<]\s*(?:at|arroba|arobase|dot|punkt|point|punto)\s*[\])}>]")
-_DOT_WORDS = (b"dot", b"punkt", b"point", b"punto")
+#: All that the framed patterns accept; the bare one needs a "dot".
+_DISGUISE_TRIGGER = re.compile(r"(?i)[\[({<]\s*(?:at|arroba|arobase|@|dot|punkt|point|punto|\.)\s*[\])}>]|\sdot\s")
 _AT_FRAMED = re.compile(r"(?i)\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*")
 _DOT_FRAMED = re.compile(r"(?i)(?<=[A-Za-z0-9-])\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*(?=[A-Za-z0-9-])")
-#: Endings that a bare "x at y dot z" must have. Fixed values.
+#: Endings that a bare "x at the dot z" must have, as in "look at the dot on it"; after other hosts any letters do. Fixed values.
 _ENDINGS = "com|net|org|edu|gov|info|io|co|de|fr|es|uk|eu|ch|at|it|nl|us|ca|biz|example|dev|app"
 _BARE = re.compile(
-    r"(?i)(?<![A-Za-z0-9._%+-])[a-z0-9_%+-]{1,64}(?:(?:\.|\s+dot\s+)[a-z0-9_%+-]{1,64}){0,3}(?:\s+at\s+|@)[a-z0-9-]{1,64}(?:(?:\.|\s+dot\s+)[a-z0-9-]{1,64}){0,3}\s+dot\s+(?:ENDINGS)(?![A-Za-z0-9-])".replace("ENDINGS", _ENDINGS)
+    r"(?i)(?<![A-Za-z0-9._%+-])[a-z0-9_%+-]{1,64}(?:(?:\.|\s+dot\s+)[a-z0-9_%+-]{1,64}){0,3}(?:\s+at\s+|@)(?!(?:the|an?|this|that|each|every)\s+dot\s+(?!(?:ENDINGS)(?![A-Za-z0-9-])))[a-z0-9-]{1,64}(?:(?:\.|\s+dot\s+)[a-z0-9-]{1,64}){0,3}\s+dot\s+[a-z]{2,63}(?![A-Za-z0-9-])".replace("ENDINGS", _ENDINGS)
 )
 _BARE_PART = re.compile(r"(?i)\s+(at|dot)\s+")
 #: Digit words by value. Fixed values.
@@ -119,27 +120,10 @@ _DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _W = "|".join(sorted(_DIGIT_WORDS, key=lambda x: -len(x)))
-_SPELLED_TRIGGER = re.compile(r"(?i)\b(?:%s)[\s-]+(?:%s|dot|point|punkt|punto)[\s-]+(?:%s)\b" % (_W, _W, _W))
 _SPELLED_RUN = re.compile(r"(?i)(?<!\w)(?:plus\s+)?(?:%s|[0-9]+)(?:(?:\s+(?:dot|point|punkt|punto)\s+|\s*[.-]\s*|[\s,]+)(?:%s|[0-9]+)(?!\w)){2,}" % (_W, _W))
 _SPELLED_TOKEN = re.compile(r"(?i)plus\s+|\s+(?:dot|point|punkt|punto)\s+|\b(?:%s)\b|\s*,\s*|\s+" % _W)
 
 
-#: Lower case, and white space for ASCII punctuation: then split() gives the words to look digit words up in.
-_PLAIN_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-_DIGIT_BYTES = frozenset(x for w in _DIGIT_WORDS for x in (w.encode(), w.upper().encode().translate(_PLAIN_BYTES)))
-
-
-def _triggers(text: str) -> tuple[bool, bool]:
-    """Whether at/dot disguises, and runs of spelled digits, may occur: cheap tests that miss none."""
-    low = text.encode("utf-8", "surrogatepass").translate(_PLAIN_BYTES)
-    disguised = any(w in low for w in _DOT_WORDS) or _FRAMED_TRIGGER.search(text) is not None
-    words = low.split()
-    hits = _DIGIT_BYTES.intersection(words)
-    # One article alone ("un") is no number unless it is repeated.
-    spelled = bool(hits) and (hits != {b"un"} or any(a == b == b"un" for a, b in zip(words, words[1:]))) and _SPELLED_TRIGGER.search(text) is not None
-    return disguised, spelled
-
-
 class Plain:
     """A rewritten text: its characters, and for each the source range that it stands for."""
 
@@ -166,17 +150,21 @@ class Plain:
         self.text, self.at, self.to, self.changed = "".join(text), at, to, changed
 
 
+@lru_cache(1 << 16)
+def _glyph(c: str) -> str | None:
+    """What a character beyond ASCII is rewritten to, None if it stays."""
+    if c in _INVISIBLE:
+        return ""
+    if c in _LOOKALIKES:
+        return _LOOKALIKES[c]
+    n = unicodedata.normalize("NFKC", c)
+    return n if n != c and n.isascii() else None
+
+
 def _homoglyphs(p: Plain) -> None:
-    edits = []
-    for m in re.finditer(r"[^\x00-\x7f]", p.text):
-        c = m.group()
-        if c in _INVISIBLE:
-            edits.append((*m.span(), ""))
-        elif c in _LOOKALIKES:
-            edits.append((*m.span(), _LOOKALIKES[c]))
-        elif c >= " " and (n := unicodedata.normalize("NFKC", c)) != c and n.isascii():
-            edits.append((*m.span(), n))
-    p.edit(edits)
+    known = {c: n for c in set(p.text) if c > "\x7f" and (n := _glyph(c)) is not None}
+    if known:
+        p.edit([(*m.span(), known[m.group()]) for m in re.finditer(f"[{''.join(map(re.escape, known))}]", p.text)])
 
 
 def _disguises(p: Plain) -> None:
@@ -191,6 +179,8 @@ def _disguises(p: Plain) -> None:
 def _spelled(p: Plain) -> None:
     edits = []
     for m in _SPELLED_RUN.finditer(p.text):
+        if not _LETTER.search(m.group()):
+            continue
         for x in _SPELLED_TOKEN.finditer(m.group()):
             word = x.group().strip().lower()
             if word in _DIGIT_WORDS:
@@ -208,15 +198,12 @@ def _spelled(p: Plain) -> None:
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """What shows only in plain form, in source offsets."""
-    glyphs = not text.isascii() and _GLYPH_TRIGGER.search(text)
     p = Plain(text)
-    if glyphs:
+    if not text.isascii():
         _homoglyphs(p)
-    disguised, spelled = _triggers(p.text)
-    if disguised:
+    if _DISGUISE_TRIGGER.search(p.text):
         _disguises(p)
-    if spelled:
-        _spelled(p)
+    _spelled(p)
     if p.changed is None:
         return []
     out = []

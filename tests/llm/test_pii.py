@@ -60,3 +60,23 @@ def test_edges(spark):
     out = pii.redact(docs)
     assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
     assert pii.detect(empty(spark)).isEmpty() and pii.redact(empty(spark)).isEmpty()
+
+
+@pytest.mark.parametrize("t, want", [
+    ("to jane[@]example[.]com now", ("email", "jane[@]example[.]com")), ("host 10[.]0[.]0[.]1 is up", ("ip", "10[.]0[.]0[.]1")), ("host 192 dot 168 dot 1 dot 5 is up", ("ip", "192 dot 168 dot 1 dot 5")),
+    ("four, four, one, seven, seven, four, four, two, eight, zero, three, five, one, five, four, seven", ("card", "four, four, one, seven, seven, four, four, two, eight, zero, three, five, one, five, four, seven")),
+    ("write to anna at firma dot pl please", ("email", "anna at firma dot pl")), ("call +⁴⁹ 170 555 7713", ("phone", "+⁴⁹ 170 555 7713")), ("they look at the dot on the wall", None), ("4417, 7442, 8035, 1547", None),
+])
+def test_triggers_miss_none(t, want):
+    assert [(k, t[a:b]) for k, a, b in pii.find(t)[1]] == ([want] if want else [])
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(["jane", "a1", "[", "]", "(", ")", "@", ".", " ", " ", "at", " dot ", "DOT", "punkt", "one", "fÜnf", "un", "plus ", ",", "-", "7", "192", "²", "ｅ"]), max_size=14).map("".join))
+def test_triggers_change_nothing(t):
+    got, trigger = pii.find(t), pii._DISGUISE_TRIGGER
+    pii._DISGUISE_TRIGGER = re.compile("")
+    try:
+        assert got == pii.find(t)
+    finally:
+        pii._DISGUISE_TRIGGER = trigger

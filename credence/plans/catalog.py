@@ -476,9 +476,19 @@ def dashboard_summary(spark, sf):
 
 @query(f"SELECT b.item_id, d.doc_id, round(len(list_intersect(b.t, d.t)) / sqrt(len(b.t) * len(d.t)), 9) AS similarity FROM (SELECT item_id, list_distinct(regexp_extract_all(lower(text), {TOKEN_SQL})) AS t FROM benchmark) b, (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), {TOKEN_SQL})) AS t FROM documents WHERE doc_id % 50 = 0) d WHERE len(b.t) > 0 AND len(d.t) > 0 AND len(list_intersect(b.t, d.t)) > 0")
 def lexical_similarity(spark, sf):
-    """Set cosine of benchmark items and the documents of a query set, by an inverted index: only pairs that share a token."""
-    b = table(spark, sf, "benchmark").select("item_id", X.tokens(F.col("text")).alias("t"))
-    d = table(spark, sf, "documents").filter("doc_id % 50 = 0").select("doc_id", X.tokens(F.col("text")).alias("t"))
+    """Set cosine of benchmark items and one document in fifty, as far as the SQL goes; `lexical_similarity_whole` takes all."""
+    return _lexical(table(spark, sf, "benchmark"), table(spark, sf, "documents").filter("doc_id % 50 = 0"))
+
+
+@query()
+def lexical_similarity_whole(spark, sf):
+    """Set cosine of all benchmark items and all documents, by an inverted index: only pairs that share a token."""
+    return _lexical(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
+
+
+def _lexical(items, documents):
+    b = items.select("item_id", X.tokens(F.col("text")).alias("t"))
+    d = documents.select("doc_id", X.tokens(F.col("text")).alias("t"))
     bt, dt = b.select("item_id", F.size("t").alias("nb"), F.explode("t").alias("w")), d.select("doc_id", F.size("t").alias("nd"), F.explode("t").alias("w"))
     c = bt.join(dt, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("c"), F.first("nb").alias("nb"), F.first("nd").alias("nd"))
     return c.select("item_id", "doc_id", F.round(F.col("c") / F.sqrt(F.col("nb") * F.col("nd")), 9).alias("similarity"))

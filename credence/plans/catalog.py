@@ -420,6 +420,11 @@ def question_constraints(spark, sf):
     return N.question_constraints(n)
 
 
+@query()
+def question_constraints_whole(spark, sf):
+    return N.question_constraints(B.nodes(spark, sf).filter("role = 'user'").withColumn("turn_id", F.lit(1).cast("long")))
+
+
 @query("SELECT n.item_id, n.id, CASE WHEN n.node_type = 'decision' AND n.id = d.id THEN 'decision' ELSE 'belief' END AS node_type FROM nodes n LEFT JOIN (SELECT item_id, max(id) AS id FROM nodes WHERE node_type = 'decision' GROUP BY item_id) d ON d.item_id = n.item_id", ND)
 def latest_decision(spark, sf):
     n = B.nodes(spark, sf).withColumn("merged_from", F.array().cast("array<bigint>"))
@@ -514,6 +519,11 @@ def sanitized_names(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.sanitize_name(F.substring("text", 1, 30)).alias("name"))
 
 
+@query()
+def sanitized_names_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.sanitize_name(F.col("text")).alias("name"))
+
+
 @query("SELECT doc_id, trim(x) AS answer FROM (SELECT doc_id, list_last(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) AS x FROM documents WHERE NOT regexp_matches(text, '(?i)answer'))")
 def final_answers(spark, sf):
     return table(spark, sf, "documents").filter(~F.col("text").rlike("(?i)answer")).select("doc_id", S.final_answer(F.col("text")).alias("answer"))
@@ -534,13 +544,13 @@ def sentence_spans(spark, sf):
 
 @query()
 def excerpt_locations(spark, sf):
-    d = table(spark, sf, "documents").filter("n_chars > 60").select("doc_id", F.col("text").alias("content"), F.upper(F.substring("text", 11, 40)).alias("excerpt"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), F.upper(F.substring("text", 11, 40)).alias("excerpt"))
     return E.from_excerpt(d).select("doc_id", "start", "end", "match")
 
 
 @query()
 def fuzzy_scores(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.fuzzy_score(F.lit("the ion"), F.substring("text", 1, 80)).alias("score"))
+    return table(spark, sf, "documents").select("doc_id", X.fuzzy_score(F.lit("the ion"), F.col("text")).alias("score"))
 
 
 WIRE = "concat('<tool_call>{\"id\": \"c', cast(doc_id as string), '\", \"name\": \"web_search\", \"arguments\": {\"query\": \"', regexp_replace(substring(text, 1, 20), '[^a-zA-Z ]', ''), '\"}}</tool_call> <tool_call>{bad</tool_call>')"

@@ -1,13 +1,15 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame operations alone.
 
-Every document i of source s gets a rate r_i, the one nearest to 1 in relative entropy among those that meet the
-source's constraints on tokens and on documents:
+Every document i of source s gets a rate r_i of at most CAP, the one nearest to 1 in relative entropy among those that
+meet the source's constraint on tokens:
 
-    sum_i size_i r_i = target_s          sum_i r_i = n_s target_s / total_s
+    sum_i size_i r_i = target_s
 
-Its solution is exponentially tilted, r_i = exp(a_s + b_s z_i) with z_i = size_i / mean size, and (a_s, b_s) minimise a
-convex dual. `balance` finds them by damped Newton steps: each iteration is one distributed aggregation of moments over
-the compact histogram (source, size, count), and only a row for each source reaches the driver.
+Its solution is exponentially tilted, r_i = min(CAP, exp(b_s z_i)) with z_i = size_i / mean size, and b_s minimises a
+convex dual. `tilt` finds it by Newton steps kept inside a bracket: each iteration is one distributed aggregation of
+moments over the compact histogram (source, size, count), and only a row for each source reaches the driver. A source
+whose target is all its tokens CAP times has the rate CAP. `balance` solves for a second constraint as well,
+sum_i r_i = n_s target_s / total_s, whose solution is one rate for all documents of a source; the mix does not use it.
 
 `copies` rounds rates into whole copies: along each source's sizes, a size class of n documents gets
 floor(R + 1/2) copies less what came before it, R the running sum of rates, so that rounding errors of neighbouring sizes
@@ -93,6 +95,48 @@ def balance(histogram: DataFrame, per_source: list, goal: dict, tolerance: float
     return {s: (*state[s], scale[s]) for s in state}
 
 
+def tilt(histogram: DataFrame, per_source: list, goal: dict, cap: float = CAP, tolerance: float = 1e-9, most: int = 100) -> dict:
+    """(a, b, scale) of each source, rate min(cap, exp(a + b * size / scale)), a 0 but where every rate is cap."""
+    spark = histogram.sparkSession
+    facts = {r["source"]: (int(r["n"]), int(r["total"])) for r in per_source}
+    scale = {s: t / n for s, (n, t) in facts.items() if t > 0}
+    full = {s for s in scale if goal[s] >= cap * facts[s][1] * (1 - tolerance)}
+    b, low, high = dict.fromkeys(scale, 0.0), dict.fromkeys(scale, -np.inf), dict.fromkeys(scale, np.inf)
+    live = [s for s in scale if s not in full and goal[s] > 0]
+    for _ in range(most):
+        if not live:
+            break
+        params = inline(spark, [(s, b[s], scale[s]) for s in live], "p_source string, b double, scale double")
+        z = F.col("size") / F.col("scale")
+        # A row for each source, MOST_SOURCES at most: small enough to broadcast.
+        joined = histogram.join(F.broadcast(params), _null_safe("source", "p_source")).select("source", "n", z.alias("z"), (F.col("b") * z).alias("e"))
+        bound = F.col("e") >= float(np.log(cap))
+        r = F.col("n") * F.when(bound, float(cap)).otherwise(F.exp(F.when(bound, 0.0).otherwise(F.col("e"))))
+        moments = joined.groupBy("source").agg(F.sum(r * F.col("z")).alias("m1"), F.sum(F.when(bound, 0.0).otherwise(r * F.col("z") * F.col("z"))).alias("m2")).collect()
+        done = set()
+        for row in moments:
+            s = row["source"]
+            want = goal[s] / scale[s]
+            g = row["m1"] - want
+            if abs(g) <= tolerance * want:
+                done.add(s)
+                continue
+            if g > 0:
+                high[s] = b[s]
+            else:
+                low[s] = b[s]
+            step = b[s] - g / row["m2"] if row["m2"] > 0 else np.nan
+            if not low[s] < step < high[s] or abs(step - b[s]) > 4 * max(1.0, abs(b[s])):
+                # Newton's step leaves the bracket or is too long: halve the bracket, or widen it where it is open.
+                inside = np.isfinite(low[s]) and np.isfinite(high[s])
+                step = (low[s] + high[s]) / 2 if inside else b[s] + np.sign(-g) * 4 * max(1.0, abs(b[s]))
+            if step == b[s]:
+                done.add(s)
+            b[s] = float(step)
+        live = [s for s in live if s not in done]
+    return {s: (float(np.log(cap)), 0.0, scale[s]) if s in full else (0.0, b[s], scale[s]) for s in scale}
+
+
 def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: a row for each row of docs."""
     spark = docs.sparkSession
@@ -102,11 +146,11 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     if len(per_source) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     goal = targets({r["source"]: int(r["total"]) for r in per_source}, weights, share, cap)
-    tilt = balance(histogram, per_source, goal)
-    rows = [(r["source"], int(r["total"]), float(goal[r["source"]]), *tilt.get(r["source"], (0.0, 0.0, 1.0))) for r in per_source]
+    tilted = tilt(histogram, per_source, goal, cap)
+    rows = [(r["source"], int(r["total"]), float(goal[r["source"]]), *tilted.get(r["source"], (0.0, 0.0, 1.0))) for r in per_source]
     params = inline(spark, rows, "p_source string, source_size long, target double, a double, b double, scale double")
     classes = histogram.join(F.broadcast(params), _null_safe("source", "p_source")).drop("p_source")
-    rate = F.least(F.lit(float(cap)), F.exp(F.col("a") + F.col("b") * F.col("size") / F.col("scale")))
+    rate = F.least(F.lit(float(cap)), F.exp(F.least(F.lit(700.0), F.col("a") + F.col("b") * F.col("size") / F.col("scale"))))
     run = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.floor(F.sum("given").over(run) + 0.5 + 1e-9)
     before = F.coalesce(F.lag("upto").over(Window.partitionBy("source").orderBy("size")), F.lit(0))

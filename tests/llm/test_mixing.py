@@ -56,3 +56,17 @@ def test_edges(spark):
     out = M.mix_documents(docs)
     assert out.columns == docs.columns
     assert M.copies(empty(spark)).isEmpty() and M.mix_documents(empty(spark)).isEmpty()
+
+
+def test_rates_are_tilted(spark):
+    rows = [("a", 1, 30), ("a", 5, 10), ("a", 50, 2), ("b", 7, 9), ("c", 3, 4), ("c", 30, 4), ("d", 0, 5), ("d", 2, 5)]
+    h = spark.createDataFrame(rows, "source string, size long, n long")
+    facts = [{"source": s, "n": sum(n for t, _, n in rows if t == s), "total": sum(n * z for t, z, n in rows if t == s)} for s in "abcd"]
+    goal = {"a": 0.4 * 180, "b": 1.7 * 63, "c": 2.0 * 132, "d": 1.9999 * 10}
+    out = M.tilt(h, facts, goal)
+    for s in "abcd":
+        a, b, scale = out[s]
+        assert np.isclose(sum(n * z * min(2, np.exp(a + b * z / scale)) for t, z, n in rows if t == s), goal[s], rtol=1e-6)
+    assert out["a"][0] == 0 and out["a"][1] < -0.01 and out["b"][1] > 0.01
+    r = [np.exp(out["a"][1] * z / out["a"][2]) for z in (1, 5, 50)]
+    assert r[0] > r[1] > r[2] and r[0] - r[2] > 0.1

@@ -1,8 +1,9 @@
 """Licence scans with a trained paragraph classifier, in DataFrame operations alone.
 
-A paragraph is a line. Its features are its word unigrams, bigrams and trigrams (lower case, letters and digits) that
+A paragraph is a line, and also all lines between two blank ones together, which count only where they confirm a
+family that no line of the document does: so hard-wrapped licences are found as well. Its features are its word unigrams, bigrams and trigrams (lower case, letters and digits) that
 the model knows and that hold an anchor word; a paragraph without any has the bias alone and is `unknown`, so only
-texts that hold an anchor word are cut up ("MIT" only in capitals, as "mit" is a common word of German). The model is a sparse multinomial logistic regression over licence families
+texts that hold an anchor word are cut up ("MIT" only in capitals, as "mit" is a common word of German; "nc" only beside another). The model is a sparse multinomial logistic regression over licence families
 and `unknown`, trained here on the templates below, parts of them and sentences that merely use the same words; small
 weights are set to zero. Its confidence is calibrated by one temperature, fitted on parts of templates held out of
 training. A prediction is confirmed by its templates: the share of a template's trigrams that the paragraph holds must
@@ -18,7 +19,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from credence.llm.common import documents, inline, materialise
 
@@ -36,6 +37,9 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
     "CC-BY": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "CC-BY-SA": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License."],
+    "CC-BY-NC": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
+    "CC-BY-NC-SA": ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."],
+    "CC-BY-NC-ND": ["This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "Licensed under CC BY-NC-ND 4.0."],
     "CC0": ["To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0 Universal."],
     "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
@@ -47,8 +51,9 @@ OTHERS = [
     "Apache helicopters flew over the city.", "The Apache people live in the south west.", "A version of the story was released in May.", "The general public was not allowed to enter.", "Mozilla and Apache are well known names.",
     "The new version has three modes and 2.0 litres.", "Copyright law is taught at the university.", "They share the common attribution of the work.", "A creative solution for all people.", "The software was free for students.",
     "The warranty of the car has ended.", "Redistribution of wealth is a political question.", "All rights and duties were discussed.", "Two versions of the general theory.", "the gnu is a large animal of the savanna",
+    "Noncommercial use of the common land by all.", "She sent the letter to him, cc by mail to the NC office.",
 ]
-ANCHORS = frozenset("license licensed licenses licence licenced mit apache gnu gpl lgpl agpl bsd mozilla mpl creative commons attribution sharealike cc cc0 isc copyright redistribution redistribute permission unencumbered unlicense proprietary rights".split())
+ANCHORS = frozenset("license licensed licenses licence licenced mit apache gnu gpl lgpl agpl bsd mozilla mpl creative commons attribution sharealike noncommercial nc cc cc0 isc copyright redistribution redistribute permission unencumbered unlicense proprietary rights".split())
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -114,15 +119,19 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """row, doc_id, start, n-grams of the paragraphs that hold an anchor word."""
+    """doc_id, unit, n-grams of the paragraphs that hold an anchor word; the units of several lines begin with "+"."""
     # The first letters come first: most places of a text end there.
-    words = sorted(ANCHORS - {"mit"})
+    words = sorted(ANCHORS - {"mit", "nc"})
     first = "".join(sorted({w[0] for w in words} | {"m"}))
     anchor = f"(?=[{first}{first.upper()}])(?<![A-Za-z0-9])(?:MIT|(?i:{'|'.join(words)}))(?![A-Za-z0-9])"
     rows = documents(docs).filter(F.col("text").rlike(anchor))
-    lines = rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(anchor))
+    lines = F.split("block", "\n")
+    whole = F.struct(F.lit("+").alias("mark"), F.col("block").alias("line"))
+    cut = F.concat(F.transform(lines, lambda x: F.struct(F.lit("").alias("mark"), x.alias("line"))), F.when(F.size(lines) > 1, F.array(whole)).otherwise(F.array().cast("array<struct<mark:string,line:string>>")))
+    blocks = rows.select("doc_id", F.explode(F.split("text", r"\n[ \t\r]*\n")).alias("block")).filter(F.col("block").rlike(anchor))
+    lines = blocks.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.mark", "x.line").filter(F.col("line").rlike(anchor))
     w = F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9]+"), F.lit(0))
-    lines = lines.select("doc_id", F.sha2("line", 256).alias("unit"), w.alias("w")).distinct()
+    lines = lines.select("doc_id", F.concat("mark", F.sha2("line", 256)).alias("unit"), w.alias("w")).distinct()
     at = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1))), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
     return lines.select("doc_id", "unit", F.array_distinct(F.concat(at(1), at(2), at(3))).alias("grams"))
 
@@ -145,7 +154,10 @@ def classify(docs: DataFrame) -> DataFrame:
     agree = exploded.join(F.broadcast(shapes), "gram").groupBy("doc_id", "unit", "template", "t_family").agg((F.count("*") / F.first("t_size")).alias("share"))
     agree = agree.groupBy("doc_id", "unit", F.col("t_family").alias("family")).agg(F.max("share").alias("agreement"))
     out = best.join(agree, ["doc_id", "unit", "family"], "left").withColumn("agreement", F.coalesce("agreement", F.lit(0.0)))
-    return out.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("confidence") >= CONFIDENT) & (F.col("agreement") >= CONFIRM))
+    out = out.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("confidence") >= CONFIDENT) & (F.col("agreement") >= CONFIRM))
+    joined = F.col("unit").startswith("+")
+    by_line = F.max(F.col("confirmed") & ~joined).over(Window.partitionBy("doc_id", "family"))
+    return out.withColumn("by_line", by_line).filter(~joined | F.col("confirmed") & ~F.col("by_line")).drop("by_line")
 
 
 def scan(docs: DataFrame) -> DataFrame:

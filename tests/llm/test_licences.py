@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from credence.llm import licences as L
@@ -32,3 +34,14 @@ def test_edges(spark):
     got = L.scan(docs).collect()
     assert len(got) == docs.count() and all(r["licences"] == "" for r in got)
     assert L.scan(empty(spark)).isEmpty()
+
+
+def test_wrapped_templates(spark):
+    long = {f: max(ts, key=len) for f, ts in L.TEMPLATES.items()}
+    want = ["MIT", "GPL-3.0", "GPL-2.0", "LGPL", "AGPL-3.0", "BSD", "ISC"]
+    assert scanned(spark, ["Thont the er.\n\n" + "\n".join(" * " + x for x in textwrap.wrap(long[f], 30)) + "\n\nAnd so on." for f in want]) == want
+
+
+def test_noncommercial(spark):
+    texts = ["Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY-NC-ND 4.0.", "The noncommercial radio played.", "He wrote, cc by post, to Raleigh, NC 4 times."]
+    assert scanned(spark, texts) == ["CC-BY-NC", "CC-BY", "CC-BY-NC-SA", "CC-BY-NC-ND", "", ""]

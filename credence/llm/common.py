@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -22,10 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset (local runs)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one, in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        path = f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
     return path.rstrip("/")
 
 
@@ -33,14 +35,43 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     The plan starts anew at that table: lost executors cost a reread, never a recomputation of what stands above,
-    and the optimiser knows its size.
+    and the optimiser knows its size. `forget` deletes a session's tables when its results are stored.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/credence/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/credence/{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all tables that this application's operators wrote; to be called once its results are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key with more than this share of all rows is hot; there are 1 / HOT of them at most.
+HOT = 1 / 4096
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined to `table` on `key`; table has one row a key and, in `count`, how many of the `total` rows have it.
+
+    The rows of a hot key are dealt out over as many places as they make HOT shares, and its row of `table` goes to each.
+    The list of hot keys is broadcast: 1 / HOT of them at most.
+    """
+    many = int(HOT * total) + 1
+    parts = F.ceil(F.col(count) / many).cast("int")
+    hot = F.broadcast(table.filter(F.col(count) > many).select(F.col(key).alias("__key"), parts.alias("__parts")))
+    place = F.pmod(F.xxhash64(*rows.columns), F.coalesce("__parts", F.lit(1))).cast("int")
+    dealt = rows.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__place", place).drop("__key", "__parts")
+    copied = table.withColumn("__place", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(copied.drop(count), [key, "__place"]).drop("__place")
+
+
 def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table of constants, made within the JVM: one literal, no Python or RDD behind it."""
     names = [x.split()[0] for x in schema.split(", ")]

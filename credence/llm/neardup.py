@@ -4,25 +4,28 @@ A document's set holds the hashes of its distinct five-word shingles. Equal sets
 digest, so copies cost nothing more. A representative's signature of COORDINATES minima is a set of as many
 (coordinate, value) tokens; two sets of resemblance s share each token with probability s.
 
-* Posting: documents are listed under each of their tokens, and tokens are counted. A token of one document can't
-  collide and is dropped at once.
+* Posting: sets are listed under each of their tokens, and tokens are counted. A token of one set can't collide and is
+  dropped at once.
 * Prefix: a pair above the match threshold MATCHES shares one of the COORDINATES - MATCHES + 1 rarest tokens of both
-  (by count, then token), so only those are posted. A document with that many tokens of its own has no candidates.
-* Skip merging: a list whose documents all belong to one component is skipped from then on. Instead of all pairs of a
-  list, its documents first meet the list's hub, the document whose tokens are the most frequent (in a group of copies
+  (by count, then token), so only those are posted. A set with that many tokens of its own has no candidates.
+* Skip merging: a list whose sets all belong to one component is skipped from then on. Instead of all pairs of a
+  list, its sets first meet the list's hub, the set whose tokens are the most frequent (in a group of copies
   with edits: the one nearest to all others). Confirmed links merge components, and the lists are looked at again.
-* Counting: a pair goes on if its signatures agree in MATCHES coordinates or more, and is confirmed on the full sets.
-* The rest: documents of lists that are still open after HUB_ROUNDS rounds are joined on prefixes of their full sets,
-  rarest shingles first, across components only. A pair that shares its first prefix shingle at places p and q has at
-  most 1 + min(n - p, m - q) shingles in common; one that can't reach the threshold is never made. This step misses no
-  link between such documents.
+* The rest: sets of lists that are still open after HUB_ROUNDS rounds meet on prefixes of their shingles,
+  rarest first, across components only. A pair that shares its first prefix shingle at places p and q has at
+  most 1 + min(n - p, m - q) shingles in common; one that can't reach the threshold is never made. Of a shingle's list,
+  the largest component's sets never meet one another.
+* Counting: every candidate pair goes on if its signatures collide in MATCHES coordinates or more, and is confirmed on
+  the full sets.
+
+Lists of hot tokens and shingles are dealt out over several tasks (`spread_join`).
 
 With 64 coordinates and a match threshold of 32, a pair of resemblance 0.75 is missed with probability 5e-6 (binomial
 tail); every reported link is exact.
 
 Nulls and edges: a null or wordless text has an empty set and is linked with nothing; fewer than five words are one
-shingle; rows with a null id are left out; repeated rows of one id count as one document, its set the union of theirs,
-and each gets the same result; an empty table gives an empty result.
+shingle; rows with a null id are left out; repeated rows of one id are one document: it is linked with all that any of
+its texts is linked with, and its rows share a component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from credence.llm.common import documents, materialise, parallel, shingle_hashes
+from credence.llm.common import documents, materialise, parallel, shingle_hashes, spread_join
 
 COORDINATES, MATCHES = 64, 32
 HUB_ROUNDS = 2
@@ -71,25 +74,32 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles (sorted distinct 64-bit hashes)."""
+    """node, shingles (sorted distinct 64-bit hashes) of the rows (node, digest, text) whose set has that digest."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_hashes(t.as_py()).view(np.int64) for t in b.column("text")], pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            nodes, sets = [], []
+            for node, digest, t in zip(b.column("node").to_pylist(), b.column("digest").to_pylist(), b.column("text")):
+                s = shingle_hashes(t.as_py())
+                if xxhash.xxh3_128_digest(s.tobytes()) == digest:
+                    nodes.append(node)
+                    sets.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("node", "digest", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def _prefixes(reps: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """token, doc_id, weight (how frequent all of the document's tokens are) of the posted tokens."""
-    tokens = reps.select("doc_id", F.posexplode("signature").alias("c", "v")).select("doc_id", (F.col("c").cast("long") * F.lit(1 << 32) + F.col("v").cast("long")).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = tokens.join(counts, "token")
-    rows = shared.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"), F.sum("n").alias("weight"))  # `coordinates` entries at most
+def _prefixes(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
+    """token, node, weight (how frequent all of the set's tokens are) of the posted tokens."""
+    token = (F.col("c").cast("long") * F.lit(1 << 32) + F.col("v").cast("long")).alias("token")
+    tokens = classes.select("node", F.posexplode("signature").alias("c", "v")).select("node", token)
+    counts = materialise(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "tokens")
+    shared = spread_join(tokens, counts.withColumn("rows", F.col("n")), "token", "rows", coordinates * classes.count())
+    rows = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"), F.sum("n").alias("weight"))  # `coordinates` entries at most
     # Tokens of its own, which aren't here, are its rarest: they take the first places of the prefix.
     left = F.lit(coordinates - matches + 1) - (F.lit(coordinates) - F.size("t"))
-    rows = rows.filter(left > 0).select("doc_id", "weight", F.slice("t", 1, left).alias("t"))
-    return rows.select("doc_id", "weight", F.explode("t.token").alias("token"))
+    rows = rows.filter(left > 0).select("node", "weight", F.slice("t", 1, left).alias("t"))
+    return rows.select("node", "weight", F.explode("t.token").alias("token"))
 
 
 def _agree(a: str, b: str) -> Column:
@@ -98,25 +108,25 @@ def _agree(a: str, b: str) -> Column:
 
 def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are alike: by signature first, then in full."""
-    s = lambda x: sigs.select(F.col("doc_id").alias(x), F.col("signature").alias("s" + x), F.col("n_shingles").alias("n" + x))
+    s = lambda x: sigs.select(F.col("node").alias(x), F.col("signature").alias("s" + x), F.col("n_shingles").alias("n" + x))
     near = pairs.join(s("a"), "a").join(s("b"), "b")
     near = near.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_agree("sa", "sb") >= matches)).select("a", "b", "na", "nb")
     near = materialise(near, "near")
     # Only what still has candidates has its set read; the same side of many pairs is one hash-join key.
-    full = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias("f" + x))
+    full = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias("f" + x))
     both = near.join(full("a"), "a").join(full("b"), "b")
     common = F.size(F.array_intersect("fa", "fb"))
     return both.filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, comp: the smallest id that each node reaches. Minimum labels with pointer jumping, until nothing changes.
+    """node, comp: the smallest node that each one reaches. Minimum labels with pointer jumping, until nothing changes.
 
-    nodes: doc_id, comp (a first labelling: the smallest id of an earlier component); links: a, b between doc_ids.
+    nodes: node, comp (a first labelling: the smallest node of an earlier component); links: a, b between nodes.
     """
-    labels = nodes.select("doc_id", "comp")
+    labels = nodes.select("node", "comp")
     while True:
-        c = labels.select(F.col("doc_id").alias("k"), "comp")
+        c = labels.select(F.col("node").alias("k"), "comp")
         at_a = links.join(c, F.col("a") == F.col("k")).select("b", F.col("comp").alias("ca"))
         edges = at_a.join(c, F.col("b") == F.col("k")).select("ca", F.col("comp").alias("cb")).filter("ca <> cb")
         edges = materialise(edges.select(F.greatest("ca", "cb").alias("high"), F.least("ca", "cb").alias("low")).distinct(), "edges")
@@ -134,72 +144,86 @@ def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
         parent, moved = jumped.select("child", "parent"), jumped.filter("moved")
         if moved.isEmpty():
             break
-    return labels.join(parent, F.col("comp") == F.col("child"), "left").select("doc_id", F.coalesce("parent", "comp").alias("comp"))
+    return labels.join(parent, F.col("comp") == F.col("child"), "left").select("node", F.coalesce("parent", "comp").alias("comp"))
+
+
+def _open_lists(posted: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """The postings of lists whose sets lie in more than one component. total: how many postings there are."""
+    rows = posted.join(labels, "node")
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1")
+    return spread_join(rows, mixed.select("token", "n"), "token", "n", total)
 
 
-def _open_lists(posted: DataFrame, labels: DataFrame) -> DataFrame:
-    """The postings of lists whose documents lie in more than one component."""
-    rows = posted.join(labels, "doc_id")
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
-    return rows.join(mixed, "token")
+def _hub_pairs(lists: DataFrame, labels: DataFrame, total: int, again: bool) -> DataFrame:
+    """Pairs (a, b) of each list's hub with the list's sets of other components; `again`: with a second hub."""
+    choose = [F.max(F.struct("weight", -F.col("node"))).alias("h"), F.count("*").alias("n")]
+    hubs = lists.groupBy("token").agg(*choose)
+    comps = labels.select(F.col("node").alias("hub"), F.col("comp").alias("hc"))
+    if again:  # a hub from outside the component that the first hub gathered
+        first = hubs.select("token", "n", (-F.col("h.col2")).alias("hub")).join(comps, "hub")
+        hubs = spread_join(lists, first.select("token", "n", "hc"), "token", "n", total).filter("comp <> hc").groupBy("token").agg(*choose).drop("n")
+        hubs = hubs.join(first.select("token", "n"), "token")
+    hubs = materialise(hubs.select("token", "n", (-F.col("h.col2")).alias("hub")).join(comps, "hub"), "hubs")
+    met = spread_join(lists, hubs, "token", "n", total).filter("comp <> hc")
+    return met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
 
 
-def _rest(open_docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components that prefixes of full sets can't rule out. open_docs: doc_id, comp.
+def _rest(open_sets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components that prefixes of full sets can't rule out. open_sets: node, comp.
 
-    Of two sets the smaller one (by size, then id) needs only the first n - ceil(2t / (1 + t) n) + 1 of its shingles,
+    Of two sets the smaller one (by size, then node) needs only the first n - ceil(2t / (1 + t) n) + 1 of its shingles,
     the other n - ceil(t n) + 1, t the threshold.
     """
-    rows = sets.join(open_docs, "doc_id").select("doc_id", "comp", F.explode("shingles").alias("g"))
-    counts = rows.groupBy("g").agg(F.count("*").alias("f"))
-    ranked = rows.join(counts, "g").groupBy("doc_id", "comp").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("s"))  # one document's set
+    rows = materialise(sets.join(open_sets, "node").select("node", "comp", F.explode("shingles").alias("g")), "shingles")
+    counts = materialise(rows.groupBy("g").agg(F.count("*").alias("f")), "frequencies")
+    shared = spread_join(rows, counts.withColumn("rows", F.col("f")), "g", "rows", rows.count())
+    ranked = shared.groupBy("node", "comp").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("s"))  # one document's set
     n = F.size("s")
     probe = n - F.ceil(n * percent / 100.0 - 1e-9) + 1
     index = n - F.ceil(n * 2.0 * percent / (100.0 + percent) - 1e-9) + 1
-    posted = ranked.select("doc_id", "comp", n.alias("n"), index.alias("index"), F.posexplode(F.slice("s", F.lit(1), probe.cast("int"))).alias("p", "x")).filter("x.f > 1")
-    posted = materialise(posted.select("doc_id", "comp", "n", "index", (F.col("p") + 1).alias("p"), F.col("x.g").alias("g")), "rest")
-    left = posted.filter("p <= index").drop("index")
-    right = posted.select("g", F.col("doc_id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("m"), F.col("p").alias("q"))
+    posted = ranked.select("node", "comp", n.alias("n"), index.alias("index"), F.posexplode(F.slice("s", F.lit(1), probe.cast("int"))).alias("p", "x")).filter("x.f > 1")
+    posted = materialise(posted.select("node", "comp", "n", "index", (F.col("p") + 1).alias("p"), F.col("x.g").alias("g")), "rest")
+    # Each list's largest component, and in how many places the list is dealt.
+    by_comp = posted.groupBy("g", "comp").agg(F.count("*").alias("k"))
+    lists = by_comp.groupBy("g").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("comps"), F.sum("k").alias("size")).filter("comps > 1").select("g", "main", "size")
+    posted = materialise(spread_join(posted, lists.withColumn("rows", F.col("size")), "g", "rows", posted.count()), "rest")
+    many = 4096
+    parts = F.ceil(F.col("size") / many).cast("int")
+    # Sets outside the list's largest component meet all others; what is dealt out is the whole list.
+    asking = posted.filter("comp <> main").select("g", "node", "comp", "n", "p", "index", F.explode(F.sequence(F.lit(0), parts - 1)).alias("place"))
+    whole = posted.select(F.col("g").alias("h"), F.col("node").alias("y"), F.col("comp").alias("cy"), "main", F.col("n").alias("m"), F.col("p").alias("q"), F.col("index").alias("index_y"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("at"))
+    smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("node") < F.col("y")))
     reach = (100 + percent) * (1 + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q"))) >= percent * (F.col("n") + F.col("m"))
-    smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("doc_id") < F.col("y")))
-    pairs = left.join(right.withColumnRenamed("g", "h"), (F.col("g") == F.col("h")) & (F.col("comp") != F.col("cy")) & smaller & (100 * F.col("n") >= percent * F.col("m")) & reach)
-    return pairs.select(F.least("doc_id", "y").alias("a"), F.greatest("doc_id", "y").alias("b"))
+    sized = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    short = F.when(smaller, F.col("p") <= F.col("index")).otherwise(F.col("q") <= F.col("index_y"))
+    once = (F.col("cy") == F.col("main")) | (F.col("node") < F.col("y"))  # two outsiders ask each other
+    pairs = asking.join(whole, (F.col("g") == F.col("h")) & (F.col("place") == F.col("at")) & (F.col("comp") != F.col("cy")) & once & sized & short & reach)
+    return pairs.select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b"))
 
 
 def link(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs that has an id."""
     rows = documents(docs, id_col, text_col).filter(F.col("doc_id").isNotNull())
     sigs = materialise(signatures(rows), "signatures")
-    classes = sigs.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    first = classes.select(F.col("digest").alias("c_digest"), "rep")
-    reps = sigs.join(first, (F.col("digest") == F.col("c_digest")) & (F.col("doc_id") == F.col("rep")))
-    reps = materialise(reps.select("doc_id", "digest", "n_shingles", "signature").dropDuplicates(["doc_id", "digest"]), "reps")
-    # Rows of one id with different texts: all their classes hold that id and so are linked.
-    twice = sigs.filter("digest is not null").groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).filter("d0 <> d1").select("doc_id")
-    posted = materialise(_prefixes(reps, coordinates, matches), "posted")
-    involved = posted.select("doc_id").distinct()
-    near = reps.join(involved, "doc_id", "left_semi").select("doc_id", "signature", "n_shingles", "digest")
-    sets = materialise(shingle_sets(rows.join(involved, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
-    labels = involved.select("doc_id", F.col("doc_id").alias("comp"))
+    some = sigs.filter(F.col("digest").isNotNull())
+    # A class of equal sets is one node; its number is given once, as the table is written.
+    classes = some.groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    posted = materialise(_prefixes(classes, coordinates, matches), "posted")
+    total = posted.count()
+    involved = materialise(posted.select("node").distinct().join(classes, "node"), "involved")
+    near = involved.select("node", "signature", "n_shingles")
+    wanted = involved.select("node", "digest", "low")
+    sets = materialise(shingle_sets(rows.join(wanted, F.col("doc_id") == F.col("low"))).dropDuplicates(["node"]), "sets")
+    labels = involved.select("node", F.col("node").alias("comp"))
     done = None
     for k in range(HUB_ROUNDS + 1):
-        if k == 0:
-            lists = posted.withColumn("comp", F.col("doc_id"))
-        else:
-            lists = materialise(_open_lists(posted, labels), "open")
+        lists = posted.withColumn("comp", F.col("node"))
+        if k:
+            lists = materialise(_open_lists(posted, labels, total), "open")
             if lists.isEmpty():
                 break
-        if k < HUB_ROUNDS:
-            hubs = lists.groupBy("token").agg(F.max(F.struct("weight", -F.col("doc_id"))).alias("h"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-            if k:  # a hub from outside the component that the first hub gathered
-                first = hubs.select("token", (-F.col("h.col2")).alias("h0")).join(labels.select(F.col("doc_id").alias("h0"), F.col("comp").alias("hc")), "h0")
-                others = lists.join(first.select("token", "hc"), "token").filter("comp <> hc")
-                hubs = others.groupBy("token").agg(F.max(F.struct("weight", -F.col("doc_id"))).alias("h"))
-            hubs = hubs.select("token", (-F.col("h.col2")).alias("hub"))
-            hubs = hubs.join(labels.select(F.col("doc_id").alias("hub"), F.col("comp").alias("hc")), "hub")
-            pairs = lists.join(hubs, "token").filter("comp <> hc").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
-        else:
-            pairs = _rest(lists.select("doc_id", "comp").distinct(), sets, percent)
+        pairs = _hub_pairs(lists, labels, total, k > 0) if k < HUB_ROUNDS else _rest(lists.select("node", "comp").distinct(), sets, percent)
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -207,16 +231,32 @@ def link(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATES, mat
         if pairs.isEmpty():
             continue
         done = pairs if done is None else done.unionByName(pairs)
-        links = materialise(_confirmed(pairs, near, sets, matches if k < HUB_ROUNDS else 0, percent), "links")
+        links = materialise(_confirmed(pairs, near, sets, matches, percent), "links")
         labels = components(labels, links)
-    # Back to all rows: by class, then by component; a class whose representative had no candidates is its own.
-    rep_comp = reps.select("doc_id", "digest").join(labels, "doc_id", "left").select("digest", F.coalesce("comp", "doc_id").alias("comp"))
-    if not twice.isEmpty():
-        mine = sigs.join(twice, "doc_id", "left_semi").join(rep_comp, "digest").select("doc_id", "comp").distinct()
-        joined = mine.groupBy("doc_id").agg(F.min("comp").alias("a"), F.collect_set("comp").alias("cs")).select("a", F.explode("cs").alias("b")).filter("a <> b")
-        roots = components(rep_comp.select(F.col("comp").alias("doc_id"), "comp").distinct(), materialise(joined, "joined"))
-        rep_comp = rep_comp.join(roots.select(F.col("doc_id").alias("comp"), F.col("comp").alias("root")), "comp").select("digest", F.col("root").alias("comp"))
-    out = sigs.select("doc_id", "n_shingles", "digest").join(rep_comp, "digest", "left")
+    return _by_row(sigs, classes, _joined_by_id(some, classes, labels))
+
+
+def _joined_by_id(some: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels, with the components of all texts of one id made one."""
+    twice = some.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).filter("d0 <> d1").select("doc_id")
+    twice = materialise(twice, "twice")
+    if twice.isEmpty():
+        return labels
+    mine = some.join(twice, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "node"), "digest")
+    # A document's nodes in a chain; what is gathered is one document's texts.
+    chain = mine.groupBy("doc_id").agg(F.array_sort(F.collect_set("node")).alias("s")).select(F.explode(F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("a"), F.slice("s", 2, F.size("s")).alias("b"))).alias("x"))
+    links = materialise(chain.select("x.a", "x.b"), "links")
+    more = mine.select("node", F.col("node").alias("comp")).distinct().join(labels, "node", "left_anti")
+    return components(materialise(labels.unionByName(more), "labels"), links)
+
+
+def _by_row(sigs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Back to all rows: by class, then by component; a class without candidates is its own."""
+    known = labels.join(classes.select("node", "low"), "node")
+    lowest = known.groupBy("comp").agg(F.min("low").alias("lowest"))
+    known = materialise(known.select("node", "comp").join(lowest, "comp").select("node", "lowest"), "components")
+    by_class = classes.select("digest", "node", "low").join(known, "node", "left").select(F.col("digest").alias("c_digest"), F.coalesce("lowest", "low").alias("comp"))
+    out = sigs.select("doc_id", "n_shingles", "digest").join(by_class, F.col("digest") == F.col("c_digest"), "left")
     comp = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), (F.col("doc_id") == comp).alias("kept"))
 
@@ -224,12 +264,14 @@ def link(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATES, mat
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, all its columns as they are: the one with the smallest id.
 
-    Rows without an id can't be compared and stay. Repeated rows of one id: one stays.
+    Rows without an id can't be compared and stay. Repeated rows of one id: the one of the smallest hash stays.
     """
     kept = link(docs, **options).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
     out = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
     if not docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+        order = F.xxhash64(*(f"`{x.name}`" for x in docs.schema if not x.dataType.simpleString().startswith("map")))
+        one = out.groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias("__row"))
+        out = one.select("__row.*")
     return out.unionByName(docs.filter(F.col("doc_id").cast("long").isNull()))
 
 

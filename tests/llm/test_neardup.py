@@ -69,6 +69,24 @@ def test_edges(spark):
     assert {r["component_id"] for r in N.link(two).collect()} == {1}
 
 
+def test_repeated_ids_with_different_texts(spark):
+    """No link is lost, in whatever order the rows come."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b") + " x"), (3, text("a") + " y"), (4, text("c"))]
+    for order in ([0, 1, 2, 3, 4], [4, 3, 2, 1, 0], [1, 0, 3, 2, 4]):
+        got = N.link(spark.createDataFrame([rows[i] for i in order], "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_hot_keys_dealt_out(spark, monkeypatch):
+    from credence.llm import common
+
+    monkeypatch.setattr(common, "HOT", 1e-3)
+    rows = corpus(2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_signature_agreement_estimates_resemblance():
     rng = np.random.default_rng(0)
     agree = []

@@ -11,8 +11,8 @@ it is a line, lies inside a longer line, or is wrapped into short ones, and no u
   Refrains inside a line are not copies.
 
 Runs that overlap are one span. Only digests and offsets are shuffled. A digest seen in one document ends at the first
-aggregation; the digests of the most rows (SHARE of all rows each, so 1 / SHARE of them at most) are broadcast, so that
-a very common line is nobody's task; the others' occurrences join the one row that says which document is first.
+aggregation; the others' occurrences join the one row that says which document is first, those of a very common line
+dealt out over several tasks (`spread_join`).
 
 Not found: passages that share no `min_words` words in whole units, such as part of a sentence that has no end nearby.
 
@@ -29,11 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from credence.llm.common import documents, materialise, parallel
+from credence.llm.common import documents, materialise, parallel, spread_join
 
 MIN_WORDS = 15
-#: Digests of more than this share of all rows are joined by broadcast.
-SHARE = 1 / 4096
 _WORD = re.compile(r"[^\W_]+")
 _LINE = re.compile(r"\n")
 #: How texts are cut. The separator of lines and sentences is one character.
@@ -116,12 +114,7 @@ def removed_spans(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_
     across = rows.filter("digest is not null")
     first = across.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     first = materialise(first.filter("first < last").select("digest", "n", "first"), "repeated")
-    many = int(SHARE * across.count()) + 1
-    # At most 1 / SHARE digests are that frequent: a proven bound for the broadcast.
-    common = F.broadcast(first.filter(F.col("n") >= many).select("digest", F.col("first").alias("common")))
-    known = across.join(common, "digest", "left")
-    rest = known.filter("common is null").select("digest", "doc_id", "start", "end").join(first.filter(F.col("n") < many).select("digest", "first"), "digest")
-    found = known.filter("doc_id > common").select("doc_id", "start", "end").unionByName(rest.filter("doc_id > first").select("doc_id", "start", "end"))
+    found = spread_join(across, first, "digest", "n", across.count()).filter("doc_id > first").select("doc_id", "start", "end")
     return found.unionByName(within)
 
 

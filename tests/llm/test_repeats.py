@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
-from credence.llm import repeats as R
+from credence.llm import common, repeats as R
 from tests.llm.fixtures import awkward, empty
 
 
@@ -61,12 +61,12 @@ def test_within_a_document_the_first_occurrence_stays_whole(spark):
     assert got == {1: "a b c\na b c\n", 2: rows[1][1]}
 
 
-def test_common_digests_are_broadcast(spark, monkeypatch):
+def test_common_digests_are_dealt_out(spark, monkeypatch):
     rows = [(i, f"own {i}\nthis line is in every one of them") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(R, "SHARE", 0.1)
+    monkeypatch.setattr(common, "HOT", 0.01)
     some = {tuple(r) for r in R.per_document(docs, min_words=5).collect()}
-    monkeypatch.setattr(R, "SHARE", 1.0)
+    monkeypatch.setattr(common, "HOT", 1.0)
     assert some == {tuple(r) for r in R.per_document(docs, min_words=5).collect()} and sum(r[1] for r in some) == 49
 
 

@@ -6,33 +6,35 @@ meet the source's constraint on tokens:
     sum_i size_i r_i = target_s
 
 Its solution is exponentially tilted, r_i = min(CAP, exp(b_s z_i)) with z_i = size_i / mean size, and b_s minimises a
-convex dual. `tilt` finds it by Newton steps kept inside a bracket: each iteration is one distributed aggregation of
-moments over the compact histogram (source, size, count), and only a row for each source reaches the driver. A source
-whose target is all its tokens CAP times has the rate CAP. `balance` solves for a second constraint as well,
-sum_i r_i = n_s target_s / total_s, whose solution is one rate for all documents of a source; the mix does not use it.
+convex dual. `tilt` finds it by Newton steps kept inside a bracket: each is one aggregation of moments over the
+compact histogram (source, size, count), joined to a table of one row a source; nothing but "is any source still open?"
+reaches the driver, so there may be any number of sources. Moments are summed as decimals, so reruns agree whatever order
+tasks end in. A source whose target is all its tokens CAP times has the rate CAP.
 
 `copies` rounds rates into whole copies: along each source's sizes, a size class of n documents gets
 floor(R + 1/2) copies less what came before it, R the running sum of rates, so that rounding errors of neighbouring sizes
-cancel; then a few rounds change one copy of the size that best fills what is still missing. Within a class, the
-documents with the smallest salted rank get the odd copies. No document gets more than two copies.
+cancel and a source misses its target by at most its longest document. Then one copy of the size that best fills what is
+missing changes at a time, in all sources at once, until none gets nearer to its target. Within a class, the
+documents of the smallest hash rank get the odd copies; the ranks of a hot class are dealt out over several tasks, as
+many as it has shares HOT of all rows. No document gets more than CAP copies.
 
 Nulls and edges: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 and
 sources without words have target 0 and rate 1 (they take 0 words whatever their copies); repeated rows are documents
-each; an empty table gives an empty result. The list of sources must fit the driver: MOST_SOURCES is checked.
+each; other columns pass only through `mix_documents`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from credence.llm.common import WORD, inline, materialise
+from credence.llm import common
+from credence.llm.common import WORD, materialise
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
-MOST_SOURCES = 100_000
-SALTS = 32
-ROUNDS = 4
+TOLERANCE, STEPS = 1e-9, 100
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -42,154 +44,168 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
 
 
-def targets(totals: dict, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> dict:
-    """Each source's target from its total: `share` of all sizes by weight, capped, the excess reshared until none is above."""
-    names = sorted(totals, key=lambda s: (s is None, (s or "").encode("utf-8", "surrogatepass")))  # UTF-8 order is code point order
-    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    left, free, out = share * sum(totals.values()), list(names), {}
-    while free:
-        unit = left / sum(w[s] for s in free)
-        over = [s for s in free if w[s] * unit > cap * totals[s]]
-        if not over:
-            return out | {s: w[s] * unit for s in free}
-        for s in over:
-            out[s] = cap * float(totals[s])
-            left -= out[s]
-        free = [s for s in free if s not in set(over)]
-    return out
-
-
-def _null_safe(a: str, b: str) -> Column:
+def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def balance(histogram: DataFrame, per_source: list, goal: dict, tolerance: float = 1e-9, most: int = 60) -> dict:
-    """(a, b, scale) of each source by Newton's method on the dual; histogram: source, size, n."""
-    spark = histogram.sparkSession
-    facts = {r["source"]: (int(r["n"]), int(r["total"])) for r in per_source}
-    state = {s: (0.0, 0.0) for s, (n, t) in facts.items() if t > 0}
-    scale = {s: facts[s][1] / facts[s][0] for s in state}
-    done: set = set()
-    for _ in range(most):
-        live = [s for s in state if s not in done]
-        if not live:
+def ranked_sources(totals: DataFrame) -> DataFrame:
+    """totals with `rank`, from 0, of each source by code point, null last: a place in its range, and the ranges before."""
+    inside = totals.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    # An id counts a partition's rows in its lower 33 bits.
+    placed = materialise(inside.withColumn("place", F.monotonically_increasing_id()), "places")
+    part = F.shiftright("place", 33)
+    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("k"))  # a row a partition
+    before = counts.select("part", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.withColumn("part", part).join(before, "part").withColumn("rank", F.col("before") + F.col("place").bitwiseAND(2**33 - 1)).drop("part", "place", "before")
+
+
+def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """source, n, total, target: `share` of all sizes by weight, capped, the excess reshared until none is above.
+
+    Each round needs one number, the words for a unit of weight; it only rises, so a source once above stays above.
+    """
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    rows = materialise(ranked_sources(totals).withColumn("weight", weight), "weights")
+    unit = 0.0
+    while True:
+        over = F.col("weight") * unit > cap * F.col("total")
+        sums = rows.agg(F.sum("total").alias("all"), F.sum(F.when(over, F.col("total"))).alias("over"), F.sum(F.when(~over, F.col("weight"))).alias("free")).first()
+        if not sums["free"]:
+            break
+        new = (share * (sums["all"] or 0) - cap * (sums["over"] or 0)) / sums["free"]
+        if new <= unit:
             break
-        params = inline(spark, [(s, *state[s], scale[s]) for s in live], "p_source string, a double, b double, scale double")
-        z = F.col("size") / F.col("scale")
-        r = F.col("n") * F.exp(F.col("a") + F.col("b") * z)
-        # A row for each source, MOST_SOURCES at most: small enough to broadcast.
-        joined = histogram.join(F.broadcast(params), _null_safe("source", "p_source")).select("source", z.alias("z"), r.alias("r"))
-        moments = joined.groupBy("source").agg(F.sum("r").alias("m0"), F.sum(F.col("r") * F.col("z")).alias("m1"), F.sum(F.col("r") * F.col("z") * F.col("z")).alias("m2")).collect()
-        for row in moments:
-            s = row["source"]
-            n, total = facts[s]
-            rate = goal[s] / total
-            g = np.array([row["m0"] - n * rate, row["m1"] - n * rate]) / n  # z has mean 1: both goals are n * rate
-            if abs(g).max() <= tolerance * max(rate, 1e-12):
-                done.add(s)
-                continue
-            h = np.array([[row["m0"], row["m1"]], [row["m1"], row["m2"]]]) / n
-            step = np.linalg.lstsq(h, g, rcond=1e-12)[0]  # sources of one size have a singular Hessian
-            step *= min(1.0, 2.0 / max(abs(step).max(), 1e-300))
-            state[s] = (float(state[s][0] - step[0]), float(state[s][1] - step[1]))
-    return {s: (*state[s], scale[s]) for s in state}
-
-
-def tilt(histogram: DataFrame, per_source: list, goal: dict, cap: float = CAP, tolerance: float = 1e-9, most: int = 100) -> dict:
-    """(a, b, scale) of each source, rate min(cap, exp(a + b * size / scale)), a 0 but where every rate is cap."""
-    spark = histogram.sparkSession
-    facts = {r["source"]: (int(r["n"]), int(r["total"])) for r in per_source}
-    scale = {s: t / n for s, (n, t) in facts.items() if t > 0}
-    full = {s for s in scale if goal[s] >= cap * facts[s][1] * (1 - tolerance)}
-    b, low, high = dict.fromkeys(scale, 0.0), dict.fromkeys(scale, -np.inf), dict.fromkeys(scale, np.inf)
-    live = [s for s in scale if s not in full and goal[s] > 0]
-    for _ in range(most):
-        if not live:
+        unit = new
+    target = F.least(F.col("weight") * unit, cap * F.col("total").cast("double"))
+    return rows.select("source", "n", "total", target.alias("target"))
+
+
+def tilt(histogram: DataFrame, goals: DataFrame, cap: float = CAP, tolerance: float = TOLERANCE, steps: int = STEPS) -> DataFrame:
+    """source, b, scale, full of each source: rate cap if full, else min(cap, exp(b * size / scale)).
+
+    histogram: source, size, n; goals: source, n, total, target.
+    """
+    some = F.col("total") > 0
+    full = some & (F.col("target") >= cap * F.col("total") * (1 - tolerance))
+    state = goals.select("source", "target", F.when(some, F.col("total") / F.col("n")).otherwise(1.0).alias("scale"), full.alias("full"), (some & ~full & (F.col("target") > 0)).alias("live"))
+    state = materialise(state.select("*", F.lit(0.0).alias("b"), F.lit(-math.inf).alias("low"), F.lit(math.inf).alias("high")), "state")
+    for _ in range(steps):
+        if state.filter("live").isEmpty():
             break
-        params = inline(spark, [(s, b[s], scale[s]) for s in live], "p_source string, b double, scale double")
-        z = F.col("size") / F.col("scale")
-        # A row for each source, MOST_SOURCES at most: small enough to broadcast.
-        joined = histogram.join(F.broadcast(params), _null_safe("source", "p_source")).select("source", "n", z.alias("z"), (F.col("b") * z).alias("e"))
-        bound = F.col("e") >= float(np.log(cap))
-        r = F.col("n") * F.when(bound, float(cap)).otherwise(F.exp(F.when(bound, 0.0).otherwise(F.col("e"))))
-        moments = joined.groupBy("source").agg(F.sum(r * F.col("z")).alias("m1"), F.sum(F.when(bound, 0.0).otherwise(r * F.col("z") * F.col("z"))).alias("m2")).collect()
-        done = set()
-        for row in moments:
-            s = row["source"]
-            want = goal[s] / scale[s]
-            g = row["m1"] - want
-            if abs(g) <= tolerance * want:
-                done.add(s)
-                continue
-            if g > 0:
-                high[s] = b[s]
-            else:
-                low[s] = b[s]
-            step = b[s] - g / row["m2"] if row["m2"] > 0 else np.nan
-            if not low[s] < step < high[s] or abs(step - b[s]) > 4 * max(1.0, abs(b[s])):
-                # Newton's step leaves the bracket or is too long: halve the bracket, or widen it where it is open.
-                inside = np.isfinite(low[s]) and np.isfinite(high[s])
-                step = (low[s] + high[s]) / 2 if inside else b[s] + np.sign(-g) * 4 * max(1.0, abs(b[s]))
-            if step == b[s]:
-                done.add(s)
-            b[s] = float(step)
-        live = [s for s in live if s not in done]
-    return {s: (float(np.log(cap)), 0.0, scale[s]) if s in full else (0.0, b[s], scale[s]) for s in scale}
+        state = materialise(_newton(state, _moments(histogram, state, cap), tolerance), "state")
+    return state.select("source", "b", "scale", "full")
+
+
+def _moments(histogram: DataFrame, state: DataFrame, cap: float) -> DataFrame:
+    """m_source, m1 and m2, sums of r z and r z^2 (the latter of rates below the cap), of the live sources."""
+    live = state.filter("live").select(F.col("source").alias("m_source"), "b", "scale")
+    rows = histogram.join(live, _same("source", "m_source")).select("m_source", "n", (F.col("size") / F.col("scale")).alias("z"), "b")
+    e = F.col("b") * F.col("z")
+    bound = e >= math.log(cap)
+    r = F.col("n") * F.when(bound, cap).otherwise(F.exp(F.least(e, F.lit(math.log(cap)))))
+    exact = lambda x: F.sum(x.cast("decimal(38,9)")).cast("double")
+    return rows.groupBy("m_source").agg(exact(r * F.col("z")).alias("m1"), exact(F.when(bound, 0.0).otherwise(r * F.col("z") * F.col("z"))).alias("m2"))
+
+
+def _newton(state: DataFrame, moments: DataFrame, tolerance: float) -> DataFrame:
+    """The state one step on. A step that leaves the bracket or is too long halves it, or widens it where it is open."""
+    rows = state.join(moments, _same("source", "m_source"), "left")
+    want = F.col("target") / F.col("scale")
+    rows = rows.withColumn("g", F.col("m1") - want).withColumn("done", F.col("m1").isNull() | (F.abs(F.col("m1") - want) <= tolerance * want))
+    rows = rows.withColumn("high", F.when(~F.col("done") & (F.col("g") > 0), F.col("b")).otherwise(F.col("high")))
+    rows = rows.withColumn("low", F.when(~F.col("done") & (F.col("g") <= 0), F.col("b")).otherwise(F.col("low")))
+    newton = F.when(F.col("m2") > 0, F.col("b") - F.col("g") / F.col("m2"))
+    longest = 4 * F.greatest(F.lit(1.0), F.abs("b"))
+    good = newton.isNotNull() & (newton > F.col("low")) & (newton < F.col("high")) & (F.abs(newton - F.col("b")) <= longest)
+    closed = (F.col("low") > -math.inf) & (F.col("high") < math.inf)
+    other = F.when(closed, (F.col("low") + F.col("high")) / 2).otherwise(F.col("b") - F.signum("g") * longest)
+    step = F.when(F.col("done"), F.col("b")).when(good, newton).otherwise(other)
+    live = F.col("live") & ~F.col("done") & (F.col("step") != F.col("b"))
+    rows = rows.withColumn("step", step)
+    return rows.select("source", "target", "scale", "full", live.alias("live"), F.col("step").alias("b"), "low", "high")
+
+
+def class_copies(histogram: DataFrame, goals: DataFrame, cap: float = CAP) -> DataFrame:
+    """source, size, n, source_size, target, k: how many copies each size class gets."""
+    tilted = tilt(histogram, goals, cap)
+    facts = goals.select(F.col("source").alias("g_source"), F.col("total").alias("source_size"), "target").join(tilted.withColumnRenamed("source", "t_source"), _same("g_source", "t_source")).drop("t_source")
+    rows = histogram.join(facts, _same("source", "g_source")).drop("g_source")
+    rate = F.when(F.col("full"), cap).otherwise(F.least(F.lit(cap), F.exp(F.least(F.lit(700.0), F.col("b") * F.col("size") / F.col("scale")))))
+    by_size = Window.partitionBy("source").orderBy("size")  # a row for each size of a source
+    upto = F.floor(F.sum("given").over(by_size.rowsBetween(Window.unboundedPreceding, 0)) + 0.5 + 1e-9)
+    before = F.coalesce(F.lag("upto").over(by_size), F.lit(0))
+    most = (cap * F.col("n")).cast("long")
+    rows = rows.withColumn("given", F.col("n") * rate).withColumn("upto", upto).withColumn("k", F.greatest(F.lit(0), F.least(most, F.col("upto") - before)))
+    classes = materialise(rows.select("source", "size", "n", "source_size", "target", F.col("k").cast("long").alias("k")), "classes")
+    while True:
+        choice = materialise(_nearer(classes, cap), "choice")
+        if choice.isEmpty():
+            return classes
+        picked = classes.join(choice, _same("source", "c_source") & (F.col("size") == F.col("c_size")), "left")
+        classes = materialise(picked.select("source", "size", "n", "source_size", "target", (F.col("k") + F.coalesce("step", F.lit(0))).alias("k")), "classes")
+
+
+def _nearer(classes: DataFrame, cap: float) -> DataFrame:
+    """c_source, c_size, step (1 or -1): the copy whose change brings each source nearest to its target, if any does."""
+    gap = classes.groupBy(F.col("source").alias("g_source")).agg((F.first("target") - F.sum(F.col("k") * F.col("size"))).alias("gap"))
+    rows = classes.join(gap, _same("source", "g_source"))
+    more = F.col("gap") > 0
+    can = F.when(more, F.col("k") + 1 <= cap * F.col("n")).otherwise(F.col("k") > 0)
+    # By half a word at least: what is left can't be less than rounding to whole words leaves.
+    left = F.abs(F.abs("gap") - F.col("size"))
+    rows = rows.filter(can & (F.col("size") > 0) & (left + 0.5 <= F.abs("gap")))
+    best = rows.groupBy("source", more.alias("more")).agg(F.min(F.struct(left.alias("left"), "size")).alias("best"))
+    return best.select(F.col("source").alias("c_source"), F.col("best.size").alias("c_size"), F.when(F.col("more"), 1).otherwise(-1).cast("long").alias("step"))
 
 
 def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: a row for each row of docs."""
-    spark = docs.sparkSession
     narrow = materialise(sizes(docs), "sizes")
     histogram = materialise(narrow.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
-    per_source = histogram.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("total")).limit(MOST_SOURCES + 1).collect()
-    if len(per_source) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    goal = targets({r["source"]: int(r["total"]) for r in per_source}, weights, share, cap)
-    tilted = tilt(histogram, per_source, goal, cap)
-    rows = [(r["source"], int(r["total"]), float(goal[r["source"]]), *tilted.get(r["source"], (0.0, 0.0, 1.0))) for r in per_source]
-    params = inline(spark, rows, "p_source string, source_size long, target double, a double, b double, scale double")
-    classes = histogram.join(F.broadcast(params), _null_safe("source", "p_source")).drop("p_source")
-    rate = F.least(F.lit(float(cap)), F.exp(F.least(F.lit(700.0), F.col("a") + F.col("b") * F.col("size") / F.col("scale"))))
-    run = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.floor(F.sum("given").over(run) + 0.5 + 1e-9)
-    before = F.coalesce(F.lag("upto").over(Window.partitionBy("source").orderBy("size")), F.lit(0))
-    most = (F.lit(float(cap)) * F.col("n")).cast("long")
-    classes = classes.withColumn("given", F.col("n") * rate).withColumn("upto", upto).withColumn("k", F.greatest(F.lit(0), F.least(most, F.col("upto") - before)))
-    classes = materialise(classes.select("source", "size", "n", "source_size", "target", F.col("k").cast("long").alias("k")), "classes")
-    for _ in range(ROUNDS):
-        classes = materialise(_fill(classes, cap), "classes")
-    # Ranks within a class, salted: a class may hold a third of all rows.
-    salted = narrow.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    ranked = salted.withColumn("rn", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")))
-    per_salt = salted.groupBy("source", "size", "salt").agg(F.count("*").alias("m"))
-    first = F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = per_salt.withColumn("first", first).select("source", "size", "salt", "first")
-    odd = F.pmod(F.col("k"), F.col("n"))
-    table = places.join(classes.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), "n", "k", "source_size", "target"), _null_safe("source", "c_source") & (F.col("size") == F.col("c_size")))
-    table = table.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.col("salt").alias("c_salt"), "first", F.floor(F.col("k") / F.col("n")).cast("long").alias("each"), odd.alias("odd"), "source_size", "target")
-    out = ranked.join(table, _null_safe("source", "c_source") & (F.col("size") == F.col("c_size")) & (F.col("salt") == F.col("c_salt")))
-    n = (F.col("each") + F.when(F.col("first") + F.col("rn") <= F.col("odd"), 1).otherwise(0)).cast("long")
+    totals = histogram.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("total"))
+    classes = class_copies(histogram, materialise(targets(totals, weights, share, cap), "targets"), cap)
+    # One key for a class, null sources included.
+    key = F.concat(F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")), F.lit(" "), F.col("size").cast("string"))
+    classes = classes.withColumn("key", key).drop("source", "size")
+    many = int(common.HOT * narrow.count()) + 1
+    parts = F.ceil(F.col("n") / many).cast("int")
+    # Classes of more than a share HOT of all rows: 1 / HOT of them at most.
+    hot = F.broadcast(classes.filter(F.col("n") > many).select(F.col("key").alias("hot_key"), parts.alias("parts")))
+    dealt = narrow.withColumn("key", key).join(hot, F.col("key") == F.col("hot_key"), "left")
+    dealt = dealt.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int"))
+    # Ranks go on from place to place; cold classes have one. A hot class has `parts` rows here.
+    counts = dealt.filter("hot_key is not null").groupBy("key", "place").agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("key").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = counts.select(F.col("key").alias("f_key"), F.col("place").alias("f_place"), before.alias("first"))
+    table = classes.withColumn("place", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    table = table.join(first, (F.col("key") == F.col("f_key")) & (F.col("place") == F.col("f_place")), "left").drop("f_key", "f_place")
+    order = Window.partitionBy("key", "place").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
+    ranked = dealt.select("doc_id", "source", "size", "key", "place").withColumn("rn", F.row_number().over(order))
+    # Dealt by (key, place) already; the table grows with the sizes of documents, so it isn't to be broadcast.
+    out = ranked.join(table.hint("merge"), ["key", "place"])
+    rank = F.coalesce("first", F.lit(0)) + F.col("rn")
+    n = (F.floor(F.col("k") / F.col("n")) + F.when(rank <= F.col("k") % F.col("n"), 1).otherwise(0)).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"))
 
 
-def _fill(classes: DataFrame, cap: float) -> DataFrame:
-    """One copy more or less, in each source, of the size nearest to what its taken words miss; none if that doesn't help."""
-    gap = classes.groupBy(F.col("source").alias("g_source")).agg((F.first("target") - F.sum(F.col("k") * F.col("size"))).alias("gap"))
-    # A row for each source, as counted above.
-    rows = classes.join(F.broadcast(gap), _null_safe("source", "g_source")).drop("g_source")
-    can = F.when(F.col("gap") > 0, F.col("k") + 1 <= F.lit(float(cap)) * F.col("n")).otherwise(F.col("k") > 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap"))
-    choice = rows.filter(can).groupBy(F.col("source").alias("g_source")).agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("size")).alias("d"), F.col("size").alias("size"))).alias("best"))
-    picked = rows.join(F.broadcast(choice), _null_safe("source", "g_source"), "left")
-    step = F.when(F.col("best.size") == F.col("size"), F.when(F.col("gap") > 0, 1).otherwise(-1)).otherwise(0)
-    return picked.select("source", "size", "n", "source_size", "target", (F.col("k") + step).cast("long").alias("k"))
-
-
-def mix_documents(docs: DataFrame) -> DataFrame:
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it, all columns kept.
 
-    Rows that share one doc_id share their copies: the greatest of them.
+    Rows of one id are told apart by source and size; those alike in these too are interchangeable and share the copies
+    that the mix takes of them.
     """
-    mine = copies(docs).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("copies").alias("__mix_copies")).filter("__mix_copies > 0")
-    rows = docs.join(mine, F.col("doc_id").cast("long").eqNullSafe(F.col("__mix_id")))
-    return rows.withColumn("__mix_n", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    every = materialise(copies(docs, **options).select("doc_id", "source", "size", "copies"), "copies")
+    by_id = every.groupBy(F.col("doc_id").alias("__mix_id")).agg(F.sum("copies").alias("__mix_copies"), F.count("*").alias("__mix_rows"))
+    if by_id.filter("__mix_rows > 1").isEmpty():
+        rows = docs.join(by_id.filter("__mix_copies > 0"), F.col("doc_id").cast("long").eqNullSafe(F.col("__mix_id"))).withColumn("__mix_n", F.col("__mix_copies"))
+    else:
+        alike = every.groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"))
+        alike = alike.agg(F.sum("copies").alias("__mix_copies"), F.count("*").alias("__mix_rows"))
+        mine = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col("__mix_id")) & F.col("source").cast("string").eqNullSafe(F.col("__mix_source")) & (mine == F.col("__mix_size"))
+        keys = ["__mix_id", "__mix_source", "__mix_size"]
+        rows = docs.join(alike, same)
+        rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.col("text"))))
+        each = F.floor(F.col("__mix_copies") / F.col("__mix_rows")) + F.when(rn <= F.col("__mix_copies") % F.col("__mix_rows"), 1).otherwise(0)
+        rows = rows.withColumn("__mix_n", each.cast("long")).filter("__mix_n > 0")
+    return rows.withColumn("__mix_one", F.explode(F.sequence(F.lit(1), F.col("__mix_n").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -46,7 +46,7 @@ def query_calls(content: Column) -> Column:
 def is_pure_tool_call(content: Column) -> Column:
     """Nothing but valid call blocks, and at least one."""
     blocks = F.regexp_count(F.coalesce(content, F.lit("")), F.lit(CALL_BLOCK))
-    return (blocks > 0) & (F.size(tool_calls(content)) == blocks) & (F.trim(F.regexp_replace(content, CALL_BLOCK, "")) == "")
+    return (blocks > 0) & (F.size(tool_calls(content)) == blocks) & ~F.regexp_replace(content, CALL_BLOCK, "").rlike(r"\S")
 
 
 @F.pandas_udf(T.StringType())

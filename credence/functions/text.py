@@ -153,6 +153,12 @@ def optional_bool(text: Column) -> Column:
     return F.when(t.isin("true", "1", "yes", "y", "on"), True).when(t.isin("false", "0", "no", "n", "off", ""), False)
 
 
+def int_list(values: Column) -> Column:
+    """The whole numbers among an array of texts, each once, in order; null or missing arrays are empty."""
+    numbers = F.transform(F.coalesce(values, _EMPTY()), lambda v: F.trim(v).try_cast("long"))
+    return F.array_distinct(F.filter(numbers, lambda n: n.isNotNull()))
+
+
 def query_terms(text: Column, stop_words: list[str], most: int = 48) -> Column:
     """The last `most` distinct terms of two letters or more, in order of their last occurrence."""
     found = F.regexp_extract_all(nfkc_lower(text), F.lit(r"[\p{L}\p{N}_-]{2,}"), F.lit(0))

@@ -117,21 +117,26 @@ def component_metrics(selected: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def path_to_root(entries: DataFrame, leaves: DataFrame) -> DataFrame:
-    """session, leaf, id, depth: each leaf's chain of parents, itself first, by a recursive query.
+    """session, leaf, id, depth: each leaf's chain of parents, itself first. A parent that isn't there ends it.
 
-    entries: session, id, parent_id; leaves: session, id.
+    entries: session, id, parent_id; leaves: session, id. By pointer doubling: after k rounds all ancestors within 2^k
+    steps are known, so a chain of any depth takes its logarithm in joins. A cycle is an error.
     """
-    spark = entries.sparkSession
-    tag = uuid.uuid4().hex[:12]
-    entries.select("session", "id", "parent_id").createOrReplaceTempView(f"entries_{tag}")
-    leaves.select("session", "id").createOrReplaceTempView(f"leaves_{tag}")
-    return spark.sql(
-        f"""WITH RECURSIVE up(session, leaf, id, parent_id, depth) AS (
-              SELECT e.session, e.id, e.id, e.parent_id, 0 FROM entries_{tag} e JOIN leaves_{tag} l ON l.session = e.session AND l.id = e.id
-              UNION ALL
-              SELECT u.session, u.leaf, e.id, e.parent_id, u.depth + 1 FROM up u JOIN entries_{tag} e ON e.session = u.session AND e.id = u.parent_id
-            ) SELECT session, leaf, id, depth FROM up"""
-    )
+    there = entries.select("session", F.col("id").alias("parent_id")).distinct()
+    up = cut(entries.select("session", "id", "parent_id").join(there, ["session", "parent_id"], "left_semi").select("session", "id", F.col("parent_id").alias("up")), "up")
+    path = entries.select("session", "id").distinct().join(leaves.select("session", "id"), ["session", "id"], "left_semi")
+    path, step, most = path.select("session", F.col("id").alias("leaf"), "id", F.lit(0).alias("depth")), 1, None
+    while True:
+        more = path.join(up, ["session", "id"]).select("session", "leaf", F.col("up").alias("id"), (F.col("depth") + step).alias("depth"))
+        more = cut(more, "path")
+        if more.isEmpty():
+            return path
+        most = entries.count() if most is None else most
+        if step > most:
+            raise ValueError("a cycle of parents")
+        path = path.unionByName(more)
+        above = up.select("session", F.col("id").alias("up"), F.col("up").alias("above"))
+        up, step = cut(up.join(above, ["session", "up"]).select("session", "id", F.col("above").alias("up")), "up"), 2 * step
 
 
 def context_entries(path: DataFrame, entries: DataFrame) -> DataFrame:

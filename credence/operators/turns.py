@@ -96,6 +96,15 @@ def paired_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     return seen.select("item_id", "result_id", F.coalesce("exact_id", F.get("last_calls", place.cast("int"))["call_id"]).alias("call_id"))
 
 
+def result_queries(pairs: DataFrame, calls: DataFrame) -> DataFrame:
+    """item_id, result_id, query: the query of the call that a result answers; null where it has none or a blank one.
+
+    pairs: as `paired_results` gives them; calls: item_id, call_id, query.
+    """
+    q = calls.select("item_id", "call_id", F.when(F.trim("query") != "", F.col("query")).alias("query"))
+    return pairs.join(q, ["item_id", "call_id"], "left").select("item_id", "result_id", "query")
+
+
 def recent_steps(steps: DataFrame, n: int) -> DataFrame:
     """The last n complete steps of a session and all that follows; calls of one batch stay whole.
 

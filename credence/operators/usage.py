@@ -196,3 +196,15 @@ def scored(tasks: DataFrame) -> DataFrame:
     value = F.when(F.col("benchmark") == "hotpotqa", F.col("hp.f1")).otherwise(ok.cast("double"))
     extracted = F.when(F.col("benchmark") == "mmlu_pro", F.col("choice")).otherwise(F.col("final"))
     return one.groupBy("task_id").agg(F.coalesce(F.bool_or(ok), F.lit(False)).alias("correct"), F.coalesce(F.max(value), F.lit(0.0)).alias("score"), F.first(extracted).alias("extracted"))
+
+
+def axes(rows: DataFrame, panel: str, value: str) -> DataFrame:
+    """panel, top, step, ticks: an axis from 0 with round steps, about seven, that leaves 8 % above the greatest value."""
+    high = rows.groupBy(panel).agg(F.max(value).alias("high")).filter("high > 0")
+    room = F.col("high") * 1.08
+    power = F.pow(F.lit(10.0), F.floor(F.log10(room / 7)))
+    # The least of these multiples that is wide enough.
+    step = F.element_at(F.filter(F.array(*(F.lit(m) for m in (1.0, 2.0, 2.5, 5.0, 10.0))), lambda m: room / 7 / power <= m), 1) * power
+    out = high.withColumn("step", step).withColumn("top", F.ceil(room / F.col("step")) * F.col("step"))
+    ticks = F.transform(F.sequence(F.lit(0), F.round(F.col("top") / F.col("step")).cast("int")), lambda k: k * F.col("step"))
+    return out.select(panel, "top", "step", ticks.alias("ticks"))

@@ -83,7 +83,8 @@ def is_quota_error(text: Column) -> Column:
 
 
 def labelled_field(text: Column, name: str) -> Column:
-    return F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?ims)^\s*{name}\s*:\s*(.*?)(?=^\s*[a-z_ ]+\s*:|\z)", 1))
+    value = F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?ims)^\s*{name}\s*:\s*(.*?)(?=^\s*[a-z_ ]+\s*:|\z)", 1)
+    return F.regexp_replace(value, r"^\s+|\s+\z", "")
 
 
 def judge_verdict(text: Column) -> Column:

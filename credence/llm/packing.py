@@ -5,8 +5,8 @@ checksums. Packing needs only how many pieces there are of each length (at most
 for a bin, begun by the longest length left, a subset-sum dynamic programme over the available lengths - a bitset, an
 integer whose bit s says that s tokens can be reached - finds the fullest feasible combination. That combination is
 removed as often as it is available, so each step uses up a length and there are at most a few thousand patterns.
-Pieces then find their places by rank among those of their length; ranks are salted, as one length may be that of a
-third of all pieces.
+Pieces then find their places by rank among those of their length; the ranks of a hot length, which may be that of a
+third of all pieces, are dealt out over as many tasks as it makes shares HOT of all pieces.
 
 Nulls and edges: a null text is empty, and an empty document is its end token alone; repeated rows are documents each;
 an empty table gives an empty result. Sequence numbers are dense from 0.
@@ -22,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from credence.llm.common import documents, materialise, parallel
+from credence.llm import common
+from credence.llm.common import documents, inline, materialise, parallel
 
 CAPACITY, END = 4096, 1
-SALTS = 64
 #: Words held by a worker between tasks; later ones are encoded where they occur.
 CACHE = 150_000
 CHUNK = 1 << 20
@@ -227,17 +227,24 @@ def _places(bins: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """The pieces with sequence_id and offset; gapless from 0 in each sequence."""
-    cut = materialise(pieces(docs, path, capacity, with_ids), "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
-    per_salt = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    # At most capacity x SALTS rows of three numbers: bounded whatever the input.
-    known = sorted((r["length"], r["salt"], r["n"]) for r in per_salt.collect())
-    totals: dict[int, int] = {}
+    cut = materialise(pieces(docs, path, capacity, with_ids), "pieces")
+    spark = cut.sparkSession
+    # At most `capacity` rows of two numbers: bounded whatever the input.
+    totals = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    many = int(common.HOT * sum(totals.values())) + 1
+    parts = [(x, -(-n // many)) for x, n in sorted(totals.items()) if n > many]  # 1 / HOT lengths at most, and twice as many parts
+    hot = F.broadcast(inline(spark, parts, "hot_length long, parts long"))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.coalesce("parts", F.lit(1)))
+    cut = cut.join(hot, F.col("length") == F.col("hot_length"), "left").withColumn("salt", salt.cast("long"))
+    known = cut.filter("hot_length is not null").groupBy("length", "salt").agg(F.count("*").alias("n")).collect() if parts else []
+    cut = cut.drop("hot_length", "parts")
     first: dict[tuple[int, int], int] = {}
-    for x, salt, n in known:
-        first[x, salt] = totals.get(x, 0)
-        totals[x] = totals.get(x, 0) + n
+    before: dict[int, int] = {}
+    for x, s, n in sorted((r["length"], r["salt"], r["n"]) for r in known):
+        first[x, s] = before.get(x, 0)
+        before[x] = before.get(x, 0) + n
     table = _places(patterns(totals, capacity))
-    sent = cut.sparkSession.sparkContext.broadcast((first, table))
+    sent = spark.sparkContext.broadcast((first, table))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = cut.withColumn("rn", F.row_number().over(order))
 
@@ -248,7 +255,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, wit
             sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             for x in np.unique(length):
                 at = np.flatnonzero(length == x)
-                rank = np.array([first[int(x), int(s)] for s in salt[at]], np.int64) + rn[at] - 1
+                rank = np.array([first.get((int(x), int(s)), 0) for s in salt[at]], np.int64) + rn[at] - 1
                 rows = table[int(x)]
                 row = rows[np.searchsorted(rows[:, 0], rank, "right") - 1]
                 k = rank - row[:, 0]

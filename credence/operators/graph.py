@@ -68,21 +68,21 @@ def pagerank_by_item(nodes: DataFrame, edges: DataFrame, alpha: float = 0.78) ->
     import pandas as pd
 
     kind = dict(nodes.dtypes)
-    listed = edges.groupBy("item_id").agg(F.collect_list(F.struct("from_id", "to_id", "weight")).alias("edges"))
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+    def kernel(mine: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         from credence.operators.selection import _ranks
 
-        ids = sorted(int(i) for i in pdf["id"])
+        ids = sorted(int(i) for i in mine["id"])
+        if not ids:
+            return pd.DataFrame({"item_id": [], "id": [], "rank": []})
         out: dict[int, dict[int, float]] = {}
-        found = pdf["edges"].iloc[0]
-        for e in found if found is not None else []:
-            to = out.setdefault(int(e["from_id"]), {})
-            to[int(e["to_id"])] = to.get(int(e["to_id"]), 0.0) + float(e["weight"])
-        r = _ranks(ids, out, {int(i): float(w) for i, w in zip(pdf["id"], pdf["weight"])}, alpha)
-        return pd.DataFrame({"item_id": [pdf["item_id"].iloc[0]] * len(ids), "id": ids, "rank": [r[i] for i in ids]})
-
-    return nodes.select("item_id", "id", "weight").join(listed, "item_id", "left").groupBy("item_id").applyInPandas(kernel, f"item_id {kind['item_id']}, id {kind['id']}, rank double")
+        for (a, b), w in edges.groupby(["from_id", "to_id"])["weight"].sum().items():
+            out.setdefault(int(a), {})[int(b)] = float(w)
+        r = _ranks(ids, out, {int(i): float(w) for i, w in zip(mine["id"], mine["weight"])}, alpha)
+        return pd.DataFrame({"item_id": [mine["item_id"].iloc[0]] * len(ids), "id": ids, "rank": [r[i] for i in ids]})
+
+    both = nodes.select("item_id", "id", "weight").groupBy("item_id").cogroup(edges.select("item_id", "from_id", "to_id", "weight").groupBy("item_id"))
+    return both.applyInPandas(kernel, f"item_id {kind['item_id']}, id {kind['id']}, rank double")
 
 
 def support_closure(nodes: DataFrame, relations: DataFrame, depth: int = 5) -> DataFrame:

@@ -9,11 +9,10 @@ from __future__ import annotations
 import math
 import re
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from credence.functions import text as X
-from credence.operators.selection import OUT, _Choice, _connected, _paths, _ranks, _recency, _worth, prepared
+from credence.operators.selection import _beam, _Choice, _connected, _paths, _ranks, _recency, _worth, by_item, prepared
 
 _VAGUE = re.compile(r"(?i)\b(?:requires? verification|needs? verification|is investigating|considers? the possibility|could be|may be|might be|exact .* unknown)\b")
 _SPECIFIC = re.compile(r"\b\d+(?:[.,:/-]\d+)*\b|[\"“][^\"”]{2,}[\"”]|\b[A-Z][a-z]+(?:\s+[A-Z][A-Za-z.'-]+)+\b")
@@ -52,7 +51,7 @@ class _Item:
         return sum(w * {"confidence": self.rows[i]["confidence"], "recent": self.recent[i]}.get(k, self.sim(i, k)) for k, w in weights.items())
 
 
-def _diverse(item: _Item, pool: list[int], value, penalty: float, taken: list[int], take) -> None:
+def _diverse(item: _Item, pool: list[int], value, penalty: float, taken, take) -> None:
     """Take from the pool by value less what is alike to what was taken, per cost, until it is empty or `take` says stop."""
     left = set(pool)
     while left:
@@ -86,18 +85,11 @@ def evidence_first(item: _Item, budget: int, depth: int = 3) -> list[int]:
     score = {i: max(0.001, item.mixed(i, question=0.42, query=0.28, recent=0.07, confidence=0.08) + 0.15 * rank[i] + item.rows[i]["adjust"] - 0.10 * item.rows[i]["search"]) for i in ids}
     seeds: list[int] = []
     _diverse(item, item.facts, score.get, 0.22, seeds, lambda i: seeds.append(i) or len(seeds) < 24)
-    per = lambda g, path: g / (1 + sum(item.cost[i] for i in path) / 240.0) ** 0.40
-    found = []
-    for s in seeds:
-        front = [(score[s], (s,))]
-        found.append((score[s], (s,)))
-        for _ in range(depth):
-            longer = [(g + w * (0.25 + 0.75 * score[j]), (*p, j)) for g, p in front for j, w in item.both.get(p[-1], {}).items() if j not in p]
-            front = sorted(longer, key=lambda x: (-per(*x), x[1]))[:8]
-            found += [(per(g, p), p) for g, p in front]
+    paths = _beam(ids, item.both, seeds, score, item.cost, depth, (0.25, 0.75), 0.40)
+    found = [(g if len(path) == 1 else u, path) for u, g, path in paths]
     c, searches = _Choice(item.rows, budget), 0
     for _, path in sorted(found, key=lambda x: (-x[0], -len(x[1]), x[1])):
-        more = sum(item.rows[i]["search"] for i in path if i not in c.ids)
+        more = sum(item.rows[i]["search"] for i in path if i not in c.taken)
         if any(not item.rows[i]["search"] for i in path) and searches + more <= 6 and c.take(list(path)):
             searches += more
     for i in seeds:
@@ -126,7 +118,7 @@ def pruned(item: _Item, budget: int, depth: int = 4) -> list[int]:
     c.take([i for i in base if not item.rows[i]["search"]])
     room = budget - min(900, sum(item.cost[i] for i in searches))
     value = lambda i: item.mixed(i, question=0.44, focus=0.28, query=0.12, confidence=0.10, recent=0.06) + item.rows[i]["adjust"]
-    _diverse(item, [i for i in item.facts if i not in c.ids], value, 0.18, c.ids, lambda i: c.take([i], room) or True)
+    _diverse(item, [i for i in item.facts if i not in c.taken], value, 0.18, c.taken, lambda i: c.take([i], room) or True)
     ids, left, n = list(c.ids), set(searches), 0
     used = c.used
     latest = max(searches, key=lambda i: (item.rows[i]["turn"], -i), default=None)
@@ -161,15 +153,15 @@ def answer_directed(item: _Item, budget: int, depth: int = 4) -> list[int]:
     room = max(0, budget - min(700, max(0, budget // 7)))
 
     def joined(i: int) -> float:
-        near = [j for j in c.ids if j in item.both.get(i, ())]
+        near = [j for j in c.taken if j in item.both.get(i, ())]
         return value(i) + max((0.13 * item.both[i][j] for j in near), default=0.0) + 0.08 * any((i, j) in item.against for j in near)
 
-    _diverse(item, item.facts, joined, 0.17, c.ids, lambda i: c.take([i], room) or True)
+    _diverse(item, item.facts, joined, 0.17, c.taken, lambda i: c.take([i], room) or True)
     ids = sorted(c.ids, key=lambda i: (-value(i), -item.rows[i]["turn"], -i))
     searches = [i for i in item.rows if item.rows[i]["search"]]
     latest = max(searches, key=lambda i: (item.rows[i]["turn"], -i), default=None)
-    edge = {i: max((w for j, w in item.both.get(i, {}).items() if j in c.ids), default=0.0) for i in searches}
-    made = {i: any(i in item.out.get(j, ()) for j in c.ids) for i in searches}
+    edge = {i: max((w for j, w in item.both.get(i, {}).items() if j in c.taken), default=0.0) for i in searches}
+    made = {i: any(i in item.out.get(j, ()) for j in c.taken) for i in searches}
     used, n = c.used, 0
     for i in sorted(searches, key=lambda i: (-(item.mixed(i, focus=0.34, question=0.18, recent=0.10) + 0.26 * edge[i] + 0.12 * made[i]), -edge[i], -item.rows[i]["turn"], i)):
         if n < 4 and (edge[i] > 0 or i == latest) and used + item.cost[i] <= budget:
@@ -206,22 +198,14 @@ def select(nodes: DataFrame, coherent: DataFrame, similarity: DataFrame, strateg
     """item_id, strategy, pos, id, cost of a replay selector; by_path: in the order of evidence paths."""
     kinds = nodes.select("item_id", "id", "node_type")
     rows = prepared(nodes, similarity).join(kinds, ["item_id", "id"])
-    edges = coherent.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("from_id", "to_id", "type", "strength", "id"))).alias("edges"))
-    joined = rows.join(edges, "item_id", "left")
-
-    def kernel(table: pa.Table) -> pa.Table:
-        pdf = table.to_pandas()
-        r = {int(x["id"]): {**x, "sim": dict(x["sim"]) if x["sim"] is not None else {}, "raw": bool(x["raw"]), "search": bool(x["search"])} for x in pdf.drop(columns=["edges"]).to_dict("records")}
-        found = pdf["edges"].iloc[0]
-        item = _Item(r, [x for x in (found if found is not None else []) if x["from_id"] in r and x["to_id"] in r])
+
+    def kernel(found: dict[int, dict], edges: list[dict]) -> tuple[str, list[int]]:
+        item = _Item(found, edges)
         fits = sum(item.cost.values()) <= budget and strategy not in ALWAYS
-        ids = sorted(r) if fits else STRATEGIES[strategy](item, budget, depth)
-        ids = path_order(item, ids) if by_path else ids
-        n = len(ids)
-        columns = [pa.array([pdf["item_id"].iloc[0]] * n, pa.string()), pa.array([strategy] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(ids, pa.int64()), pa.array([int(item.cost[i]) for i in ids], pa.int64())]
-        return pa.Table.from_arrays(columns, ["item_id", "strategy", "pos", "id", "cost"])
+        ids = sorted(found) if fits else STRATEGIES[strategy](item, budget, depth)
+        return strategy, path_order(item, ids) if by_path else ids
 
-    return joined.groupBy("item_id").applyInArrow(kernel, OUT)
+    return by_item(rows, coherent, kernel)
 
 
 def rendered(nodes: DataFrame, selected: DataFrame, relations: DataFrame, most: int = 8000) -> DataFrame:

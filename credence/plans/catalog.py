@@ -141,7 +141,7 @@ def cache_misses(spark, sf):
     return T.cache_misses(m)
 
 
-Q_SQL = "qs AS (SELECT source AS task, doc_id AS seq, substr(text, 1, 60) AS q FROM documents)"
+Q_SQL = "qs AS (SELECT source AS task, doc_id AS seq, text AS q FROM documents)"
 
 
 @query(
@@ -150,7 +150,7 @@ Q_SQL = "qs AS (SELECT source AS task, doc_id AS seq, substr(text, 1, 60) AS q F
     Q_SQL, "w AS (SELECT task, seq, list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+')) AS t FROM qs)",
 )
 def repeated_queries(spark, sf):
-    return T.repeated_queries(table(spark, sf, "documents").select(F.col("source").alias("task"), F.col("doc_id").alias("seq"), F.substring("text", 1, 60).alias("query")))
+    return T.repeated_queries(table(spark, sf, "documents").select(F.col("source").alias("task"), F.col("doc_id").alias("seq"), F.col("text").alias("query")))
 
 
 @query("SELECT task, CAST(min(n) AS INTEGER) AS first FROM (SELECT user_id AS task, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE event_type = 'purchase' GROUP BY task")
@@ -414,15 +414,20 @@ def eligible_nodes(spark, sf):
     return N.eligible(B.nodes(spark, sf)).select("item_id", "id")
 
 
-@query("SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY id) AS INTEGER) AS rank, text FROM (SELECT *, row_number() OVER (PARTITION BY item_id, lower(trim(text)) ORDER BY id) AS r FROM (SELECT item_id, id, trim(substr(text, 1, 12)) AS text FROM nodes WHERE role = 'user' AND trim(substr(text, 1, 12)) <> '')) WHERE r = 1 QUALIFY rank <= 12", ND)
+CONSTRAINTS_SQL = """SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY id) AS INTEGER) AS rank, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id, lower(text) ORDER BY id) AS r FROM (SELECT item_id, id, trim(text) AS text FROM nodes WHERE role = 'user'))
+WHERE r = 1 AND NOT (contains(lower(text), 'web_search') OR contains(lower(text), 'final answer') OR starts_with(lower(text), 'external evidence ') OR starts_with(lower(text), 'the response must ')) QUALIFY rank <= 12"""
+
+
+@query(CONSTRAINTS_SQL, ND)
 def question_constraints(spark, sf):
-    n = B.nodes(spark, sf).filter("role = 'user'").withColumn("turn_id", F.lit(1).cast("long")).withColumn("text", F.substring("text", 1, 12))
-    return N.question_constraints(n)
+    """Whole statements of the user; all turns stand for the first."""
+    return N.question_constraints(B.nodes(spark, sf).filter("role = 'user'").withColumn("turn_id", F.lit(1).cast("long")))
 
 
-@query()
+@query(CONSTRAINTS_SQL, ND)
 def question_constraints_whole(spark, sf):
-    return N.question_constraints(B.nodes(spark, sf).filter("role = 'user'").withColumn("turn_id", F.lit(1).cast("long")))
+    return question_constraints(spark, sf)
 
 
 @query("SELECT n.item_id, n.id, CASE WHEN n.node_type = 'decision' AND n.id = d.id THEN 'decision' ELSE 'belief' END AS node_type FROM nodes n LEFT JOIN (SELECT item_id, max(id) AS id FROM nodes WHERE node_type = 'decision' GROUP BY item_id) d ON d.item_id = n.item_id", ND)
@@ -479,18 +484,23 @@ def dashboard_summary(spark, sf):
 # -- text ------------------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT b.item_id, d.doc_id, round(len(list_intersect(b.t, d.t)) / sqrt(len(b.t) * len(d.t)), 9) AS similarity FROM (SELECT item_id, list_distinct(regexp_extract_all(lower(text), {TOKEN_SQL})) AS t FROM benchmark) b, (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), {TOKEN_SQL})) AS t FROM documents WHERE doc_id % 50 = 0) d WHERE len(b.t) > 0 AND len(d.t) > 0 AND len(list_intersect(b.t, d.t)) > 0")
-def lexical_similarity(spark, sf):
-    """Set cosine of benchmark items and one document in fifty, as far as the SQL goes; `lexical_similarity_whole` takes all."""
-    return _lexical(table(spark, sf, "benchmark"), table(spark, sf, "documents").filter("doc_id % 50 = 0"))
+LEXICAL_SQL = f"""SELECT item_id, doc_id, round(c / sqrt(nb * nd), 9) AS similarity FROM (
+  SELECT b.item_id, d.doc_id, count(*) AS c, any_value(b.n) AS nb, any_value(d.n) AS nd
+  FROM (SELECT item_id, len(t) AS n, unnest(t) AS w FROM (SELECT item_id, list_distinct(regexp_extract_all(lower(text), {TOKEN_SQL})) AS t FROM benchmark)) b
+  JOIN (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), {TOKEN_SQL})) AS t FROM documents)) d ON b.w = d.w GROUP BY ALL)"""
 
 
-@query()
-def lexical_similarity_whole(spark, sf):
+@query(LEXICAL_SQL)
+def lexical_similarity(spark, sf):
     """Set cosine of all benchmark items and all documents, by an inverted index: only pairs that share a token."""
     return _lexical(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
 
 
+@query(LEXICAL_SQL)
+def lexical_similarity_whole(spark, sf):
+    return lexical_similarity(spark, sf)
+
+
 def _lexical(items, documents):
     b = items.select("item_id", X.tokens(F.col("text")).alias("t"))
     d = documents.select("doc_id", X.tokens(F.col("text")).alias("t"))
@@ -514,14 +524,17 @@ def canonical_urls(spark, sf):
     return table(spark, sf, "pages").select("page_id", "url", F.get(X.canonical_urls(F.lit(""), F.col("url")), F.lit(0)).alias("canonical"), X.domain(F.col("url")).alias("host"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 30), '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM documents")
+NAMES_SQL = "SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM documents"
+
+
+@query(NAMES_SQL)
 def sanitized_names(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.sanitize_name(F.substring("text", 1, 30)).alias("name"))
+    return table(spark, sf, "documents").select("doc_id", X.sanitize_name(F.col("text")).alias("name"))
 
 
-@query()
+@query(NAMES_SQL)
 def sanitized_names_whole(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.sanitize_name(F.col("text")).alias("name"))
+    return sanitized_names(spark, sf)
 
 
 @query("SELECT doc_id, trim(x) AS answer FROM (SELECT doc_id, list_last(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) AS x FROM documents WHERE NOT regexp_matches(text, '(?i)answer'))")
@@ -529,10 +542,20 @@ def final_answers(spark, sf):
     return table(spark, sf, "documents").filter(~F.col("text").rlike("(?i)answer")).select("doc_id", S.final_answer(F.col("text")).alias("answer"))
 
 
-@query("SELECT a.doc_id, CASE WHEN len(p) = 0 OR len(r) = 0 OR c = 0 THEN CAST(p = r AS DOUBLE) ELSE round(2.0 * (c / len(p)) * (c / len(r)) / (c / len(p) + c / len(r)), 9) END AS f1 FROM (SELECT doc_id, p, r, list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(r, lambda x: x = w)))))::DOUBLE AS c FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[!\"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w NOT IN ('a', 'an', 'the', '')) AS p, list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(substr(text, 50, 200)), '[!\"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w NOT IN ('a', 'an', 'the', '')) AS r FROM documents WHERE lang = 'en')) a")
+def _hotpot_words(column: str) -> str:
+    plain = f"regexp_replace(regexp_replace(lower({column}), '[!\"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{{|}}~]', '', 'g'), '\\s+', ' ', 'g')"
+    return f"list_filter(regexp_split_to_array(trim({plain}), ' '), lambda w: w NOT IN ('a', 'an', 'the', ''))"
+
+
+@query(
+    """SELECT item_id, CASE WHEN len(p) = 0 OR len(r) = 0 OR c = 0 THEN CAST(p = r AS DOUBLE) ELSE round(2.0 * (c / len(p)) * (c / len(r)) / (c / len(p) + c / len(r)), 9) END AS f1
+FROM (SELECT *, list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(r, lambda x: x = w)))))::DOUBLE AS c FROM w)""",
+    f"w AS (SELECT item_id, {_hotpot_words('text')} AS p, {_hotpot_words('next')} AS r FROM (SELECT *, lead(text) OVER (ORDER BY item_id) AS next FROM benchmark) WHERE next IS NOT NULL)",
+)
 def hotpot_f1(spark, sf):
-    d = table(spark, sf, "documents").filter("lang = 'en'")
-    return d.select("doc_id", F.round(S.hotpot(F.substring("text", 1, 200), F.substring("text", 50, 200))["f1"], 9).alias("f1"))
+    """Each item's whole text against the next one's."""
+    b = table(spark, sf, "benchmark").withColumn("next", F.lead("text").over(Window.orderBy("item_id"))).filter("next is not null")
+    return b.select("item_id", F.round(S.hotpot(F.col("text"), F.col("next"))["f1"], 9).alias("f1"))
 
 
 @query()
@@ -744,10 +767,33 @@ def component_metrics(spark, sf):
     return G.component_metrics(B.nodes(spark, sf).filter("confidence >= 0.65"), B.relations(spark, sf)).select("item_id", F.round("largest_share", 9).alias("largest_share"), F.round("isolated_share", 9).alias("isolated_share"))
 
 
-@query()
+def _pagerank_sql(rounds: int) -> list[str]:
+    """Rounds of the walk, one expression each: alpha 0.78, what dangling nodes hold goes back by personalisation."""
+    out = [
+        "r0 AS (SELECT item_id, id, p, p AS rank FROM (SELECT item_id, id, greatest(0.001, confidence) / sum(greatest(0.001, confidence)) OVER (PARTITION BY item_id) AS p FROM nodes))",
+        "sh AS (SELECT item_id, from_id, to_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY item_id, from_id) AS share FROM relations)",
+    ]
+    for k in range(rounds):
+        out.append(
+            f"""r{k + 1} AS (SELECT r.item_id, r.id, p, 0.22::DOUBLE * p + 0.78::DOUBLE * (coalesce(flow, 0) + coalesce(lost, 0) * p) AS rank FROM r{k} r
+  LEFT JOIN (SELECT sh.item_id, to_id, sum(rank * share) AS flow FROM sh JOIN r{k} x ON x.item_id = sh.item_id AND x.id = from_id GROUP BY ALL) f ON f.item_id = r.item_id AND f.to_id = r.id
+  LEFT JOIN (SELECT item_id, sum(rank) AS lost FROM r{k} x WHERE NOT EXISTS (SELECT 1 FROM sh WHERE sh.item_id = x.item_id AND from_id = id) GROUP BY item_id) l ON l.item_id = r.item_id)"""
+        )
+    return out
+
+
+@query("SELECT item_id, id, round(CASE WHEN max(rank) OVER w - min(rank) OVER w <= 1e-9 THEN 1.0 ELSE (rank - min(rank) OVER w) / (max(rank) OVER w - min(rank) OVER w) END, 6) AS rank FROM r3 WINDOW w AS (PARTITION BY item_id)", ND, RL, *_pagerank_sql(3))
+def pagerank_three_rounds(spark, sf):
+    """The distributed form, stopped after three rounds."""
+    n = B.nodes(spark, sf).select("item_id", "id", F.col("confidence").alias("weight"))
+    ranks = G.pagerank(n, B.relations(spark, sf).select("item_id", "from_id", "to_id", F.lit(1.0).alias("weight")), rounds=3, tolerance=0.0)
+    return ranks.withColumn("rank", F.round("rank", 6))
+
+
+@query("SELECT item_id, id, round(CASE WHEN max(rank) OVER w - min(rank) OVER w <= 1e-9 THEN 1.0 ELSE (rank - min(rank) OVER w) / (max(rank) OVER w - min(rank) OVER w) END, 5) AS rank FROM r60 WINDOW w AS (PARTITION BY item_id)", ND, RL, *_pagerank_sql(60))
 def personalised_pagerank(spark, sf):
     n = B.nodes(spark, sf).select("item_id", "id", F.col("confidence").alias("weight"))
-    return G.pagerank_by_item(n, B.relations(spark, sf).select("item_id", "from_id", "to_id", F.lit(1.0).alias("weight")))
+    return G.pagerank_by_item(n, B.relations(spark, sf).select("item_id", "from_id", "to_id", F.lit(1.0).alias("weight"))).withColumn("rank", F.round("rank", 5))
 
 
 @query(
@@ -766,7 +812,19 @@ def newest_in_budget(spark, sf):
     return budget.newest_suffix(B.nodes(spark, sf), F.length("text") + 4, 1500).select("item_id", "id")
 
 
-@query()
+def _greedy_sql(rows: str, fact: int, search: int) -> str:
+    """The skip-greedy fold over `rows` (item_id, id, kind, score, turn_id, cost), a row a step."""
+    return f"""e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY item_id, kind ORDER BY score DESC, turn_id DESC, id DESC) AS n, CASE kind WHEN 'fact' THEN {fact} ELSE {search} END AS lim FROM {rows}),
+g AS (SELECT item_id, kind, 0 AS n, 0::BIGINT AS used, []::BIGINT[] AS ids FROM e GROUP BY ALL
+  UNION ALL SELECT g.item_id, g.kind, e.n, CASE WHEN g.used + e.cost <= lim THEN g.used + e.cost ELSE g.used END, CASE WHEN g.used + e.cost <= lim THEN list_append(g.ids, e.id) ELSE g.ids END
+  FROM g JOIN e ON e.item_id = g.item_id AND e.kind = g.kind AND e.n = g.n + 1)"""
+
+
+GREEDY_SQL = "SELECT item_id, kind, ids, used FROM g QUALIFY row_number() OVER (PARTITION BY item_id, kind ORDER BY n DESC) = 1"
+LINE_SQL = "length('- [B' || id || '] ' || trim(text)) + 1 + CASE WHEN {search} THEN 0 ELSE length(' (confidence 0.00)') END"
+
+
+@query(GREEDY_SQL, "recursive", ND, f"gr AS (SELECT item_id, id, CASE WHEN procedural THEN 'search' ELSE 'fact' END AS kind, confidence AS score, turn_id, {LINE_SQL.format(search='procedural')} AS cost FROM nodes)", _greedy_sql("gr", 900, 300))
 def greedy_budget(spark, sf):
     n = B.nodes(spark, sf)
     rows = n.select("item_id", "id", F.when(F.col("procedural"), "search").otherwise("fact").alias("kind"), F.col("confidence").alias("score"), "turn_id", X.node_cost(F.col("id"), F.col("text"), F.col("confidence"), F.col("procedural")).alias("cost"))
@@ -791,7 +849,14 @@ def focused_selection(spark, sf):
     return SEL.select(n, R.coherent(B.relations(spark, sf), n), RT.similarities(RT.units(n), _families(spark, sf)), "focused", 1200)
 
 
-@query()
+@query(
+    GREEDY_SQL, "recursive", ND,
+    f"fm AS (SELECT item_id, list_distinct(regexp_extract_all(lower(arg_min(text, turn_id)), {TOKEN_SQL})) AS q FROM nodes WHERE turn_id <= 1 GROUP BY item_id)",
+    f"el AS (SELECT n.*, list_distinct(regexp_extract_all(lower(trim(text)), {TOKEN_SQL})) AS t, extraction_method = 'rule_tool_call' OR query IS NOT NULL AS search FROM nodes n WHERE turn_id > 1)",
+    "sm AS (SELECT el.*, CASE WHEN q IS NOT NULL AND len(q) * len(t) > 0 THEN len(list_intersect(q, t)) / sqrt(len(q) * len(t)) ELSE 0 END AS s, (turn_id - min(turn_id) OVER i) / greatest(1, max(turn_id) OVER i - min(turn_id) OVER i) AS recent FROM el LEFT JOIN fm USING (item_id) WINDOW i AS (PARTITION BY item_id))",
+    f"gr AS (SELECT item_id, id, CASE WHEN search THEN 'search' ELSE 'fact' END AS kind, round(0.72::DOUBLE * s + 0.18::DOUBLE * confidence + 0.10::DOUBLE * recent, 9) AS score, turn_id, {LINE_SQL.format(search='search')} AS cost FROM sm)",
+    _greedy_sql("gr", 900, 300),
+)
 def ranked_selection(spark, sf):
     n = B.nodes(spark, sf).withColumn("tool_result_items", F.lit(None).cast("array<struct<title:string,snippet:string>>"))
     return SEL.ranked(n, RT.similarities(RT.units(n), _families(spark, sf)), "semantic", 900, 300)

@@ -1,10 +1,14 @@
 """Language identification by unigram models marginalised over segmentations.
 
-The pieces are those of a fixed public vocabulary that are lower-case letters alone, at most LONGEST of them. A language
-gives each piece a probability; a run of letters has the sum, over all its segmentations into pieces, of the products of
-their probabilities, which a forward recursion sums exactly. A text's score is the product over its runs of letters (in
-lower case; runs of over RUN letters count as several). Probabilities come from expectation maximisation over the word
-counts of a sample: PER_LANGUAGE documents of each language at most, those with the smallest hash of their id.
+The pieces are those of a fixed public vocabulary that are letters alone, in lower case, of any length. A language
+gives each piece a probability; a run of letters, however long, has the sum, over all its segmentations into pieces, of
+the products of their probabilities, which a forward recursion sums exactly (rescaled as it goes, so long runs don't
+underflow). A text's score is the product over its runs of letters. Probabilities come from expectation maximisation
+over the word counts of a sample: PER_LANGUAGE documents of each language at most, of the smallest hashes of their ids.
+How frequent a language is, is counted on all documents that may be learned from.
+
+The sample is thinned by a hash threshold from each language's count before it is ranked, so no task gets all
+documents of a language.
 
 Documents with crc32(doc_id as text) mod 5 = 0 are held out, and only `lang` and `text` of the others are learned from.
 
@@ -23,10 +27,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from credence.llm.common import documents, parallel
 
-LONGEST, RUN = 6, 24
 PER_LANGUAGE = 400
 ROUNDS = 3
 FLOOR = 1e-8
+RESCALE = 8
 CACHE = 300_000
 CHUNK = 1 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -40,15 +44,12 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
     pieces = {sp.id_to_piece(i).lstrip("▁").lower() for i in range(sp.get_piece_size())}
-    return sorted(p for p in pieces if 1 <= len(p) <= LONGEST and _LETTERS.fullmatch(p))
+    return sorted(p for p in pieces if _LETTERS.fullmatch(p))
 
 
 def runs(text: str) -> list[str]:
-    """The runs of letters, lower case, long ones cut at every RUN letters."""
-    found = _LETTERS.findall(text.lower())
-    if any(len(x) > RUN for x in found):
-        found = [x[i : i + RUN] for x in found for i in range(0, len(x), RUN)]
-    return found
+    """The runs of letters, lower case."""
+    return _LETTERS.findall(text.lower())
 
 
 def _codes(words: list[str], n: int) -> np.ndarray:
@@ -82,19 +83,29 @@ class Model:
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         return np.where(keys[at] == h, self.place[k - 1][at], missing)
 
-    def forward(self, codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """alpha [letters + 1, words, languages], and the piece rows by length."""
+    def forward(self, codes: np.ndarray) -> np.ndarray:
+        """log of the sums over all segmentations [words, languages], of words of one length.
+
+        Only the sums of the last pieces' lengths are held; every RESCALE letters they are divided by the newest one.
+        """
         w, n = codes.shape
-        rows = [self.index(codes, k) for k in range(1, min(LONGEST, n) + 1)]
-        a = np.zeros((n + 1, w, self.p.shape[1]))
-        a[0] = 1
+        lengths = [k for k in range(1, min(len(self.keys), n) + 1) if k == 1 or len(self.keys[k - 1])]
+        rows = {k: self.index(codes, k) for k in lengths}
+        known = {k: (rows[k] != len(self.p) - 1).any(axis=0) for k in lengths}  # places where any word has a piece of k letters
+        scale, recent = np.zeros((w, self.p.shape[1])), [np.ones((w, self.p.shape[1]))]  # newest last
         for i in range(1, n + 1):
-            for k in range(1, min(LONGEST, i) + 1):
-                q = self.p[rows[k - 1][:, i - k]]
-                if k == 1:
-                    q = np.maximum(q, FLOOR)  # any letter can stand alone, so each word has a segmentation
-                a[i] += a[i - k] * q
-        return a, rows
+            # Any letter can stand alone, so each word has a segmentation.
+            a = recent[-1] * np.maximum(self.p[rows[1][:, i - 1]], FLOOR)
+            for k in lengths[1:]:
+                if k > i:
+                    break
+                if known[k][i - k]:
+                    a += recent[-k] * self.p[rows[k][:, i - k]]
+            recent = [*recent[1 - lengths[-1] :], a] if lengths[-1] > 1 else [a]
+            if i % RESCALE == 0 or i == n:
+                scale += np.log(a)
+                recent = [x / a for x in recent]
+        return scale
 
     def log_scores(self, words: list[str]) -> np.ndarray:
         """log probabilities [words, languages]."""
@@ -102,9 +113,10 @@ class Model:
         lengths = np.array([len(x) for x in words])
         for n in np.unique(lengths):
             at = np.flatnonzero(lengths == n)
-            for b in range(0, len(at), 20_000):
-                part = at[b : b + 20_000]
-                out[part] = np.log(self.forward(_codes([words[i] for i in part], int(n)))[0][-1])
+            size = max(1, 400_000 // int(n))
+            for b in range(0, len(at), size):
+                part = at[b : b + size]
+                out[part] = self.forward(_codes([words[i] for i in part], int(n)))
         return out
 
 
@@ -112,27 +124,26 @@ def train(counts: dict[str, dict[str, int]], documents_of: dict[str, int], piece
     """Expectation maximisation for each language over the counts of its runs of letters."""
     languages = sorted(counts)
     keys, place, row = [], [], {p: i for i, p in enumerate(pieces)}
-    for k in range(1, LONGEST + 1):
+    for k in range(1, max(map(len, pieces)) + 1):
         mine = [p for p in pieces if len(p) == k]
         h = _hashes(_codes(mine, k), k)[:, 0] if mine else np.empty(0, np.uint64)
         order = np.argsort(h)
         keys.append(h[order])
         place.append(np.array([row[mine[i]] for i in order], np.int64))
-    total = sum(documents_of.values())
+    total = sum(documents_of[x] for x in languages)
     model = Model(languages, np.log(np.array([documents_of[x] / total for x in languages])), keys, place, np.zeros((len(pieces) + 1, len(languages))))
     for j, language in enumerate(languages):
-        words = sorted(counts[language])
         groups: dict[int, list[str]] = {}
-        for x in words:
+        for x in sorted(counts[language]):
             groups.setdefault(len(x), []).append(x)
         one = Model([language], np.zeros(1), keys, place, np.full((len(pieces) + 1, 1), 1.0 / len(pieces)))
         one.p[-1] = 0
         for _ in range(rounds):
             expected = np.zeros(len(pieces) + 1)
             for n, group in groups.items():
-                c = np.array([counts[language][x] for x in group], float)
-                for b in range(0, len(group), 20_000):
-                    expected += _expected(one, group[b : b + 20_000], c[b : b + 20_000], n)
+                c, size = np.array([counts[language][x] for x in group], float), max(1, 400_000 // n)
+                for b in range(0, len(group), size):
+                    expected += _expected(one, group[b : b + size], c[b : b + size], n)
             expected[-1] = 0
             expected[:-1] += 0.01  # no piece is impossible
             one.p[:, 0] = expected / expected.sum()
@@ -141,21 +152,22 @@ def train(counts: dict[str, dict[str, int]], documents_of: dict[str, int], piece
 
 
 def _expected(m: Model, words: list[str], counts: np.ndarray, n: int) -> np.ndarray:
-    """Expected counts of the pieces, by forward and backward sums."""
-    a, rows = m.forward(_codes(words, n))
-    a = a[:, :, 0]
-    b = np.zeros_like(a)
-    b[n] = 1
-    out = np.zeros(len(m.p))
-    weight = counts / a[n]
+    """Expected counts of the pieces in words of n letters, by forward and backward sums of logarithms."""
+    codes = _codes(words, n)
+    lengths = [k for k in range(1, min(len(m.keys), n) + 1) if k == 1 or len(m.keys[k - 1])]
+    rows = {k: m.index(codes, k) for k in lengths}
+    with np.errstate(divide="ignore"):
+        log_p = np.log(m.p[:, 0])
+    q = {k: np.maximum(log_p[rows[k]], np.log(FLOOR)) if k == 1 else log_p[rows[k]] for k in lengths}
+    a, b = np.zeros((n + 1, len(words))), np.zeros((n + 1, len(words)))
+    for i in range(1, n + 1):
+        a[i] = np.logaddexp.reduce([a[i - k] + q[k][:, i - k] for k in lengths if k <= i])
     for i in range(n - 1, -1, -1):
-        for k in range(1, min(LONGEST, n - i) + 1):
-            r = rows[k - 1][:, i]
-            q = m.p[r, 0]
-            if k == 1:
-                q = np.maximum(q, FLOOR)
-            b[i] += q * b[i + k]
-            out += np.bincount(r, weight * a[i] * q * b[i + k], minlength=len(out))
+        b[i] = np.logaddexp.reduce([b[i + k] + q[k][:, i] for k in lengths if k <= n - i])
+    out = np.zeros(len(m.p))
+    for k in lengths:
+        for i in range(n - k + 1):
+            out += np.bincount(rows[k][:, i], counts * np.exp(a[i] + q[k][:, i] + b[i + k] - a[n]), minlength=len(out))
     return out
 
 
@@ -166,37 +178,32 @@ def held_out(column: str = "doc_id"):
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, pieces: list[str] | None = None) -> Model | None:
     """A model of the labelled documents that aren't held out; None if there are none."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and text is not null and lang is not null").filter(~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= per_language).select("doc_id", "lang").distinct()
+    # A row for each language.
+    frequent = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    documents_of = {r["lang"]: r["n"] for r in frequent.collect()}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
+    thin = rows.select("doc_id", "lang").join(frequent, "lang").filter(place * F.col("n") < 2.0 * per_language + 100)
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), "doc_id")
+    chosen = thin.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= per_language).select("doc_id", "lang").distinct()
 
     def count(batches):
         for b in batches:
             seen: dict[tuple[str, str], int] = {}
-            docs_of: dict[str, int] = {}
             for lang, t in zip(b.column("lang").to_pylist(), b.column("text")):
-                docs_of[lang] = docs_of.get(lang, 0) + 1
                 for x in runs(t.as_py()):
                     seen[lang, x] = seen.get((lang, x), 0) + 1
             keys = list(seen)
-            lang = [k[0] for k in keys] + list(docs_of)
-            word = [k[1] for k in keys] + [""] * len(docs_of)
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array([*seen.values(), *docs_of.values()], pa.int64())], ["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
     # A few hundred ids for each language: bounded by the parameter.
     sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
     got = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, dict[str, int]] = {}
-    documents_of: dict[str, int] = {}
     for lang, word, n in zip(*(got.column(c).to_pylist() for c in ("lang", "word", "n"))):
-        if word:
-            counts.setdefault(lang, {})[word] = n
-        else:
-            documents_of[lang] = n
-    counts = {x: c for x, c in counts.items() if c}
+        counts.setdefault(lang, {})[word] = n
     return train(counts, documents_of, pieces or vocabulary()) if counts else None
 
 
-
 class Scorer:
     """log scores of texts, with a bounded cache of words that lives on between tasks."""
 

@@ -28,6 +28,47 @@ def test_forward_sums_all_segmentations():
             assert np.isclose(m.log_scores([word])[0, j], math.log(total))
 
 
+def test_long_runs_and_long_pieces_are_summed_whole():
+    pieces = sorted({"a", "b", "ab", "abababababababab"})
+    m = L.train({"x": {"ab" * 40: 3, "ba": 1}, "y": {"b" * 30: 2}}, {"x": 1, "y": 1}, pieces)
+    assert len(m.keys) == 16
+    word = "ab" * 700 + "z"
+    for j in range(2):
+        logs = [0.0] + [-np.inf] * len(word)  # plain recursion in logarithms
+        for i in range(1, len(word) + 1):
+            for k in range(1, 17):
+                if k <= i:
+                    part = word[i - k : i]
+                    p = m.p[pieces.index(part), j] if part in pieces else 0.0
+                    p = max(p, L.FLOOR) if k == 1 else p
+                    if p:
+                        logs[i] = np.logaddexp(logs[i], logs[i - k] + np.log(p))
+        assert np.isclose(m.log_scores([word, "ab" * 700 + "a"])[0, j], logs[-1])
+
+
+def test_expected_counts_are_those_of_all_segmentations():
+    m, pieces = model()
+    one = L.Model(["x"], np.zeros(1), m.keys, m.place, m.p[:, :1])
+    want, total = np.zeros(len(m.p)), 0.0
+    for cuts in itertools.product([0, 1], repeat=3):
+        parts, at = [], 0
+        for i, c in enumerate((*cuts, 1), 1):
+            if c:
+                parts.append("abab"[at:i])
+                at = i
+        p = math.prod((max(L.FLOOR, m.p[pieces.index(x), 0]) if len(x) == 1 else m.p[pieces.index(x), 0]) if x in pieces else 0.0 for x in parts)
+        total += p
+        for x in parts if p else ():
+            want[pieces.index(x)] += p
+    assert np.allclose(L._expected(one, ["abab"], np.array([2.0]), 4), 2 * want / total)
+
+
+def test_the_prior_counts_all_documents(spark):
+    rows = [(i, "eau que" if i % 4 else "the thing", "fr" if i % 4 else "en") for i in range(800)]
+    m = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=20)
+    assert abs(np.exp(m.prior[m.languages.index("fr")]) - 0.75) < 0.05
+
+
 def test_probabilities_are_distributions():
     m, _ = model()
     assert np.allclose(m.p[:-1].sum(0), 1) and m.log_scores(["the"])[0, 1] > m.log_scores(["the"])[0, 0]
@@ -62,4 +103,4 @@ def test_edges(spark):
     assert len(got) == docs.count() and all(r["lang_pred"] == "und" and r["score"] == 0 for r in got if r["doc_id"] in (1, 2, 3))
     assert L.identify(empty(spark)).isEmpty()
     assert {r["lang_pred"] for r in L.identify(docs.filter("doc_id in (1, 7)")).collect()} == {"und"}
-    assert L.runs("A1b-" + "c" * 30) == ["a", "b", "c" * 24, "c" * 6]
+    assert L.runs("A1b-" + "c" * 30) == ["a", "b", "c" * 30]

@@ -29,6 +29,51 @@ def test_unknown_is_what_nothing_speaks_for():
     assert all(L.ANCHORS & set(g.split()) for g in weights)
 
 
+def test_the_plan_against_brute_force(spark):
+    """Every line of a small corpus, classified and confirmed one by one."""
+    shapes: dict = {}
+    for name, f, n, g in L.template_shapes():
+        shapes.setdefault((name, f, n), set()).add(g)
+    texts = [t for ts in L.TEMPLATES.values() for t in ts] + [" ".join(t.split()[2:]) for ts in L.TEMPLATES.values() for t in ts] + L.OTHERS + ["No such word", "the public library has a license to copy cd versions 2.0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    units = L.paragraphs(docs)
+    fitted = L.model(L._unknown_sample(units.selectExpr("unit", "explode(grams) as gram")))
+    got = {r["doc_id"]: r for r in L.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        family, sure = L.predicted(t, fitted)
+        found = set(L.grams(t))
+        agree = max((len(found & g) / n for (_, f, n), g in shapes.items() if f == family), default=0.0)
+        want = family if family != L.UNKNOWN and sure >= L.CONFIDENT and agree >= L.CONFIRM else ""
+        assert got[i]["licences"] == want, (t, family, sure, agree)
+
+
+def test_held_out_accuracy_and_calibration():
+    accuracy, gap = L.calibration_error(L.model())
+    assert accuracy >= 0.85 and gap <= 0.1
+
+
+def test_spdx_tags(spark):
+    texts = [f"// SPDX-License-Identifier: {i}" for ids in L.SPDX.values() for i in ids] + ["SPDX-License-Identifier: EPL-2.0", "/* SPDX-License-Identifier: LicenseRef-Own */"]
+    want = [f for f, ids in L.SPDX.items() for _ in ids] + ["", ""]
+    assert scanned(spark, texts) == want
+
+
+def test_a_full_text_in_paragraphs(spark):
+    mit = L.TEMPLATES["MIT"]
+    text = "Copyright (c) 2024 Someone\n\n" + "\n\n".join("\n".join(textwrap.wrap(mit[k], 70)) for k in (2, 3, 4))
+    row = L.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["licences"] == "MIT" and row["n_licence_paragraphs"] >= 1
+
+
+def test_unknown_is_sampled_from_the_corpus(spark, monkeypatch):
+    lines = [f"The license of car {i} was renewed at the public office." for i in range(30)] + ["Released under the MIT License."] * 3
+    units = L.paragraphs(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).selectExpr("unit", "explode(grams) as gram")
+    some = L._unknown_sample(units)
+    assert len(some) == 30 and all("license" in g and "the mit license" not in g for g in some)
+    monkeypatch.setattr(L, "UNKNOWN_SAMPLE", 7)
+    assert len(L._unknown_sample(units)) == 7
+
+
 def test_edges(spark):
     docs = awkward(spark)
     got = L.scan(docs).collect()

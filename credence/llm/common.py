@@ -38,7 +38,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     and the optimiser knows its size. `forget` deletes a session's tables when its results are stored.
     """
     spark = df.sparkSession
-    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
+    path = table_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -47,6 +47,11 @@ def _tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/credence/{spark.sparkContext.applicationId}"
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new table's place in the shared folder."""
+    return f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def forget(spark: SparkSession) -> None:
     """Delete all tables that this application's operators wrote; to be called once its results are stored."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))

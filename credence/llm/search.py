@@ -11,12 +11,14 @@ that local threshold c:
   its f-th coordinate between q_f c - s and q_f c + s, s = sqrt((1 - c^2)(1 - q_f^2)); the bucket's list sorted by f
   gives the range.
 
-What remains is verified by products in exact integers. Queries go out in blocks of QUERY_BLOCK, so what is broadcast
-is bounded (QUERY_BLOCK * dimensions * 8 bytes), with first thresholds from scores against the longest SEEDS vectors.
+What remains is verified by products in exact integers. Queries go out in blocks of QUERY_BLOCK, one after the other, so
+what is broadcast at a time is bounded (QUERY_BLOCK * dimensions * 8 bytes), with first thresholds from scores against
+the longest SEEDS vectors.
 
 Null and short cases: a vector that is null, empty, or holds null, NaN or infinite components takes no part, as query or candidate;
 vectors of unequal dimension meet as if padded with zeros; ties go to the smaller id; repeated rows are candidates
-each, but no candidate has the query's own id; an empty table gives an empty result.
+each, but no candidate has the query's own id; a query id with several vectors asks with the smallest of them; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from credence.llm.common import materialise, table_path
+
 BUCKET = 2048
 QUERY_BLOCK = 8192
 SEEDS = 64
@@ -142,34 +146,43 @@ def _take(best: _Best, i: int, qid: int, q: np.ndarray, ids: np.ndarray, p: np.n
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k best other rows."""
-    from credence.llm.common import materialise
-
     spark = vectors.sparkSession
     rows = materialise(quantise(vectors, id_col, vector_col), "vectors")
-    queries = rows.filter(F.col("vec_id") % every == 0)
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
     n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
     schema = "query_id long, vec_id long, score long"
     if n == 0:
         return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), "vec_id", "score").limit(0)
     seeds = rows.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "q").toArrow().combine_chunks()
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = rows.repartitionByRange(parts, F.desc("norm"), F.xxhash64("vec_id"))  # runs of like length
-    found = None
+    blocks = -(-n // QUERY_BLOCK)
+    if blocks == 1:
+        return _ranked(buckets.mapInArrow(_searcher(_sent(queries, seeds, k), k), schema), k)
+    # Block by block: what is sent is let go before the next one, and each block's results are stored.
+    buckets, path = materialise(buckets, "buckets"), table_path(spark, "found")
     for b in range(blocks):
-        mine = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        block = mine.select("vec_id", "q").toArrow().combine_chunks()
-        if block.num_rows == 0:
-            continue
-        qids = block.column("vec_id").chunk(0).to_numpy()
-        q = _matrix(block.column("q").chunk(0))
-        sent = spark.sparkContext.broadcast((qids, q, _floors(qids, q, seeds, k)))
-        part = buckets.mapInArrow(_searcher(sent, k), schema)
-        found = part if found is None else found.unionByName(part)
+        mine = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
+        sent = _sent(mine, seeds, k)
+        _ranked(buckets.mapInArrow(_searcher(sent, k), schema), k).write.parquet(f"{path}/block={b}")
+        sent.destroy()
+    return spark.read.schema(schema + ", rank int").parquet(path).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _sent(queries: DataFrame, seeds: pa.Table, k: int):
+    """A block of queries with first thresholds, broadcast: QUERY_BLOCK vectors or thereabouts."""
+    block = queries.select("vec_id", "q").toArrow().combine_chunks()
+    if not block.num_rows:
+        return queries.sparkSession.sparkContext.broadcast((np.empty(0, np.int64), np.empty((0, 0), np.int64), np.empty(0)))
+    qids, q = block.column("vec_id").chunk(0).to_numpy(), _matrix(block.column("q").chunk(0))
+    return queries.sparkSession.sparkContext.broadcast((qids, q, _floors(qids, q, seeds, k)))
+
+
 def _floors(qids: np.ndarray, q: np.ndarray, seeds: pa.Table, k: int) -> np.ndarray:
     """Lower bounds of each query's k-th best score: its k-th best among the seeds."""
     if seeds.num_rows == 0:
@@ -183,6 +196,8 @@ def _floors(qids: np.ndarray, q: np.ndarray, seeds: pa.Table, k: int) -> np.ndar
 def _searcher(sent, k: int):
     def run(batches):
         qids, q, floors = sent.value
+        if not len(qids):
+            return
         ids, ps, norms, held = [], [], [], 0
         floors = floors.copy()
         rows = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in qids]

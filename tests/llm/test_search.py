@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from credence.llm import search
 
@@ -23,6 +24,21 @@ def test_against_brute_force(spark):
     assert got == brute(rows, 5, 10)
 
 
+def test_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(2)
+    rows = [(int(i), [float(x) for x in rng.normal(size=4)]) for i in range(200)]
+    got = {tuple(r) for r in search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3, 5).collect()}
+    assert got == brute(rows, 3, 5)
+
+
+def test_clashing_columns_unequal_lengths_and_repeated_ids(spark):
+    rows = [(0, [1.0, 2.0], "a", 1.0), (0, [1.0, 2.0], "a", 1.0), (1, [1.0], "b", None), (2, [0.5, 0.5, 4.0], "c", 2.0), (3, [1.0, 2.0], "d", 0.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, q string, norm double").withColumn("score", F.lit("x")).withColumn("rank", F.lit("y"))
+    got = search.top_k(df, 5, 50).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 3, 256 * 256 + 512 * 512), (0, 2, 2, 128 * 256 + 128 * 512), (0, 3, 1, 256 * 256)]
+
+
 def test_empty(spark):
     assert search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).isEmpty()
 

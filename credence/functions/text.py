@@ -99,6 +99,7 @@ def trimmed_span(text: Column, start: Column, end: Column) -> Column:
     return F.struct((start + left).cast("long").alias("start"), (start + left + kept).cast("long").alias("end"))
 
 
+#: A tag of markup. Fixed value.
 TAG = r"</?[A-Za-z][A-Za-z0-9_]*(?:\s+[^<>]*?)?\s*/?>"
 
 
@@ -231,24 +232,53 @@ def split_sentences(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"index": i, "text": t[s:e], "start": s, "end": e} for i, (s, e) in enumerate(sentence_spans(t))] if isinstance(t, str) else [])
 
 
+#: The share of an excerpt that must be found, and how far what is found may spread.
+FOUND_SHARE, SPREAD, SPREAD_CHARS = 0.6, 2, 80
+
+
+def _folded(text: str) -> tuple[str, list[int]]:
+    """A text in lower case with single spaces, and the place in the text of each of its characters."""
+    out, at, gap = [], [], False
+    for i, c in enumerate(text):
+        if c.isspace():
+            gap = True
+            continue
+        if gap and out:
+            out.append(" ")
+            at.append(i - 1)
+        gap = False
+        for x in c.lower():  # one character can become several
+            out.append(x)
+            at.append(i)
+    return "".join(out), at
+
+
 def located(excerpt: str | None, content: str | None) -> tuple[int | None, int | None, str]:
-    """Where an excerpt stands: exactly; else with any white space and case; else by aligned blocks that cover 60 %."""
+    """Where an excerpt stands in a content: as it is; else folded; else by the stretches that an alignment finds.
+
+    The folded forms carry the place of each character, so what is found in them is mapped back.
+    """
+    nowhere = None, None, "not_found"
     want = (excerpt or "").strip()
     if len(want) < 2 or not content:
-        return None, None, "not_found"
-    if (at := content.find(want)) >= 0:
-        return at, at + len(want), "exact"
-    if m := re.search(r"\s+".join(map(re.escape, want.split())), content, re.IGNORECASE):
-        return m.start(), m.end(), "normalized"
-    blocks = [b for b in difflib.SequenceMatcher(None, content, want, autojunk=False).get_matching_blocks() if b.size]
-    if blocks and sum(b.size for b in blocks) >= 0.6 * len(want):
-        s, e = blocks[0].a, blocks[-1].a + blocks[-1].size
-        if e - s <= max(2 * len(want), len(want) + 80):
-            piece = content[s:e]
-            s += len(piece) - len(piece.lstrip())
-            if piece.strip():
-                return s, s + len(piece.strip()), "fuzzy"
-    return None, None, "not_found"
+        return nowhere
+    start = content.find(want)
+    if start >= 0:
+        return start, start + len(want), "exact"
+    plain, places = _folded(content)
+    needle, _ = _folded(want)
+    at = plain.find(needle)
+    if at >= 0:
+        return places[at], places[at + len(needle) - 1] + 1, "normalized"
+    matches = [m for m in difflib.SequenceMatcher(None, content, want, autojunk=False).get_matching_blocks() if m.size]
+    shared = sum(m.size for m in matches)
+    if not matches or shared < FOUND_SHARE * len(want):
+        return nowhere
+    first, last = matches[0].a, matches[-1].a + matches[-1].size
+    inside = [i for i in range(first, last) if not content[i].isspace()]
+    if last - first > max(SPREAD * len(want), len(want) + SPREAD_CHARS) or not inside:
+        return nowhere
+    return inside[0], inside[-1] + 1, "fuzzy"
 
 
 @F.pandas_udf(_PLACE)
@@ -279,7 +309,7 @@ def parse_json_response(text: pd.Series) -> pd.Series:
 
 
 def fuzzy(query: str, text: str) -> float | None:
-    """Score of query as a subsequence of text, lower is better; null if it is none."""
+    """Score of query as a subsequence of text, lower is better; null if it is none. Its numbers are fixed values."""
     q, t = query.lower(), text.lower()
 
     def walk(want: str) -> float | None:

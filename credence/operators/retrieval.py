@@ -69,7 +69,6 @@ def selection_metrics(selected: DataFrame, answers: DataFrame, support: DataFram
 
     selected: strategy, item_id, id, pos, cost; answers, support: item_id, id.
     """
-    from credence.operators.relations import induced
 
     a = answers.select("item_id", "id").distinct().withColumn("a", F.lit(True))
     s = support.select("item_id", "id").distinct().withColumn("s", F.lit(True))
@@ -78,14 +77,10 @@ def selection_metrics(selected: DataFrame, answers: DataFrame, support: DataFram
     out = flags.groupBy("strategy", "item_id").agg(F.count("*").alias("nodes"), F.sum("cost").alias("chars"), F.count("a").alias("answers_hit"), F.count("s").alias("support_hit"), F.min(F.when(F.col("a"), F.col("pos"))).alias("first_answer"))
     out = out.join(n(a, "answers"), "item_id", "left").join(n(s, "support"), "item_id", "left")
     recall = lambda h, t: F.when(F.coalesce(t, F.lit(0)) > 0, F.col(h) / F.col(t))
-    per = []
-    for row in selected.select("strategy").distinct().orderBy("strategy").collect():  # a few names
-        per.append(induced(relations, selected.filter(F.col("strategy") == row[0])).groupBy("item_id").agg(F.count("*").alias("relations")).withColumn("strategy", F.lit(row[0])))
-    edges = per[0] if per else None
-    for p in per[1:]:
-        edges = edges.unionByName(p)
-    if edges is not None:
-        out = out.join(edges, ["item_id", "strategy"], "left")
+    # The relations of each strategy's selection, all strategies in one join.
+    ends = lambda c: selected.select("strategy", "item_id", F.col("id").alias(c)).distinct()
+    within = relations.join(ends("from_id"), ["item_id", "from_id"]).join(ends("to_id"), ["strategy", "item_id", "to_id"])
+    out = out.join(within.groupBy("item_id", "strategy").agg(F.count("*").alias("relations")), ["item_id", "strategy"], "left")
     return out.select("strategy", "item_id", "nodes", "chars", recall("answers_hit", "answers").alias("answer_recall"), recall("support_hit", "support").alias("support_recall"), "first_answer", F.coalesce("relations", F.lit(0)).alias("relations"))
 
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -108,8 +109,9 @@ _AT_FRAMED = re.compile(r"(?i)\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*"
 _DOT_FRAMED = re.compile(r"(?i)(?<=[A-Za-z0-9-])\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*(?=[A-Za-z0-9-])")
 #: Endings that a bare "x at the dot z" must have, as in "look at the dot on it"; after other hosts any letters do. Fixed values.
 _ENDINGS = "com|net|org|edu|gov|info|io|co|de|fr|es|uk|eu|ch|at|it|nl|us|ca|biz|example|dev|app"
+# Lengths are those that addresses may have: 64 letters before the @, 63 in a label; up to ten parts on either side.
 _BARE = re.compile(
-    r"(?i)(?<![A-Za-z0-9._%+-])[a-z0-9_%+-]{1,64}(?:(?:\.|\s+dot\s+)[a-z0-9_%+-]{1,64}){0,3}(?:\s+at\s+|@)(?!(?:the|an?|this|that|each|every)\s+dot\s+(?!(?:ENDINGS)(?![A-Za-z0-9-])))[a-z0-9-]{1,64}(?:(?:\.|\s+dot\s+)[a-z0-9-]{1,64}){0,3}\s+dot\s+[a-z]{2,63}(?![A-Za-z0-9-])".replace("ENDINGS", _ENDINGS)
+    r"(?i)(?<![A-Za-z0-9._%+-])[a-z0-9_%+-]{1,64}(?:(?:\.|\s+dot\s+)[a-z0-9_%+-]{1,64}){0,9}(?:\s+at\s+|@)(?!(?:the|an?|this|that|each|every)\s+dot\s+(?!(?:ENDINGS)(?![A-Za-z0-9-])))[a-z0-9-]{1,63}(?:(?:\.|\s+dot\s+)[a-z0-9-]{1,63}){0,9}\s+dot\s+[a-z]{2,63}(?![A-Za-z0-9-])".replace("ENDINGS", _ENDINGS)
 )
 _BARE_PART = re.compile(r"(?i)\s+(at|dot)\s+")
 #: Digit words by value. Fixed values.
@@ -206,12 +208,16 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     _spelled(p)
     if p.changed is None:
         return []
-    out = []
+    held = {k: ([a for x, a, _ in base if x == k], [b for x, _, b in base if x == k]) for k in KINDS}  # in order, none overlapping
+    last, out = dict.fromkeys(KINDS, 0), []
     for kind, a, b in base_spans(p.text):
         s, e = p.at[a], p.to[b - 1]
         if any(p.changed[a:b]) or e - s != b - a:  # a rewritten character, or one that vanished
-            if not any(k == kind and s < y and x < e for k, x, y in base) and not any(k == kind and s < y and x < e for k, x, y in out):
+            starts, ends = held[kind]
+            before = bisect_left(starts, e) - 1
+            if s >= last[kind] and not (before >= 0 and ends[before] > s):
                 out.append((kind, s, e))
+                last[kind] = e
     return out
 
 

@@ -53,6 +53,14 @@ def test_long_texts_are_linear():
         pii.find(t)
 
 
+def test_many_spans_and_many_parts():
+    t = "a@b.co and c [at] d.org, " * 20_000
+    base, every = pii.find(t)
+    assert len(base) == 20_000 and len(every) == 40_000
+    t = "ann dot bea dot cleo dot dora dot eve at mail dot a dot b dot c dot d dot example dot org"
+    assert [(k, t[a:b]) for k, a, b in pii.find(t)[1]] == [("email", t)]
+
+
 def test_edges(spark):
     docs = awkward(spark)
     got = pii.detect(docs).collect()

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written into the folder that spark.checkpoint.dir names and read back: the plan starts anew there."""
-    from credence.plans.session import shared_dir
+    from credence.plans.session import tables_dir
 
-    path = f"{shared_dir(df.sparkSession)}/graph/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

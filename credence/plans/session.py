@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -18,8 +17,24 @@ def build(app: str = "credence", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one, in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (path or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)).rstrip("/")
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
+    return path.rstrip("/")
+
+
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application's operators write what cuts lineage."""
+    return f"{shared_dir(spark)}/graph/{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what this application's operators wrote to cut lineage; to be called once its results are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):

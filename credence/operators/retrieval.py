@@ -10,22 +10,31 @@ from credence.functions import text as X
 K1, B = 1.2, 0.75
 
 
-def bm25(docs: DataFrame, queries: DataFrame, top: int = 6) -> DataFrame:
+#: Query terms that are broadcast; beyond that they join by shuffles.
+MOST_TERMS = 200_000
+
+
+def bm25(docs: DataFrame, queries: DataFrame, top: int = 6, most_terms: int = MOST_TERMS) -> DataFrame:
     """query_id, doc_id, score, rank: the best `top` of each query; ties to the newer turn, then the smaller id.
 
-    docs: doc_id, turn, text; queries: query_id, text. Term frequencies by document meet the query terms on the term;
-    a term's document frequency is aggregated with partial counts, and only postings of query terms are joined.
+    docs: doc_id, turn, text; queries: query_id, text. One pass cuts the texts and keeps the postings of query terms
+    alone; they are written down, as document frequencies and scores both need them. The terms of a counted, bounded set
+    of queries are broadcast, so a common word is a key of no shuffle; what follows is keyed by document and query.
     """
-    term = F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(X.TOKEN), F.lit(0)))
-    tf = docs.select("doc_id", "turn", term.alias("term")).groupBy("doc_id", "turn", "term").agg(F.count("*").alias("tf"))
-    sizes = docs.select("doc_id", F.size(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(X.TOKEN), F.lit(0))).alias("len"))
-    whole = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))  # one row
-    wanted = queries.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    from credence.operators.graph import cut
+
+    tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(X.TOKEN), F.lit(0))
+    rows = docs.select("doc_id", "turn", tokens.alias("tokens")).withColumn("len", F.size("tokens"))
+    whole = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))  # one row
+    wanted = cut(queries.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term")), "terms")
+    sent = F.broadcast if wanted.count() <= most_terms else (lambda df: df)
+    hits = rows.select("doc_id", "turn", "len", F.explode("tokens").alias("term")).join(sent(wanted.select("term").distinct()), "term", "left_semi")
+    hits = cut(hits.groupBy("doc_id", "turn", "len", "term").agg(F.count("*").alias("tf")), "postings")
+    df = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hits = wanted.join(df, "term").join(tf, "term").join(sizes, "doc_id").crossJoin(F.broadcast(whole))
-    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scores = hits.groupBy("query_id", "doc_id", "turn").agg(F.round(F.sum(gain), 9).alias("score"))
+    asked = wanted.join(df, "term").select("query_id", "term", idf.alias("idf"), "avg_len")
+    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    scores = hits.join(sent(asked), "term").groupBy("query_id", "doc_id", "turn").agg(F.round(F.sum(gain), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("turn"), "doc_id")
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("query_id", "doc_id", "turn", "score", "rank")
 

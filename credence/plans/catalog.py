@@ -734,6 +734,14 @@ def similar_pairs(spark, sf):
     return _pairs(spark, sf).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("SELECT label, a, b, round(s, 6) AS similarity FROM pr WHERE s >= 0.9", PAIR_SQL.replace("FROM embeddings)", "FROM (SELECT vec_id, label, list_transform(embedding, lambda x, i: CASE WHEN i <= 2 THEN x ELSE x / 12 END) AS embedding FROM embeddings))", 1))
+def very_similar_pairs(spark, sf):
+    """Very alike vectors, of which but a few components count much: cells make few of the pairs."""
+    e = F.transform("embedding", lambda x, i: F.when(i < 2, x.cast("double")).otherwise(x.cast("double") / 12))
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", e.alias("vector"))
+    return M.similar_pairs(v, 0.9, blocks=("label",)).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("SELECT min(o) AS group_id, id FROM (SELECT id, o FROM rc) GROUP BY id", "recursive", PAIR_SQL, "ed AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr)", "rc AS (SELECT a AS id, a AS o FROM ed UNION SELECT rc.id, ed.b FROM rc JOIN ed ON ed.a = rc.o)")
 def merge_groups(spark, sf):
     """Connected components of alike vectors."""

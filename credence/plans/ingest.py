@@ -542,3 +542,58 @@ def ordered_subsequence(spark, sf):
 
     e = table(spark, sf, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("seen"))
     return e.select("user_id", is_subsequence(F.array(F.lit("view"), F.lit("purchase"), F.lit("error")), F.col("seen")).alias("holds"))
+
+
+# -- streams -----------------------------------------------------------------------------------------------------------
+
+
+def _fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """Each message in two fragments; each second conversation says that it is over."""
+    c = _conversations(spark, sf).withColumn("last", F.col("turn") == F.max("turn").over(Window.partitionBy("conv_id")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    part = lambda i, text, ends: F.struct((F.col("turn") * 2 + i).alias("recv_index"), text.alias("content"), ends.alias("is_message_end"), (F.col("last") & (F.col("conv_id") % 2 == 0) & F.lit(i == 1)).alias("is_trajectory_end"))
+    first, second = part(0, F.substring("text", F.lit(1), half), F.lit(False)), part(1, F.substring("text", half + 1, F.length("text")), F.lit(None).cast("boolean"))
+    return c.select(F.col("conv_id").cast("string").alias("problem_id"), "role", F.inline(F.array(first, second)))
+
+
+@query(
+    """SELECT CAST(conv_id AS VARCHAR) AS problem_id, CASE WHEN role = 'system' OR trim(text) = '' THEN 'skipped' ELSE 'message' END AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_id, role, md5(text) AS content, 2 AS n_fragments FROM conversations
+UNION ALL SELECT CAST(conv_id AS VARCHAR), 'finalized', count(*), NULL, NULL, 0 FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id"""
+)
+def session_machine_stream(spark, sf):
+    """A stream of fragments through the keyed state machine, read back."""
+    from credence.streaming.sessions import run_once
+
+    at = folder(spark, "stream")
+    rows = _fragments(spark, sf)
+    rows.write.parquet(f"{at}/in")
+    out = run_once(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), at)
+    return out.withColumn("content", F.md5(F.col("content")))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS problem_id, turn AS last_turn, 's' || turn AS snapshot, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations QUALIFY turn = max(turn) OVER (PARTITION BY conv_id)")
+def snapshot_stream(spark, sf):
+    """Snapshots appended to a history, micro-batch by micro-batch, and the latest of each problem beside it."""
+    from credence.streaming.sessions import snapshots
+
+    at = folder(spark, "snapshots")
+    rows = _conversations(spark, sf).select(F.col("conv_id").cast("string").alias("problem_id"), F.col("turn").alias("turn_id"), F.concat(F.lit("s"), F.col("turn")).alias("snapshot"))
+    rows.repartition(3, "turn_id").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    snapshots(stream, f"{at}/history", f"{at}/latest", f"{at}/checkpoint").awaitTermination()
+    epochs = spark.read.parquet(f"{at}/latest").filter(F.col("epoch") == F.lit(spark.read.parquet(f"{at}/latest").agg(F.max("epoch")).first()[0]))
+    n = spark.read.parquet(f"{at}/history").groupBy("problem_id").agg(F.count("*").alias("n"))
+    return epochs.join(n, "problem_id").select("problem_id", F.col("turn_id").alias("last_turn"), "snapshot", "n")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS problem_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
+def raw_stream_log(spark, sf):
+    """Every fragment of a stream appended as it comes, in folders by problem."""
+    from credence.streaming.sessions import write_history
+
+    at = folder(spark, "raw")
+    rows = _fragments(spark, sf)
+    rows.write.parquet(f"{at}/in")
+    write_history(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), f"{at}/log", f"{at}/checkpoint").awaitTermination()
+    log = spark.read.schema("recv_index bigint, content string, problem_id string").json(f"{at}/log")
+    return log.groupBy("problem_id").agg(F.count_distinct("recv_index").alias("n2"), F.sum(F.length("content")).alias("chars")).select("problem_id", (F.col("n2") / 2).cast("long").alias("n"), "chars")

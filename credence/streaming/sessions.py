@@ -16,12 +16,17 @@ class SessionMachine(StatefulProcessor):
     """Fragments become messages; the end of a trajectory closes its problem, and what comes later is rejected.
 
     kinds: message, skipped (system or blank: the turn id is used up all the same), finalized, rejected.
-    State: turns so far, whether closed, and the open fragments; a problem's rows are taken in order of recv_index.
+    State: turns so far, whether closed, and the open fragments. Rows of a problem are taken in order of recv_index
+    within a micro-batch; what a later batch brings comes later, whatever its index. With `ttl_ms`, the state of a problem
+    that has brought nothing for that long is dropped, closed or not; should it come back, it begins anew.
     """
 
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.progress = handle.getValueState("progress", "turns long, closed boolean")
-        self.open = handle.getListState("open", "role string, content string")
+        self.progress = handle.getValueState("progress", "turns long, closed boolean", self.ttl_ms)
+        self.open = handle.getListState("open", "role string, content string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         problem = key[0]
@@ -59,13 +64,35 @@ class SessionMachine(StatefulProcessor):
         pass
 
 
-def sessions(turns: DataFrame) -> DataFrame:
+def sessions(turns: DataFrame, ttl_minutes: float | None = None) -> DataFrame:
     """Streaming turns (problem_id, role, content, is_message_end, is_trajectory_end, recv_index) through the machine.
 
-    Needs the RocksDB state store provider, as all arbitrary state of this kind does.
+    Needs the RocksDB state store provider, as all arbitrary state of this kind does. Without `ttl_minutes` state is kept
+    for good; with it, batches go on without data, so a run that is to end when its input does can't have it.
     """
     rows = turns.select("problem_id", "role", "content", "is_message_end", "is_trajectory_end", "recv_index").filter("problem_id is not null")
-    return rows.groupBy("problem_id").transformWithStateInPandas(SessionMachine(), OUTPUT, "Append", "None")
+    return rows.groupBy("problem_id").transformWithStateInPandas(SessionMachine(None if ttl_minutes is None else int(ttl_minutes * 60_000)), OUTPUT, "Append", "None" if ttl_minutes is None else "ProcessingTime")
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_once(turns: DataFrame, root: str) -> DataFrame:
+    """What the machine says of a stream of turns that are all there, written below root; the state store is set for the run."""
+    spark = turns.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        out = sessions(turns).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+        query = out.trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+    return spark.read.schema(OUTPUT).parquet(f"{root}/out")
 
 
 def batch_equivalent(turns: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from credence.llm import mixing, neardup, packing, pii, quality
@@ -41,3 +42,36 @@ def test_stages_and_the_whole(spark, tmp_path):
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in e) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packing.pieces(got[3]).collect())
     whole = P.run(spark, sf).collect()
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in whole) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in e)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _written(spark, path, rows, labels=(), extra=()):
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for c in extra:
+        docs = docs.withColumn(c, F.lit("clash"))
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return f"file://{path}"
+
+
+def test_an_empty_table_and_nothing_but_nulls(spark, tmp_path):
+    assert P.run(spark, _written(spark, tmp_path / "a", [])).isEmpty()
+    assert P.run(spark, _written(spark, tmp_path / "b", [(1, None, None, None, None), (None, None, None, None, None), (2, "", "en", "s", 0)])).isEmpty()
+
+
+def test_null_ids_repeated_rows_clashing_columns_and_no_labels(spark, tmp_path):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1), "en", "s", 1), (1, text(1), "en", "s", 1), (None, text(2), "en", None, 1), (3, text(3), None, "t", None), (4, text(1) + " more", "en", "s", 1)]
+    extra = ("kept", "rule", "copies", "node", "digest", "__q_", "salt", "length", "n")
+    sf = _written(spark, tmp_path, rows, extra=extra)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        docs = out
+    ids = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    assert {i for i, _ in ids} <= {1, 3, None} and (1, text(1)) in ids and not any(i == 4 for i, _ in ids)
+    packed = P.run(spark, sf).collect()
+    assert {r["doc_id"] for r in packed} == {i for i, _ in ids}

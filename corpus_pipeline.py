@@ -2,6 +2,11 @@
 
 Part of the `llm` package in all but place. Stages take (spark, docs, sf_dir); all but the last return the columns of
 `documents`. `run` writes each stage's result into the shared folder and reads it back for the next.
+
+Nulls and edges: a null or empty text fails the base rules and goes in the first stage, so a table of such rows, or an
+empty one, gives an empty result; rows without an id stay, as they can't be told to be copies; repeated rows of one id count
+once from the second stage on; a null source is a source of its own; labels may be empty (only the base rules act then)
+or of one kind; further columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations

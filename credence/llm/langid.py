@@ -25,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from credence.llm.common import documents, parallel
+from credence.llm.common import documents, inline, parallel
 
 PER_LANGUAGE = 400
+MOST_LANGUAGES = 10_000
 ROUNDS = 3
 FLOOR = 1e-8
 RESCALE = 8
@@ -178,11 +179,12 @@ def held_out(column: str = "doc_id"):
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, pieces: list[str] | None = None) -> Model | None:
     """A model of the labelled documents that aren't held out; None if there are none."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and text is not null and lang is not null").filter(~held_out())
-    # A row for each language.
-    frequent = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    documents_of = {r["lang"]: r["n"] for r in frequent.collect()}
+    # A row for each language: the driver holds what the model has of each anyway.
+    documents_of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    shares = inline(docs.sparkSession, [(x, (2.0 * per_language + 100) / n) for x, n in documents_of.items()], "s_lang string, share double")
+    shares = F.broadcast(shares) if len(documents_of) <= MOST_LANGUAGES else shares
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
-    thin = rows.select("doc_id", "lang").join(frequent, "lang").filter(place * F.col("n") < 2.0 * per_language + 100)
+    thin = rows.select("doc_id", "lang").join(shares, F.col("lang") == F.col("s_lang")).filter(place < F.col("share")).select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), "doc_id")
     chosen = thin.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= per_language).select("doc_id", "lang").distinct()
 

@@ -23,6 +23,7 @@ length are one paragraph; of the columns only doc_id and text are read; an empty
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -123,11 +124,13 @@ def model(others: tuple[tuple[str, ...], ...] = ()) -> tuple[list[str], dict[str
     place = {g: i for i, g in enumerate(vocabulary())}
     labels = lambda rows: np.array([families.index(f) for _, f in rows])
     # Empty paragraphs are unknown: the bias alone must say so.
-    x = np.vstack([_matrix([grams(t) for t, _ in train], place), np.zeros((8, len(place))), _matrix(list(others), place)])
-    y = np.concatenate([labels(train), [families.index(UNKNOWN)] * (8 + len(others))])
+    # Paragraphs alike in all that the model sees are one row of so much more weight.
+    found = Counter(others)
+    x = np.vstack([_matrix([grams(t) for t, _ in train], place), np.zeros((1, len(place))), _matrix(list(found), place)])
+    y = np.concatenate([labels(train), [families.index(UNKNOWN)] * (1 + len(found))])
     # However many paragraphs the corpus gives, they weigh as much as all else together, at most.
-    weight = np.ones(len(x))
-    weight[len(train) + 8 :] = min(1.0, (len(train) + 8) / max(1, len(others)))
+    share = min(1.0, (len(train) + 8) / max(1, len(others)))
+    weight = np.array([1.0] * len(train) + [8.0] + [share * n for n in found.values()])
     weight /= weight.sum()
     one = np.eye(len(families))[y]
     w, b = np.zeros((x.shape[1], len(families))), np.zeros(len(families))

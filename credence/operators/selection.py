@@ -324,9 +324,9 @@ def _searches_around(rows: dict[int, dict], edges: list[dict], kept: set[int]) -
 
 
 def _focused(rows: dict[int, dict], edges: list[dict], constraints: list[str], budget: int, depth: int) -> list[int]:
-    focus = _Focus(rows, constraints)
-    if not focus.ids:
+    if all(r["search"] for r in rows.values()):
         return []
+    focus = _Focus(rows, constraints)
     near = _facts_between(edges, focus)
     choice = _Choice(rows, max(0, budget - min(FOCUSED_SEARCH_CHARS, budget // 5)))
     fresh = [i for i in _newest_raw(rows) if i in focus.place]

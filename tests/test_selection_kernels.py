@@ -113,6 +113,13 @@ def test_selections_keep_to_their_budget(seed):
         assert sum(rows[i]["cost"] for i in connected) <= budget and sum(rows[i]["raw"] for i in connected) <= 2
 
 
+def test_nothing_but_searches():
+    rows = {i: r | {"search": True} for i, r in rows_of(0).items()}
+    assert S._focused(rows, [], ["c1"], 300, 4) == [] and S._connected(rows, {}, 300, 4)
+    few = {i: r for i, r in rows_of(1).items() if i == 0}
+    assert S._focused(few, [], [], 100_000, 4) == [0]
+
+
 def test_located():
     content = "First line.\n  The  QUICK brown\tfox jumps.  And then it ran off into the woods at night."
     assert X.located("First line", content) == (0, 10, "exact")

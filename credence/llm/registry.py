@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import audit, bases, langid, licences, mixing, neardup, packing, pages, periodic, pii, quality, repeats, search
+from credence.llm import audit, bases, langid, licences, mixing, neardup, packing, pages, periodic, pii, quality, repeats, search, suffixes
 from credence.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.per_document(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,5 +60,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality_rules, op3_html_extraction, op4_personal_data, op5_packing, op6_near_duplicates, op7_language, op8_mixing, op9_licences, op10_repeated_lines, op12_filter_audit, op13_periodic_runs)} | bases.QUERIES
-ORACLE_SQL = {"op1_exact_top_k": search.ORACLE_SQL, "op6_near_duplicates": neardup.ORACLE_SQL, "op10_repeated_lines": repeats.ORACLE_SQL, "op12_filter_audit": audit.ORACLE_SQL, "op13_periodic_runs": periodic.ORACLE_SQL} | bases.ORACLE_SQL
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality_rules, op3_html_extraction, op4_personal_data, op5_packing, op6_near_duplicates, op7_language, op8_mixing, op9_licences, op10_repeated_lines, op11_suffix_dedup, op12_filter_audit, op13_periodic_runs)} | bases.QUERIES
+ORACLE_SQL = {"op1_exact_top_k": search.ORACLE_SQL, "op6_near_duplicates": neardup.ORACLE_SQL, "op10_repeated_lines": repeats.ORACLE_SQL, "op11_suffix_dedup": suffixes.ORACLE_SQL, "op12_filter_audit": audit.ORACLE_SQL, "op13_periodic_runs": periodic.ORACLE_SQL} | bases.ORACLE_SQL

@@ -41,7 +41,7 @@ from credence.llm.common import materialise, parallel
 
 SPAN, ANCHOR, SHALLOW = 50, 12, 24
 #: Bytes of text searched at a time where it is read, and bytes of stretches that a bucket should have and may have.
-CHUNK, BUCKET, LIMIT = 1 << 24, 1 << 24, 1 << 26
+CHUNK, BUCKET, LIMIT = 1 << 23, 1 << 23, 1 << 25
 #: Bytes of stretches for a byte of text: a stretch has SPAN - 1 bytes more than windows, and owns (SPAN - ANCHOR + 2) / 2.
 GROWTH = 1 + (SPAN - 1) / ((SPAN - ANCHOR + 2) / 2)
 _PAD = 16

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 import re
 import unicodedata
@@ -13,7 +12,6 @@ from pyspark.sql import Column, functions as F, types as T
 # Types of Arrow functions are objects: workers import this module without a session to parse type names with.
 _I, _S = T.IntegerType(), T.StringType()
 _SENTENCES = T.ArrayType(T.StructType([T.StructField("index", _I), T.StructField("text", _S), T.StructField("start", _I), T.StructField("end", _I)]))
-_PLACE = T.StructType([T.StructField("start", _I), T.StructField("end", _I), T.StructField("match", _S)])
 #: The same tokens in Spark and in SQL engines whose \\w is ASCII.
 TOKEN = r"[\p{L}\p{N}_-]+"
 URL = r"https?://[^\s<>\"']+"
@@ -232,61 +230,6 @@ def split_sentences(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"index": i, "text": t[s:e], "start": s, "end": e} for i, (s, e) in enumerate(sentence_spans(t))] if isinstance(t, str) else [])
 
 
-#: The share of an excerpt that must be found, and how far what is found may spread.
-FOUND_SHARE, SPREAD, SPREAD_CHARS = 0.6, 2, 80
-
-
-def _folded(text: str) -> tuple[str, list[int]]:
-    """A text in lower case with single spaces, and the place in the text of each of its characters."""
-    out, at, gap = [], [], False
-    for i, c in enumerate(text):
-        if c.isspace():
-            gap = True
-            continue
-        if gap and out:
-            out.append(" ")
-            at.append(i - 1)
-        gap = False
-        for x in c.lower():  # one character can become several
-            out.append(x)
-            at.append(i)
-    return "".join(out), at
-
-
-def located(excerpt: str | None, content: str | None) -> tuple[int | None, int | None, str]:
-    """Where an excerpt stands in a content: as it is; else folded; else by the stretches that an alignment finds.
-
-    The folded forms carry the place of each character, so what is found in them is mapped back.
-    """
-    nowhere = None, None, "not_found"
-    want = (excerpt or "").strip()
-    if len(want) < 2 or not content:
-        return nowhere
-    start = content.find(want)
-    if start >= 0:
-        return start, start + len(want), "exact"
-    plain, places = _folded(content)
-    needle, _ = _folded(want)
-    at = plain.find(needle)
-    if at >= 0:
-        return places[at], places[at + len(needle) - 1] + 1, "normalized"
-    matches = [m for m in difflib.SequenceMatcher(None, content, want, autojunk=False).get_matching_blocks() if m.size]
-    shared = sum(m.size for m in matches)
-    if not matches or shared < FOUND_SHARE * len(want):
-        return nowhere
-    first, last = matches[0].a, matches[-1].a + matches[-1].size
-    inside = [i for i in range(first, last) if not content[i].isspace()]
-    if last - first > max(SPREAD * len(want), len(want) + SPREAD_CHARS) or not inside:
-        return nowhere
-    return inside[0], inside[-1] + 1, "fuzzy"
-
-
-@F.pandas_udf(_PLACE)
-def locate_excerpt(excerpt: pd.Series, content: pd.Series) -> pd.DataFrame:
-    rows = [located(a, b) for a, b in zip(excerpt, content)]
-    return pd.DataFrame({"start": pd.array([r[0] for r in rows], "Int32"), "end": pd.array([r[1] for r in rows], "Int32"), "match": [r[2] for r in rows]})
-
-
 def first_object(text: str | None) -> str | None:
     """The first JSON object in a model's answer, fences or not."""
     if not text:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from credence.functions import text as X
+from credence.functions.excerpts import excerpt_place
 
 
 def of_nodes(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def merge_record(step: str, canonical: DataFrame) -> DataFrame:
 
 def from_excerpt(rows: DataFrame) -> DataFrame:
     """excerpt, content -> evidence with exact offsets and how it was found (exact, normalized, fuzzy, not_found)."""
-    at = X.locate_excerpt(F.col("excerpt"), F.col("content"))
+    at = excerpt_place(F.col("excerpt"), F.col("content"))
     found = rows.withColumn("at", at)
     text = F.when(F.col("at.start").isNotNull(), F.substring("content", F.col("at.start") + 1, F.col("at.end") - F.col("at.start"))).otherwise(F.trim("excerpt"))
     return found.select(*rows.columns, text.alias("text"), F.col("at.start").alias("start"), F.col("at.end").alias("end"), F.col("at.match").alias("match"), F.lit("excerpt").alias("via"))

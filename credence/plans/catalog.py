@@ -565,9 +565,34 @@ def sentence_spans(spark, sf):
     return E.from_sentences(d).select("doc_id", "index", "start", "end")
 
 
-@query()
+#: An excerpt's words in any case, whatever white space stands between them, as a regular expression in SQL.
+WORDS_SQL = r"""regexp_replace(regexp_escape({}), '(\\\s)+', '\\s+', 'g')"""
+
+
+@query(
+    r"""SELECT doc_id, CAST(CASE WHEN how = 'exact' THEN strpos(text, want) - 1 WHEN how = 'normalized' THEN length(regexp_extract(text, pattern, 1)) END AS INTEGER) AS start,
+      CAST(CASE WHEN how = 'exact' THEN strpos(text, want) - 1 + length(want) WHEN how = 'normalized' THEN length(regexp_extract(text, pattern, 1)) + length(regexp_extract(text, pattern, 2)) END AS INTEGER) AS "end", how AS match
+    FROM (SELECT *, CASE WHEN coalesce(length(want), 0) < 2 THEN 'not_found' WHEN strpos(text, want) > 0 THEN 'exact' ELSE 'normalized' END AS how FROM place)""",
+    r"excerpt AS (SELECT doc_id, text, regexp_replace(translate(substr(text, 11, 40), 'aeinorst', 'AEINORST'), '^\s+|\s+$', '', 'g') AS want FROM documents)",
+    f"place AS (SELECT *, '(?is)^(.*?)(' || {WORDS_SQL.format('want')} || ')' AS pattern FROM excerpt)",
+)
 def excerpt_locations(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), F.upper(F.substring("text", 11, 40)).alias("excerpt"))
+    """Forty characters of each text, some letters in capitals: found as they are or folded."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), F.translate(F.substring("text", 11, 40), "aeinorst", "AEINORST").alias("excerpt"))
+    return E.from_excerpt(d).select("doc_id", "start", "end", "match")
+
+
+_PIECES = [WORDS_SQL.format(x) for x in (r"regexp_replace(substr(text, 101, 20), '^\s+', '')", "substr(text, 122, 19)", r"regexp_replace(substr(text, 142, 19), '\s+$', '')")]
+
+
+@query(
+    """SELECT doc_id, CAST(length(regexp_extract(text, pattern, 1)) AS INTEGER) AS start, CAST(length(regexp_extract(text, pattern, 1)) + length(regexp_extract(text, pattern, 2)) AS INTEGER) AS "end", 'fuzzy' AS match FROM place""",
+    "place AS (SELECT doc_id, text, '(?is)^(.*?)(' || " + r" || '(?:\s+|.)' || ".join(_PIECES) + " || ')' AS pattern FROM documents WHERE length(text) >= 160)",
+)
+def edited_excerpts(spark, sf):
+    """Sixty characters of each text that has them, two of them changed: found by alignment."""
+    parts = [F.substring("text", 101, 20), F.lit("¤"), F.substring("text", 122, 19), F.lit("¤"), F.substring("text", 142, 19)]
+    d = table(spark, sf, "documents").filter("length(text) >= 160").select("doc_id", F.col("text").alias("content"), F.concat(*parts).alias("excerpt"))
     return E.from_excerpt(d).select("doc_id", "start", "end", "match")
 
 

@@ -6,7 +6,6 @@ import math
 import numpy as np
 import pytest
 
-from credence.functions import text as X
 from credence.operators import selection as S
 
 
@@ -118,14 +117,3 @@ def test_nothing_but_searches():
     assert S._focused(rows, [], ["c1"], 300, 4) == [] and S._connected(rows, {}, 300, 4)
     few = {i: r for i, r in rows_of(1).items() if i == 0}
     assert S._focused(few, [], [], 100_000, 4) == [0]
-
-
-def test_located():
-    content = "First line.\n  The  QUICK brown\tfox jumps.  And then it ran off into the woods at night."
-    assert X.located("First line", content) == (0, 10, "exact")
-    a, b, how = X.located("the quick BROWN fox", content)
-    assert how == "normalized" and content[a:b] == "The  QUICK brown\tfox"
-    a, b, how = X.located("And then it rann off in the woods at night", content)
-    assert how == "fuzzy" and content[a:b].startswith("And then it ran") and content[a:b].rstrip(".").endswith("at night")
-    assert X.located("nothing of this kind stands there", content)[2] == X.located("", content)[2] == X.located("x", None)[2] == "not_found"
-    assert X.located("straße İ x", "die STRASSE... Straße İ X")[2] == "normalized"

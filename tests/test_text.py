@@ -31,13 +31,6 @@ def test_sentence_spans_are_exact_and_in_order(t):
     assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
 
 
-def test_excerpts():
-    assert X.located("likes tea", "Alice likes tea.") == (6, 15, "exact")
-    assert X.located("LIKES\n tea", "Alice likes  tea.") == (6, 16, "normalized")
-    assert X.located("Alice likse tea", "Well: Alice likes tea")[2] == "fuzzy"
-    assert X.located("zzzz qqqq", "Alice likes tea") == (None, None, "not_found")
-    assert X.located("x", "x") == (None, None, "not_found")
-
 
 def test_fuzzy():
     assert X.fuzzy("abc", "xaxbxc") is not None and X.fuzzy("abc", "acb") is None

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from credence.functions import vectors as V
+from credence.operators import metric
 
 
 def compact(nodes: DataFrame) -> DataFrame:
@@ -34,36 +32,10 @@ def query_identity() -> Column:
 def similar_pairs(nodes: DataFrame, threshold: float, blocks: tuple[str, ...] = ("item_id", "role", "node_type"), incremental: bool = False) -> DataFrame:
     """a < b, similarity of nodes of one block whose vectors are alike. nodes: id, vector (+ is_new).
 
-    The gate is part of the join keys, so pairs across roles or types are never formed; incremental: old with old neither.
-    Unit vectors of likeness t are at most sqrt(2 - 2t) apart, and so are their projections on any unit direction. So
-    where that is less than NARROW, vectors are dealt into cells of that width along two directions, and only equal and
-    neighbouring cells meet: nothing is lost, and the higher the threshold, the fewer pairs are made.
+    The gate is part of the join keys, so pairs across roles or types are never formed; incremental: only new nodes ask, so
+    old ones never meet. A metric index rules pairs out before they are compared (`metric`).
     """
-    unit = F.transform("vector", lambda x: x.cast("double") / V.norm(F.col("vector")))
-    rows = nodes.filter(V.norm(F.col("vector")) > 0).select(*blocks, "id", unit.alias("u"), *(["is_new"] if incremental else []))
-    width = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9) + 1e-9
-    cells = ["cell_0", "cell_1"] if width < NARROW else []
-    meeting = rows
-    for k, name in enumerate(cells):
-        cell = F.floor(_projection(k) / width)
-        rows = rows.withColumn(name, cell)
-        meeting = meeting.withColumn(name, F.explode(F.array(cell - 1, cell, cell + 1)))
-    right = meeting.select(*blocks, *cells, F.col("id").alias("b"), F.col("u").alias("ub"), *([F.col("is_new").alias("nb")] if incremental else []))
-    pairs = rows.withColumnsRenamed({"id": "a", "u": "ua"}).join(right, [*blocks, *cells]).filter("a < b")
-    if incremental:
-        pairs = pairs.filter("is_new or nb")
-    s = V.dot(F.col("ua"), F.col("ub"))
-    return pairs.withColumn("similarity", s).filter(F.col("similarity") >= threshold).select(*blocks, "a", "b", "similarity")
-
-
-#: Cells wider than this hold too much to be worth the copies.
-NARROW = 0.7
-
-
-def _projection(k: int) -> Column:
-    """The projection of `u` on a direction whose components are +1 or -1 by their place, made a unit vector."""
-    signed = F.transform("u", lambda x, i: F.when(F.pmod(F.xxhash64(i, F.lit(k)), F.lit(2)) == 0, x).otherwise(-x))
-    return F.aggregate(signed, F.lit(0.0), lambda a, x: a + x) / F.sqrt(F.size("u"))
+    return metric.compared(metric.candidates(nodes, threshold, blocks, incremental), threshold, blocks)
 
 
 def groups(pairs: DataFrame, is_new: DataFrame | None = None) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from credence.functions import confidence as C, scoring as S, text as X, toolwire as TW, usage as US, vectors as V
-from credence.operators import budget, evidence as E, graph as G, merge as M, nodes as N, propagation as P, proposals as PR, relations as R, retrieval as RT, selection as SEL, turns as T, usage as U
+from credence.operators import budget, evidence as E, graph as G, merge as M, metric, nodes as N, propagation as P, proposals as PR, relations as R, retrieval as RT, selection as SEL, turns as T, usage as U
 from credence.plans import base as B
-from credence.plans.session import table
+from credence.plans.session import table, table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -759,14 +759,29 @@ def similar_pairs(spark, sf):
     return _pairs(spark, sf).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("SELECT label, a, b, round(s, 6) AS similarity FROM pr WHERE s >= 0.9", PAIR_SQL.replace("FROM embeddings)", "FROM (SELECT vec_id, label, list_transform(embedding, lambda x, i: CASE WHEN i <= 2 THEN x ELSE x / 12 END) AS embedding FROM embeddings))", 1))
+@query("SELECT label, a, b, round(s, 6) AS similarity FROM pr WHERE s >= 0.9", PAIR_SQL)
 def very_similar_pairs(spark, sf):
-    """Very alike vectors, of which but a few components count much: cells make few of the pairs."""
-    e = F.transform("embedding", lambda x, i: F.when(i < 2, x.cast("double")).otherwise(x.cast("double") / 12))
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", e.alias("vector"))
+    """Very alike vectors of one label: the bounds of the metric index rule almost all pairs out."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
     return M.similar_pairs(v, 0.9, blocks=("label",)).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("SELECT label, a, b, round(s, 6) AS similarity FROM pr WHERE a % 4 = 0 OR b % 4 = 0", PAIR_SQL)
+def similar_pairs_incremental(spark, sf):
+    """Alike vectors of which one at least is new: old ones never meet."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"), (F.col("vec_id") % 4 == 0).alias("is_new"))
+    return M.similar_pairs(v, 0.35, blocks=("label",), incremental=True).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("SELECT label, CASE WHEN a % 4 = 0 THEN a ELSE b END AS id, CASE WHEN a % 4 = 0 THEN b ELSE a END AS stored_id, round(s, 6) AS similarity FROM pr WHERE (a % 4 = 0) <> (b % 4 = 0)", PAIR_SQL)
+def similar_to_stored(spark, sf):
+    """Vectors alike to those of an index on disk, to which half of them were added later."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    index = metric.Index.create(v.filter("id % 4 = 1"), table_path(spark, "vectors"), ("label",))
+    index.add(v.filter("id % 4 in (2, 3)"))
+    return index.near(v.filter("id % 4 = 0"), 0.35).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("SELECT min(o) AS group_id, id FROM (SELECT id, o FROM rc) GROUP BY id", "recursive", PAIR_SQL, "ed AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr)", "rc AS (SELECT a AS id, a AS o FROM ed UNION SELECT rc.id, ed.b FROM rc JOIN ed ON ed.a = rc.o)")
 def merge_groups(spark, sf):
     """Connected components of alike vectors."""

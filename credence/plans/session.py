@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,6 +32,11 @@ def tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/graph/{spark.sparkContext.applicationId}"
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new table's place there."""
+    return f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def forget(spark: SparkSession) -> None:
     """Delete what this application's operators wrote to cut lineage; to be called once its results are stored."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))

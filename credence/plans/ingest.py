@@ -571,24 +571,60 @@ def session_machine_stream(spark, sf):
     return out.withColumn("content", F.md5(F.col("content")))
 
 
+@query(
+    """SELECT problem_id, kind, turn_id, role, md5(text) AS content, 2 AS n_fragments FROM (SELECT CAST(conv_id AS VARCHAR) AS problem_id, CASE WHEN role = 'system' OR trim(text) = '' THEN 'skipped' ELSE 'message' END AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_id, role, text FROM conversations)
+UNION ALL SELECT CAST(conv_id AS VARCHAR), 'finalized', count(*), NULL, NULL, 0 FROM conversations GROUP BY conv_id"""
+)
+def ordered_sessions_stream(spark, sf):
+    """Fragments that come in disorder over many micro-batches, in order again; a closing batch ends what is open."""
+    from credence.streaming import ordered
+
+    at = folder(spark, "ordered")
+    rows = _fragments(spark, sf)
+    first = F.min("recv_index").over(Window.partitionBy("problem_id"))
+    rows = rows.withColumn("recv_index", F.col("recv_index") - first).withColumn("received_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("recv_index")))
+    rows.repartition(5, F.xxhash64("content", "recv_index")).write.parquet(f"{at}/in")
+    ordered.run(spark, at, rows.schema, "1 day", files=1)
+    ordered.finish(spark, at, rows.schema, "1 day")
+    return ordered.said(spark, at).withColumn("content", F.md5(F.col("content")))
+
+
+@query(
+    """SELECT CAST(conv_id AS VARCHAR) AS problem_id, CASE WHEN conv_id % 2 = 0 THEN n ELSE n - 1 END AS turns, conv_id % 2 = 0 AS closed,
+  CASE WHEN conv_id % 2 = 1 THEN 1 ELSE 0 END AS n_fragments, CASE WHEN conv_id % 2 = 1 THEN role END AS role, CASE WHEN conv_id % 2 = 1 THEN md5(substr(text, 1, CAST(floor(length(text) / 2) AS INTEGER))) END AS content
+FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations QUALIFY turn = max(turn) OVER (PARTITION BY conv_id))"""
+)
+def live_sessions(spark, sf):
+    """Open and closed sessions read from the state of a stream that has stopped: each second one in the middle of a message."""
+    from credence.streaming import ordered
+    from credence.streaming.sessions import run_once
+
+    at = folder(spark, "live")
+    rows = _fragments(spark, sf)
+    last = F.max("recv_index").over(Window.partitionBy("problem_id"))
+    rows = rows.withColumn("end", last).filter("cast(problem_id as long) % 2 = 0 or recv_index < end").drop("end")
+    rows.write.parquet(f"{at}/in")
+    run_once(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), at)
+    return ordered.live(spark, f"{at}/checkpoint").withColumn("content", F.md5(F.col("content")))
+
+
 @query("SELECT CAST(conv_id AS VARCHAR) AS problem_id, turn AS last_turn, 's' || turn AS snapshot, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations QUALIFY turn = max(turn) OVER (PARTITION BY conv_id)")
 def snapshot_stream(spark, sf):
     """Snapshots appended to a history, micro-batch by micro-batch, and the latest of each problem beside it."""
-    from credence.streaming.sessions import snapshots
+    from credence.streaming import snapshots
 
     at = folder(spark, "snapshots")
     rows = _conversations(spark, sf).select(F.col("conv_id").cast("string").alias("problem_id"), F.col("turn").alias("turn_id"), F.concat(F.lit("s"), F.col("turn")).alias("snapshot"))
     rows.repartition(3, "turn_id").write.parquet(f"{at}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    snapshots(stream, f"{at}/history", f"{at}/latest", f"{at}/checkpoint").awaitTermination()
-    epochs = spark.read.parquet(f"{at}/latest").filter(F.col("epoch") == F.lit(spark.read.parquet(f"{at}/latest").agg(F.max("epoch")).first()[0]))
-    n = spark.read.parquet(f"{at}/history").groupBy("problem_id").agg(F.count("*").alias("n"))
-    return epochs.join(n, "problem_id").select("problem_id", F.col("turn_id").alias("last_turn"), "snapshot", "n")
+    snapshots.write(stream, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    n = snapshots.history(spark, f"{at}/out").groupBy("problem_id").agg(F.count("*").alias("n"))
+    return snapshots.latest(spark, f"{at}/out").join(n, "problem_id").select("problem_id", F.col("turn_id").alias("last_turn"), "snapshot", "n")
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS problem_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
 def raw_stream_log(spark, sf):
-    """Every fragment of a stream appended as it comes, in folders by problem."""
+    """Every fragment of a stream appended as it comes, in folders by hash of the problem."""
     from credence.streaming.sessions import write_history
 
     at = folder(spark, "raw")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "problem_id string, kind string, turn_id long, role string, content string, n_fragments long"
+COLUMNS = [x.split()[0] for x in OUTPUT.split(", ")]
 _ROLES = {"user", "assistant", "tool", "system"}
 
 
@@ -28,8 +29,8 @@ class SessionMachine(StatefulProcessor):
         self.progress = handle.getValueState("progress", "turns long, closed boolean", self.ttl_ms)
         self.open = handle.getListState("open", "role string, content string", self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        problem = key[0]
+    def advance(self, problem: str, rows: Iterator, finish: bool = False) -> list[tuple]:
+        """What these rows, taken as they come, make of the problem's state; `finish`: nothing comes after them."""
         turns, closed = self.progress.get() if self.progress.exists() else (0, False)
         held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
         out: list[tuple] = []
@@ -42,7 +43,7 @@ class SessionMachine(StatefulProcessor):
                 out.append((problem, kind, turns, role, text, len(held)))
                 turns, held = turns + 1, []
 
-        for row in pd.concat(list(rows)).sort_values("recv_index").itertuples(index=False):
+        for row in rows:
             role = {"function": "tool"}.get(row.role, row.role)
             if closed or role not in _ROLES:
                 out.append((problem, "rejected", None, row.role, row.content, 1))
@@ -56,9 +57,17 @@ class SessionMachine(StatefulProcessor):
             if last:
                 closed = True
                 out.append((problem, "finalized", turns, None, None, 0))
+        if finish and not closed:
+            flush()
+            closed = True
+            out.append((problem, "finalized", turns, None, None, 0))
         self.progress.update((turns, closed))
         self.open.put(held) if held else self.open.clear()
-        yield pd.DataFrame(out, columns=["problem_id", "kind", "turn_id", "role", "content", "n_fragments"])
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        whole = pd.concat(list(rows)).sort_values("recv_index")
+        yield pd.DataFrame(self.advance(key[0], whole.itertuples(index=False)), columns=COLUMNS)
 
     def close(self) -> None:
         pass
@@ -114,20 +123,14 @@ def released(state_dir_table: DataFrame, problem_ids: list[str]) -> DataFrame:
     return state_dir_table.filter(~F.col("problem_id").isin(problem_ids))
 
 
-def write_history(df: DataFrame, path: str, checkpoint: str):
-    """Append everything that comes, fragments too, in folders by problem."""
-    return df.writeStream.format("json").outputMode("append").partitionBy("problem_id").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
-
-
-def snapshots(df: DataFrame, history: str, latest: str, checkpoint: str):
-    """Each micro-batch: its snapshots (problem_id, turn_id, snapshot) appended to the history, and the latest rewritten."""
+#: Folders of a log of fragments.
+BUCKETS = 32
 
-    def both(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").parquet(history)
-        whole = batch.sparkSession.read.parquet(history)
-        whole.groupBy("problem_id").agg(F.max_by("snapshot", "turn_id").alias("snapshot"), F.max("turn_id").alias("turn_id")).write.mode("overwrite").parquet(f"{latest}/epoch={epoch}")
 
-    return df.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def write_history(df: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS):
+    """Append everything that comes, fragments too, in folders by hash of the problem: their number doesn't grow."""
+    rows = df.withColumn("bucket", F.pmod(F.xxhash64("problem_id"), F.lit(buckets)).cast("int"))
+    return rows.writeStream.format("json").outputMode("append").partitionBy("bucket").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "5 minutes", slide: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from credence.functions import confidence as C, scoring as S, text as X, toolwire as TW, usage as US, vectors as V
-from credence.operators import budget, evidence as E, graph as G, merge as M, metric, nodes as N, propagation as P, proposals as PR, relations as R, retrieval as RT, selection as SEL, turns as T, usage as U
+from credence.operators import budget, evidence as E, fulltext, graph as G, merge as M, metric, nodes as N, propagation as P, proposals as PR, relations as R, retrieval as RT, selection as SEL, turns as T, usage as U
 from credence.plans import base as B
 from credence.plans.session import table, table_path
 
@@ -855,6 +855,14 @@ def bm25(spark, sf):
     return RT.bm25(d, table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
+@query(ORACLE["bm25"])
+def bm25_by_index(spark, sf):
+    """The same from an index on disk, of whose postings most are never read."""
+    d = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "turn", "text")
+    index = fulltext.TextIndex.create(d, table_path(spark, "text-index"))
+    return index.search(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
 @query("SELECT item_id, id FROM (SELECT *, sum(length(text) + 4) OVER (PARTITION BY item_id ORDER BY id DESC) AS u FROM nodes) WHERE u <= 1500", ND)
 def newest_in_budget(spark, sf):
     return budget.newest_suffix(B.nodes(spark, sf), F.length("text") + 4, 1500).select("item_id", "id")

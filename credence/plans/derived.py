@@ -518,3 +518,52 @@ def deep_tree_paths(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("id"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("parent_id"))
     path = G.path_to_root(e, e.groupBy("session").agg(F.max("id").alias("id")))
     return path.groupBy(F.col("session").alias("leaf_of")).agg(F.count("*").alias("n"), F.first("leaf").alias("leaf"))
+
+
+# -- the model's ledger ------------------------------------------------------------------------------------------------
+
+TOOL_TURNS_SQL = "tt AS (SELECT CAST(conv_id AS VARCHAR) AS item_id, CAST(turn AS BIGINT) AS turn_id, CASE WHEN length(text) % 3 = 0 OR length(text) % 7 = 1 THEN 'tool' ELSE role END AS role, text AS content FROM conversations)"
+PREPARED_SQL = """pr AS (SELECT *, sum(CASE WHEN role <> 'tool' OR coalesce(before, '') <> 'tool' THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY turn_id) AS run, count(*) FILTER (role = 'tool') OVER (PARTITION BY item_id ORDER BY turn_id) AS results
+  FROM (SELECT *, lag(role) OVER (PARTITION BY item_id ORDER BY turn_id) AS before FROM tt)),
+pb AS (SELECT item_id, turn_id, content, CASE WHEN role = 'tool' THEN CASE WHEN results > 2 THEN 'rule' ELSE 'tools' END ELSE 'assistant' END AS kind, min(turn_id) OVER (PARTITION BY item_id, run) AS batch,
+  CAST(row_number() OVER (PARTITION BY item_id, run ORDER BY turn_id) - 1 AS INTEGER) AS place FROM pr WHERE role IN ('assistant', 'tool'))"""
+
+
+def _tool_turns(spark, sf):
+    n = F.length("content")
+    return B.turns(spark, sf).withColumn("role", F.when((n % 3 == 0) | (n % 7 == 1), "tool").otherwise(F.col("role")))
+
+
+@query("SELECT item_id, turn_id, kind, batch, place FROM pb", TOOL_TURNS_SQL, PREPARED_SQL)
+def prepared_batches(spark, sf):
+    """Assistant turns and runs of tool results as they are asked about, two results of an item at most."""
+    from credence.operators import ledger
+
+    return ledger.prepared(_tool_turns(spark, sf), most_semantic=2)
+
+
+def _scheduled(batch):
+    """Stands for a model: too long prompts overflow, others fail as often as their length says before they are answered."""
+    import pyarrow as pa
+
+    rows = batch.to_pylist()
+    status = ["overflow" if r["tokens"] + r["limit"] > 420 else "failed" if r["attempt"] <= len(r["prompt"]) % 4 else "ok" for r in rows]
+    return pa.RecordBatch.from_pydict({"status": status, "answer": [f"{r['label']}:{r['limit']}:{r['prompt'][:20]}" for r in rows]})
+
+
+@query(
+    """SELECT item_id, batch, label, CASE WHEN h IS NULL THEN 'overflow' ELSE 'ok' END AS status, CASE WHEN h IS NOT NULL THEN label || ':' || lim || ':' || substr(prompt, 1, 20) END AS answer,
+  CAST(CASE WHEN h IS NULL THEN 5 ELSE greatest(h, length(prompt) % 4) + 1 END AS INTEGER) AS attempts, CAST(coalesce(lim, 16) AS INTEGER) AS "limit"
+FROM (SELECT *, CAST(256 / power(2, h) AS INTEGER) AS lim FROM (SELECT *, list_min(list_filter([0, 1, 2, 3, 4], lambda x: tokens + 256 / power(2, x) <= 420)) AS h
+  FROM (SELECT *, greatest(1, round_even(length(prompt) / 4.0, 0)) AS tokens FROM rq)))""",
+    TOOL_TURNS_SQL, PREPARED_SQL, "rq AS (SELECT item_id, batch, kind AS label, string_agg('[' || place || '] ' || content, chr(10) ORDER BY place) AS prompt FROM pb WHERE kind <> 'rule' GROUP BY ALL)",
+)
+def model_ledger(spark, sf):
+    """Batches asked of a model that overflows and fails by schedule, until each has its answer or can't have one."""
+    from credence.operators import ledger
+    from credence.plans.session import table_path
+
+    turns = _tool_turns(spark, sf)
+    requests = ledger.batch_requests(turns, ledger.prepared(turns, most_semantic=2))
+    said = ledger.ask(requests, _scheduled, table_path(spark, "ledger"))
+    return ledger.digested(requests).join(said, "digest").select("item_id", "batch", "label", "status", "answer", "attempts", "limit")

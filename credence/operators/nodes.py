@@ -120,12 +120,11 @@ def unified_nodes(*lists: DataFrame) -> DataFrame:
 
 
 def factors(rows: DataFrame) -> DataFrame:
-    """Factors with missing ids filled by the smallest unused numbers from 0, by order of appearance."""
-    used = rows.filter("id is not null").select("id").distinct()
-    n = rows.count()
-    free = rows.sparkSession.range(2 * n + 1).join(used, "id", "left_anti").withColumn("k", F.row_number().over(Window.orderBy("id"))).filter(F.col("k") <= n).select("k", F.col("id").alias("free_id"))
-    missing = rows.filter("id is null").withColumn("k", F.row_number().over(Window.orderBy("pos")))
-    filled = missing.join(free, "k").withColumn("id", F.col("free_id")).drop("k", "free_id")
+    """Factors with missing ids filled by the smallest unused numbers from 0, by order of appearance (`pos`)."""
+    from credence.operators.numbering import numbered, unused
+
+    missing = numbered(rows.filter("id is null").drop("id"), "pos")
+    filled = unused(rows.filter("id is not null").select("id"), missing).select(*rows.columns)
     return rows.filter("id is not null").unionByName(filled).orderBy("id")
 
 

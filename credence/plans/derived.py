@@ -567,3 +567,52 @@ def model_ledger(spark, sf):
     requests = ledger.batch_requests(turns, ledger.prepared(turns, most_semantic=2))
     said = ledger.ask(requests, _scheduled, table_path(spark, "ledger"))
     return ledger.digested(requests).join(said, "digest").select("item_id", "batch", "label", "status", "answer", "attempts", "limit")
+
+
+# -- numbers and top-k -------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT pos, id FROM (SELECT doc_id AS pos, doc_id * 2 AS id FROM labels WHERE doc_id % 3 = 0 UNION ALL
+  SELECT pos, free FROM (SELECT doc_id AS pos, row_number() OVER (ORDER BY doc_id) AS k FROM labels WHERE doc_id % 3 <> 0)
+  JOIN (SELECT free, row_number() OVER (ORDER BY free) AS k FROM (SELECT unnest(range((SELECT 4 * max(doc_id) + 4 FROM labels))) AS free) WHERE free NOT IN (SELECT doc_id * 2 FROM labels WHERE doc_id % 3 = 0)) USING (k))"""
+)
+def filled_factor_ids(spark, sf):
+    """Factors without ids get the smallest unused ones, in order of appearance."""
+    d = F.col("doc_id")
+    rows = table(spark, sf, "labels").select(F.when(d % 3 == 0, d * 2).alias("id"), d.alias("pos"))
+    return N.factors(rows).select("pos", "id")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY length(text) DESC NULLS LAST, doc_id) - 1 AS number FROM documents")
+def numbered_documents(spark, sf):
+    """All documents numbered by length, without a task that sees them all."""
+    from credence.operators.numbering import numbered
+
+    rows = table(spark, sf, "documents").select("doc_id", F.length("text").alias("n"))
+    return numbered(rows, F.desc_nulls_last("n"), "doc_id").select("doc_id", "number")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS item_id, count(*) AS n FROM conversations GROUP BY conv_id QUALIFY row_number() OVER (ORDER BY CAST(conv_id AS VARCHAR)) = 8")
+def item_selected_by_number(spark, sf):
+    """The eighth item in order of ids, none of which is that number."""
+    from credence.sources.items import select_item
+
+    c = table(spark, sf, "conversations").groupBy(F.concat(F.lit("c"), F.col("conv_id")).alias("item_id")).agg(F.count("*").alias("n"))
+    return select_item(c, "7").select(F.substring("item_id", 2, 20).alias("item_id"), "n")
+
+
+@query(
+    """SELECT CAST(label AS BIGINT) AS item_id, query_id, id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label, query_id ORDER BY similarity DESC, id) AS rank FROM (
+  SELECT u.label, q.vec_id AS query_id, u.vec_id // 3 AS id, round(max(list_sum(list_transform(list_zip(u.u, q.u), lambda z: z[1] * z[2]))), 9) AS similarity
+  FROM un u JOIN un q ON q.label = u.label AND q.vec_id % 10 = 0 GROUP BY ALL)) WHERE rank <= 5""",
+    "ud AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)",
+    "un AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM ud)",
+)
+def top_by_embedding(spark, sf):
+    """The five nodes of an item that are most like each query, by the best of their units."""
+    from credence.operators import topk
+
+    v = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("item_id"), "vec_id", F.col("embedding").alias("vector"))
+    units = v.select("item_id", F.floor(F.col("vec_id") / 3).cast("long").alias("id"), "vector")
+    return topk.top_nodes(units, v.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id"), 5)

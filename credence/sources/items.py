@@ -56,7 +56,10 @@ def select_item(items: DataFrame, selector: str) -> DataFrame:
     """The item of that id; else the one at that 0-based place; else an error."""
     hit = items.filter(F.col("item_id") == selector)
     if hit.isEmpty() and selector.isdigit():
-        hit = items.filter(F.col("pos") == int(selector)) if "pos" in items.columns else items.withColumn("__n", F.row_number().over(Window.orderBy("item_id")) - 1).filter(F.col("__n") == int(selector)).drop("__n")
+        from credence.operators.numbering import numbered
+
+        place = items.withColumnRenamed("pos", "__n") if "pos" in items.columns else numbered(items, "item_id", name="__n")
+        hit = place.filter(F.col("__n") == int(selector)).withColumnRenamed("__n", "pos").select(*items.columns)
     if hit.isEmpty():
         raise KeyError(selector)
     return hit

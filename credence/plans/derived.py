@@ -616,3 +616,37 @@ def top_by_embedding(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("item_id"), "vec_id", F.col("embedding").alias("vector"))
     units = v.select("item_id", F.floor(F.col("vec_id") / 3).cast("long").alias("id"), "vector")
     return topk.top_nodes(units, v.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id"), 5)
+
+
+# -- trails ------------------------------------------------------------------------------------------------------------
+
+TRAIL_SQL = (
+    "rp AS (SELECT *, CASE WHEN type = 'contradicts' THEN 0 ELSE 1 END AS pr FROM relations)",
+    "nx AS (SELECT i.item_id, i.id, o.id AS nxt FROM (SELECT *, row_number() OVER (PARTITION BY item_id, to_id ORDER BY pr, id) AS k FROM rp) i JOIN (SELECT *, row_number() OVER (PARTITION BY item_id, from_id ORDER BY pr, id) AS k FROM rp) o ON o.item_id = i.item_id AND o.from_id = i.to_id AND o.k = i.k)",
+    "tr AS (SELECT item_id, id, id AS trail, 0 AS place FROM rp WHERE id NOT IN (SELECT nxt FROM nx) UNION ALL SELECT t.item_id, n.nxt, t.trail, t.place + 1 FROM tr t JOIN nx n ON n.id = t.id)",
+)
+
+
+def _ranked_relations(spark, sf):
+    return B.relations(spark, sf).withColumn("priority", F.when(F.col("type") == "contradicts", 0).otherwise(1))
+
+
+@query("SELECT item_id, id, trail, CAST(place AS BIGINT) AS place FROM tr", "recursive", ND, RL, *TRAIL_SQL)
+def relation_trails(spark, sf):
+    """Relations as trails: each one in one of them."""
+    from credence.operators import trails
+
+    return trails.trails(_ranked_relations(spark, sf))
+
+
+@query(
+    """SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY first, trail, place) AS INTEGER) AS n, line FROM (
+  SELECT tr.item_id, trail, place, min(CASE WHEN place = 0 THEN pr END) OVER (PARTITION BY tr.item_id, trail) AS first, '- [B' || from_id || '] ' || type || ' [B' || to_id || ']' AS line FROM tr JOIN rp ON rp.id = tr.id)""",
+    "recursive", ND, RL, *TRAIL_SQL,
+)
+def compact_trail_lines(spark, sf):
+    """The lines of a compact rendering, trail by trail."""
+    from credence.operators import trails
+
+    rows = _ranked_relations(spark, sf)
+    return trails.lines(rows, trails.trails(rows)).select("item_id", "n", "line")

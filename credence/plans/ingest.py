@@ -237,6 +237,16 @@ def timing_line(spark, sf):
     return L.find_timings(rows, "u8").select("path", "line_no")
 
 
+@query("SELECT 'p' || user_id || '-' || e.event_type AS problem_id, path, min(n) AS line_no FROM lg JOIN events e ON event_id = n GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY min(n)) = 1", LOG_SQL)
+def timing_lines(spark, sf):
+    """The first line of every problem at once, by one automaton over the raw lines; prefixes of ids and mere mentions don't count."""
+    e = table(spark, sf, "events").withColumn("problem_id", F.concat(F.lit("p"), F.col("user_id"), F.lit("-"), F.col("event_type")))
+    named = e.select(F.col("event_id").alias("line_no"), "problem_id")
+    own = F.concat(F.lit('"problem_id":"'), F.col("problem_id"), F.lit('","other":"p1-view","n":'))
+    rows = _log(spark, sf).join(named, "line_no").withColumn("value", F.replace("value", F.lit('"n":'), own)).withColumn("modified", F.lit(0)).drop("problem_id")
+    return L.find_all_timings(rows, named).select("problem_id", "path", "line_no")
+
+
 @query(
     """SELECT 'u' || user_id AS sample, count(*) AS turns, count(*) FILTER (event_type = 'error') AS snapshots, 'claim ' || min(event_id) AS claim FROM events GROUP BY user_id"""
 )

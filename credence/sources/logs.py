@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -38,6 +39,52 @@ def find_timings(rows: DataFrame, problem_id: str) -> DataFrame:
     return ok.orderBy(F.desc("modified"), "path", "line_no").limit(1)
 
 
+#: Problem ids in one automaton; more are looked for in several passes.
+MOST_IDS = 200_000
+
+
+def find_all_timings(rows: DataFrame, problems: DataFrame, most_ids: int = MOST_IDS) -> DataFrame:
+    """problem_id, path, line_no, value: of each problem (problem_id) the first line that names it, of the newest file.
+
+    A raw line is read once, by an Aho-Corasick automaton of all ids at a time; only lines in which one occurs are parsed, and
+    count if it is their problem's. The automaton is made once a task. Of more than `most_ids` problems as many at a time are
+    looked for as there are passes. rows: path, line_no, modified, value. Null and empty ids and null lines match nothing.
+    """
+    from credence.operators.graph import cut
+
+    ids = cut(problems.filter("problem_id <> ''").select("problem_id").distinct(), "problems")
+    passes = ids.count() // most_ids + 1
+    wanted = ids.withColumn("pass", F.pmod(F.xxhash64("problem_id"), F.lit(passes)).cast("int"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("problem_id", T.StringType())])
+    found = None
+    for k in range(passes):
+        needles = [r[0] for r in wanted.filter(F.col("pass") == k).select("problem_id").collect()]  # most_ids and some
+
+        def named(batches, needles=needles):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for x in needles:
+                automaton.add_word(x, x)
+            if needles:
+                automaton.make_automaton()
+            for b in batches:
+                at, names = [], []
+                for i, line in enumerate(b.column("value").to_pylist() if needles else ()):
+                    hits = {x for _, x in automaton.iter(line)} if line else ()
+                    at += [i] * len(hits)
+                    names += hits
+                part = b.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string())], schema.names)
+
+        near = rows.mapInArrow(named, schema)
+        ok = near.filter(F.try_variant_get(F.try_parse_json("value"), "$.problem_id", "string") == F.col("problem_id"))
+        best = F.min_by(F.struct("path", "line_no", "value"), F.struct(-F.col("modified"), "path", "line_no")).alias("x")
+        one = ok.groupBy("problem_id").agg(best).select("problem_id", "x.*")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def stream_manifest(trajectories: DataFrame, graphs: DataFrame) -> DataFrame:
     """sample, turns, snapshots, claim: samples with graphs first, then by name."""
     claim = F.regexp_extract("value", r'"claim"\s*:\s*"((?:[^"\\]|\\.)*)"', 1)

@@ -237,7 +237,7 @@ def timing_line(spark, sf):
     return L.find_timings(rows, "u8").select("path", "line_no")
 
 
-@query("SELECT 'p' || user_id || '-' || e.event_type AS problem_id, path, min(n) AS line_no FROM lg JOIN events e ON event_id = n GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY min(n)) = 1", LOG_SQL)
+@query("SELECT 'p' || user_id || '-' || e.event_type AS problem_id, path, min(n) AS line_no FROM lg JOIN events e ON event_id = n GROUP BY ALL", LOG_SQL)
 def timing_lines(spark, sf):
     """The first line of every problem at once, by one automaton over the raw lines; prefixes of ids and mere mentions don't count."""
     e = table(spark, sf, "events").withColumn("problem_id", F.concat(F.lit("p"), F.col("user_id"), F.lit("-"), F.col("event_type")))

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 from credence.llm.common import documents, inline, parallel
@@ -34,7 +35,8 @@ FLOOR = 1e-8
 RESCALE = 8
 CACHE = 300_000
 CHUNK = 1 << 20
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")  # and numbers that are no decimal digits
+_STRICT = regex.compile(r"\p{L}+")
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -45,12 +47,13 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
     pieces = {sp.id_to_piece(i).lstrip("▁").lower() for i in range(sp.get_piece_size())}
-    return sorted(p for p in pieces if _LETTERS.fullmatch(p))
+    return sorted(p for p in pieces if p.isalpha())
 
 
 def runs(text: str) -> list[str]:
-    """The runs of letters, lower case."""
-    return _LETTERS.findall(text.lower())
+    """The runs of letters (Unicode's categories L), lower case."""
+    found = _LETTERS.findall(text.lower())
+    return found if text.isascii() else [x for w in found for x in ((w,) if w.isalpha() else _STRICT.findall(w))]
 
 
 def _codes(words: list[str], n: int) -> np.ndarray:

@@ -104,3 +104,10 @@ def test_edges(spark):
     assert L.identify(empty(spark)).isEmpty()
     assert {r["lang_pred"] for r in L.identify(docs.filter("doc_id in (1, 7)")).collect()} == {"und"}
     assert L.runs("A1b-" + "c" * 30) == ["a", "b", "c" * 30]
+
+
+def test_numbers_are_no_letters(spark):
+    assert L.runs("½ ² ① Ⅷ x² année½fin ª") == ["x", "année", "fin", "ª"]
+    rows = [(i, ["der die das und", "the and of it"][i % 2] * 5, ["de", "en"][i % 2]) for i in range(60)] + [(100, "½ ² ① 12 _", "de")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100][0] == "und"

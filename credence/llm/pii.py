@@ -105,8 +105,9 @@ _LOOKALIKES |= dict.fromkeys("\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u
 _INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 #: All that the framed patterns accept; the bare one needs a "dot".
 _DISGUISE_TRIGGER = re.compile(r"(?i)[\[({<]\s*(?:at|arroba|arobase|@|dot|punkt|point|punto|\.)\s*[\])}>]|\sdot\s")
-_AT_FRAMED = re.compile(r"(?i)\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*")
-_DOT_FRAMED = re.compile(r"(?i)(?<=[A-Za-z0-9-])\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*(?=[A-Za-z0-9-])")
+_AT_FRAMED = re.compile(r"(?i)[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]")
+_DOT_FRAMED = re.compile(r"(?i)[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]")
+_HOST = re.compile(r"[A-Za-z0-9-]")
 #: Endings that a bare "x at the dot z" must have, as in "look at the dot on it"; after other hosts any letters do. Fixed values.
 _ENDINGS = "com|net|org|edu|gov|info|io|co|de|fr|es|uk|eu|ch|at|it|nl|us|ca|biz|example|dev|app"
 # Lengths are those that addresses may have: 64 letters before the @, 63 in a label; up to ten parts on either side.
@@ -169,9 +170,29 @@ def _homoglyphs(p: Plain) -> None:
         p.edit([(*m.span(), known[m.group()]) for m in re.finditer(f"[{''.join(map(re.escape, known))}]", p.text)])
 
 
+def _framed(text: str, frame: re.Pattern, new: str, within: re.Pattern | None = None) -> list[tuple[int, int, str]]:
+    """Edits of all frames with the white space around them; `within`: what must stand on both sides of that.
+
+    Frames are found first and widened after, so that a run of white space is read twice at most.
+    """
+    out, done = [], 0
+    for m in frame.finditer(text):
+        a, b = m.span()
+        while a > done and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        if within is None or (a and within.match(text, a - 1) and within.match(text, b)):
+            out.append((a, b, new))
+            done = b
+        else:
+            done = m.end()
+    return out
+
+
 def _disguises(p: Plain) -> None:
-    p.edit([(*m.span(), "@") for m in _AT_FRAMED.finditer(p.text)])
-    p.edit([(*m.span(), ".") for m in _DOT_FRAMED.finditer(p.text)])
+    p.edit(_framed(p.text, _AT_FRAMED, "@"))
+    p.edit(_framed(p.text, _DOT_FRAMED, ".", _HOST))
     edits = []
     for m in _BARE.finditer(p.text):
         edits += [(m.start() + x.start(), m.start() + x.end(), "@" if x.group(1).lower() == "at" else ".") for x in _BARE_PART.finditer(m.group())]

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -88,3 +89,18 @@ def test_triggers_change_nothing(t):
         assert got == pii.find(t)
     finally:
         pii._DISGUISE_TRIGGER = trigger
+
+
+@pytest.mark.parametrize("text", ["see b [dot] c{}x", "see b dot c{}x", "a [at] b{}[dot] c", "a{}at{}b", "one two{}three", "[{}(", "a@b (dot){}(dot) c"])
+def test_long_white_space_is_linear(text):
+    began = time.time()
+    pii.find(text.replace("{}", " " * 300_000))
+    assert time.time() - began < 1
+
+
+def test_frames_with_the_space_around_them():
+    found = lambda t: [x[0] for x in pii.find(t)[1]]
+    assert found("me [at] my  ( dot )\thost.org") == ["email"] and found("me [at] [dot] org") == []
+    p = pii.Plain("a [dot] [dot] b (dot)c - <.> d")
+    pii._disguises(p)
+    assert p.text == "a [dot] [dot] b.c -.d"

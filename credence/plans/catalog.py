@@ -558,7 +558,20 @@ def hotpot_f1(spark, sf):
     return b.select("item_id", F.round(S.hotpot(F.col("text"), F.col("next"))["f1"], 9).alias("f1"))
 
 
-@query()
+@query(
+    """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS "index", CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM sent""",
+    "recursive",
+    # a mark after each terminator before white space or the end, and after each line feed
+    r"""cuts AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?;…。！？；]+[''"”’)\]）】」』]*)(\s|$)', '\1' || chr(1) || '\2', 'g'), '\n', chr(10) || chr(1), 'g'), chr(1)) AS c FROM documents WHERE text IS NOT NULL)""",
+    "bits AS (SELECT doc_id, unnest(c) AS piece, generate_subscripts(c, 1) AS i FROM cuts)",
+    "placed AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM bits)",
+    r"""body AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, base + length(piece) - length(regexp_replace(piece, '^\s+', '')) AS s, base + length(regexp_replace(piece, '\s+$', '')) AS e FROM placed WHERE regexp_matches(piece, '\S'))""",
+    # pieces of under four characters go on into the next one
+    "fold AS (SELECT doc_id, n, s AS open, e, e - s >= 4 AS done FROM body WHERE n = 1 UNION ALL SELECT b.doc_id, b.n, CASE WHEN f.done THEN b.s ELSE f.open END, b.e, b.e - CASE WHEN f.done THEN b.s ELSE f.open END >= 4 FROM fold f JOIN body b ON b.doc_id = f.doc_id AND b.n = f.n + 1)",
+    "ends AS (SELECT *, n = max(n) OVER (PARTITION BY doc_id) AS last, max(CASE WHEN done THEN n END) OVER (PARTITION BY doc_id) AS k FROM fold)",
+    # what is left at the end joins the sentence before
+    "sent AS (SELECT d.doc_id, d.n AS k, d.open AS s, CASE WHEN d.n = d.k AND l.n > d.n THEN l.e ELSE d.e END AS e FROM ends d JOIN ends l ON l.doc_id = d.doc_id AND l.last WHERE d.done UNION ALL SELECT doc_id, n, open, e FROM ends WHERE last AND k IS NULL)",
+)
 def sentence_spans(spark, sf):
     """Exact spans of sentences."""
     d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
@@ -596,9 +609,25 @@ def edited_excerpts(spark, sf):
     return E.from_excerpt(d).select("doc_id", "start", "end", "match")
 
 
-@query()
+def _walk_sql(word: str, text: str) -> str:
+    """The score of a word of three letters as a subsequence, from places a, b, c (from 0) of its letters; null without them."""
+    edge = lambda at: f"CASE WHEN {at} = 0 OR strpos(' -_./:' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), substr({text}, {at}, 1)) > 0 THEN -10 ELSE 0 END"
+    gap = lambda last, at: f"2 * ({at} - {last} - 1)"
+    # how many letters in a row end here: the first counts if it is the text's first character
+    return f"""SELECT doc_id, CASE WHEN a >= 0 AND b > a AND c > b THEN
+  CASE WHEN a = 0 THEN -5 ELSE 0 END + {edge('a')} + 0.1 * a
+  + CASE WHEN b = a + 1 THEN CASE WHEN a = 0 THEN -10 ELSE -5 END ELSE {gap('a', 'b')} END + {edge('b')} + 0.1 * b
+  + CASE WHEN c = b + 1 THEN CASE WHEN b = a + 1 THEN CASE WHEN a = 0 THEN -15 ELSE -10 END ELSE -5 END ELSE {gap('b', 'c')} END + {edge('c')} + 0.1 * c
+  - CASE WHEN {text} = '{word}' THEN 100 ELSE 0 END END AS score
+FROM (SELECT *, CASE WHEN b > a AND strpos(substr({text}, b + 2), '{word[2]}') > 0 THEN b + strpos(substr({text}, b + 2), '{word[2]}') ELSE -1 END AS c
+  FROM (SELECT *, CASE WHEN a >= 0 AND strpos(substr({text}, a + 2), '{word[1]}') > 0 THEN a + strpos(substr({text}, a + 2), '{word[1]}') ELSE -1 END AS b
+    FROM (SELECT doc_id, lower(text) AS {text}, strpos(lower(text), '{word[0]}') - 1 AS a FROM documents)))"""
+
+
+@query("SELECT doc_id, round(w1.score + w2.score, 6) AS score FROM w1 JOIN w2 USING (doc_id)", f"w1 AS ({_walk_sql('the', 't')})", f"w2 AS ({_walk_sql('ion', 't')})")
 def fuzzy_scores(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.fuzzy_score(F.lit("the ion"), F.col("text")).alias("score"))
+    """Two words as subsequences of each whole text."""
+    return table(spark, sf, "documents").select("doc_id", F.round(X.fuzzy_score(F.lit("the ion"), F.col("text")), 6).alias("score"))
 
 
 WIRE = "concat('<tool_call>{\"id\": \"c', cast(doc_id as string), '\", \"name\": \"web_search\", \"arguments\": {\"query\": \"', regexp_replace(substring(text, 1, 20), '[^a-zA-Z ]', ''), '\"}}</tool_call> <tool_call>{bad</tool_call>')"
@@ -918,6 +947,23 @@ def ranked_selection(spark, sf):
     return SEL.ranked(n, RT.similarities(RT.units(n), _families(spark, sf)), "semantic", 900, 300)
 
 
+@query(
+    """SELECT event_id, CAST(p AS BIGINT) AS prompt, CAST(c AS BIGINT) AS completion, CAST(CASE WHEN event_id % 3 = 2 THEN p + c ELSE p + c + 1 END AS BIGINT) AS total, CAST(CASE WHEN event_id % 3 = 1 THEN 0 ELSE event_id % 37 END AS BIGINT) AS reasoning, CASE WHEN event_id % 2 = 0 THEN (event_id % 64) / 64.0::DOUBLE END AS cost
+FROM (SELECT *, event_id % 1000 AS p, event_id % 170 AS c FROM events)"""
+)
+def usage_shapes(spark, sf):
+    """Usage objects of three shapes as one."""
+    i = F.col("event_id")
+    p, c, r, cost = i % 1000, i % 170, i % 37, F.when(i % 2 == 0, (i % 64) / 64.0)
+    shapes = (
+        F.to_json(F.struct(p.alias("prompt_tokens"), c.alias("completion_tokens"), (p + c + 1).alias("total_tokens"), F.struct(r.alias("reasoning_tokens")).alias("completion_tokens_details"), cost.alias("cost"))),
+        F.to_json(F.struct(p.alias("input"), c.alias("output"), (p + c + 1).alias("totalTokens"), F.struct(cost.alias("total")).alias("cost"))),
+        F.to_json(F.struct(p.alias("input_tokens"), c.alias("output_tokens"), r.alias("reasoning"), cost.alias("total_cost"))),
+    )
+    raw = F.when(i % 3 == 0, shapes[0]).when(i % 3 == 1, shapes[1]).otherwise(shapes[2])
+    return table(spark, sf, "events").select("event_id", US.coerced_usage(F.try_parse_json(raw)).alias("u")).select("event_id", "u.*")
+
+
 @query(
     "SELECT text_id, index, round(d, 6) AS distance, round(t, 6) AS threshold, CAST(coalesce(sum(CASE WHEN d > t THEN 1 ELSE 0 END) OVER (PARTITION BY text_id ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"group\" FROM q JOIN (SELECT text_id, quantile_cont(d, 0.8) AS t FROM q GROUP BY text_id) USING (text_id)",
     "v AS (SELECT label AS text_id, vec_id AS index, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)", "v2 AS (SELECT *, lead(e) OVER (PARTITION BY text_id ORDER BY index) AS f FROM v)",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from credence.functions import confidence as C, scoring as S, text as X, toolwire as TW, usage as US, vectors as V
 from credence.operators import budget, evidence as E, fulltext, graph as G, merge as M, metric, nodes as N, propagation as P, proposals as PR, relations as R, retrieval as RT, selection as SEL, turns as T, usage as U
+from credence.operators.numbering import numbered
 from credence.plans import base as B
 from credence.plans.session import table, table_path
 
@@ -554,7 +555,8 @@ FROM (SELECT *, list_sum(list_transform(list_distinct(p), lambda w: least(len(li
 )
 def hotpot_f1(spark, sf):
     """Each item's whole text against the next one's."""
-    b = table(spark, sf, "benchmark").withColumn("next", F.lead("text").over(Window.orderBy("item_id"))).filter("next is not null")
+    b = numbered(table(spark, sf, "benchmark").select("item_id", "text"), "item_id")
+    b = b.join(b.select((F.col("number") - 1).alias("number"), F.col("text").alias("next")), "number").filter("next is not null")
     return b.select("item_id", F.round(S.hotpot(F.col("text"), F.col("next"))["f1"], 9).alias("f1"))
 
 
@@ -947,6 +949,19 @@ def ranked_selection(spark, sf):
     return SEL.ranked(n, RT.similarities(RT.units(n), _families(spark, sf)), "semantic", 900, 300)
 
 
+@query(
+    GREEDY_SQL, "recursive", ND,
+    "el AS (SELECT *, extraction_method = 'rule_tool_call' OR query IS NOT NULL AS search FROM nodes WHERE turn_id > 1)",
+    f"""gr AS (SELECT item_id, id, CASE WHEN search THEN 'search' ELSE 'fact' END AS kind,
+  round(CASE WHEN search THEN turn_id ELSE confidence * 1000 + CASE extraction_method WHEN 'rule_tool_result' THEN -100 WHEN 'compact_llm_tool_result' THEN 100 ELSE 0 END END, 9) AS score, turn_id, {LINE_SQL.format(search='search')} AS cost FROM el)""",
+    _greedy_sql("gr", 900, 300),
+)
+def legacy_selection(spark, sf):
+    """The older ranking: facts by confidence and how they were found, searches by turn."""
+    n = B.nodes(spark, sf).filter("turn_id > 1").withColumn("tool_result_items", F.lit(None).cast("array<struct<title:string,snippet:string>>"))
+    return SEL.ranked(n, RT.similarities(RT.units(n), _families(spark, sf)), "legacy", 900, 300)
+
+
 @query(
     """SELECT event_id, CAST(p AS BIGINT) AS prompt, CAST(c AS BIGINT) AS completion, CAST(CASE WHEN event_id % 3 = 2 THEN p + c ELSE p + c + 1 END AS BIGINT) AS total, CAST(CASE WHEN event_id % 3 = 1 THEN 0 ELSE event_id % 37 END AS BIGINT) AS reasoning, CASE WHEN event_id % 2 = 0 THEN (event_id % 64) / 64.0::DOUBLE END AS cost
 FROM (SELECT *, event_id % 1000 AS p, event_id % 170 AS c FROM events)"""

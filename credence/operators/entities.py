@@ -7,9 +7,10 @@ spans of a text are in its row, so nothing is shuffled.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPAN = "struct<start:int,end:int,label:string,confidence:double>"
@@ -22,10 +23,24 @@ def by_patterns(patterns: Sequence[tuple[str, str, float]]) -> Callable[[Column]
     """An extractor of all matches of (pattern, label, confidence), with offsets in characters; a null text gives null."""
     compiled = [(re.compile(p), label, float(c)) for p, label, c in patterns]
 
-    @F.pandas_udf(f"array<{SPAN}>")
-    def found(texts: pd.Series) -> pd.Series:
-        spans = lambda t: [{"start": m.start(), "end": m.end(), "label": label, "confidence": c} for p, label, c in compiled for m in p.finditer(t) if m.group()]
-        return texts.map(lambda t: None if t is None else spans(t))
+    # Spans stay Arrow columns: as Python objects those of one batch of texts would fill an executor.
+    @F.arrow_udf(f"array<{SPAN}>")
+    def found(texts: pa.Array) -> pa.Array:
+        starts, ends, kinds, bounds = array("i"), array("i"), array("i"), array("i", [0])
+        for t in texts:
+            text = t.as_py() or ""
+            for k, (p, _, _) in enumerate(compiled):
+                for m in p.finditer(text):
+                    if m.group():
+                        starts.append(m.start())
+                        ends.append(m.end())
+                        kinds.append(k)
+            bounds.append(len(starts))
+        kind = pa.array(kinds, pa.int32())
+        label = pa.array([x for _, x, _ in compiled], pa.string()).take(kind)
+        sure = pa.array([c for _, _, c in compiled], pa.float64()).take(kind)
+        values = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), label, sure], ["start", "end", "label", "confidence"])
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values, mask=texts.is_null())
 
     return found
 
@@ -73,8 +88,11 @@ def extracted(texts: DataFrame, methods: Sequence[Callable], fallback: Sequence[
     spans = F.concat(*(F.coalesce(c, none) for c in first), *(F.coalesce(f"__f{i}", none) for i in range(len(fallback))), none)
     wanted = F.filter(spans, lambda s: (s["confidence"] >= least) & (F.lit(True) if labels is None else F.upper(s["label"]).isin([x.upper() for x in labels])))
 
-    @F.pandas_udf(f"array<{ENTITY}>")
-    def settled(spans: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([_settled(list(s), t, merge) if t is not None and s is not None else [] for s, t in zip(spans, texts)], dtype=object)
+    @F.arrow_udf(f"array<{ENTITY}>")
+    def settled(spans: pa.Array, texts: pa.Array) -> pa.Array:
+        # One text's spans are Python objects at a time.
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string()), ("label", pa.string()), ("confidence", pa.float64())]))
+        done = [pa.array([_settled(s.as_py() or [], t.as_py() or "", merge)], kind) for s, t in zip(spans, texts)]
+        return pa.concat_arrays(done) if done else pa.array([], kind)
 
     return rows.withColumn("entities", settled(wanted, F.col("text"))).select(*texts.columns, "entities")

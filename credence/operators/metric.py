@@ -7,9 +7,10 @@ sample. Each vector lies in the cell of its nearest pivot, and is stored with
 * near: its coordinates in the space that the pivots span, and the length of what lies outside it.
 
 A vector visits a cell only if one of its members can be within r: its distance from the pivot must be within r of some
-member's distance (triangle inequality), and it may be beyond the border to any other pivot's cell by no more than r. In a cell, pairs
-whose `near` are more than r apart are dropped (the map to `near` shortens distances); only the rest are compared in full. All
-bounds are necessary conditions, so the result is exact whatever the pivots; they decide its cost alone.
+member's distance (triangle inequality), and it may be beyond the border to any other pivot's cell by no more than r. Vectors that
+visit a cell are multiplied with its members, tile by tile; the products that may reach t are summed once more in fixed order.
+All bounds are necessary conditions, so the result is exact whatever the pivots; they decide its cost alone. (`candidates` also
+drops pairs whose `near` are more than r apart, as the map to `near` shortens distances; a product costs less than that bound.)
 
 An `Index` keeps its vectors in folders by cell. What is added later is placed by the same pivots, and a search reads only the
 cells that the new vectors visit; stored vectors are never compared with one another.
@@ -26,12 +27,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from credence.functions import vectors as V
+from credence.operators.graph import cut
 
 #: Pivots, and vectors that they are chosen from.
 PIVOTS, SAMPLE = 16, 1024
+#: Vectors held by a task, vectors multiplied with them at once, pairs handled at once; tasks at most.
+TILE, STRIP, HITS, MOST_TASKS = 4096, 256, 1 << 14, 2000
 #: Against rounding: bounds give way by so much.
 SLACK = 1e-7
 #: The cell of vectors that the pivots say nothing about.
@@ -87,7 +92,7 @@ def _visits(u: np.ndarray, pivots: np.ndarray, r: float, ranges: np.ndarray) ->
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
     """Which rows have vectors of the first dimension given, and those vectors."""
     u = batch.column("u")
-    return pa.compute.list_value_length(u).to_numpy(zero_copy_only=False), u.flatten().to_numpy(zero_copy_only=False), len(u)
+    return pc.list_value_length(u).to_numpy(zero_copy_only=False), u.flatten().to_numpy(zero_copy_only=False), len(u)
 
 
 def placed(rows: DataFrame, pivots: np.ndarray, visit: float | None = None, ranges: np.ndarray | None = None) -> DataFrame:
@@ -135,15 +140,128 @@ def _apart(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def compared(pairs: DataFrame, threshold: float, blocks: tuple[str, ...]) -> DataFrame:
-    """a < b and similarity of the pairs that are alike."""
-    s = F.when(F.size("ua") == F.size("ub"), V.dot(F.col("ua"), F.col("ub")))
-    rows = pairs.withColumn("similarity", s).filter(F.col("similarity") >= threshold)
-    return rows.select(*blocks, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+def alike(nodes: DataFrame, threshold: float, blocks: tuple[str, ...], incremental: bool = False) -> DataFrame:
+    """blocks, a < b and similarity of nodes (id, vector, blocks, and is_new if incremental) that are alike: each pair once."""
+    rows = units(nodes, [*blocks, "id", *(["is_new"] if incremental else [])])
+    rows = placed(rows, chosen(rows), radius(threshold)).withColumn("row", F.monotonically_increasing_id())
+    rows = cut(rows, "placed")  # read several times; its row numbers have to last
+    stored = rows.withColumn("free", ~F.coalesce("is_new", F.lit(False)) if incremental else F.lit(False))
+    found = products(rows.filter("is_new") if incremental else rows, stored, threshold, blocks, "asked" if incremental else "halved")
+    return found.select(*blocks, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+
+
+def products(asking: DataFrame, stored: DataFrame, threshold: float, blocks: tuple[str, ...], kind: str) -> DataFrame:
+    """blocks, a (of asking), b (of stored) and similarity of the pairs of a block that are alike, by matrix products of tiles.
+
+    asking: blocks, cell, visits, row, id, u; stored: blocks, cell, row, id, u, free. Stored vectors are dealt out over tiles of TILE
+    or so; each tile is held by one task, past which the vectors that visit its cell stream, so a task's memory is bounded however
+    large a block is. Where most cells are visited anyway, and in blocks that fill no tile, cells are left out.
+
+    kind: `halved`, both are one table, and each two tiles meet once; `asked`, asking rows are part of the table, and meet what
+    is `free` in it and one another once; `apart`, two tables. Rows of one id meet in the last only.
+    """
+    few = asking.filter(F.col("cell") != ODD).agg(F.avg(F.size("visits")), F.max("cell")).first()
+    prunes = few[0] is not None and few[0] <= (few[1] + 1) / 4
+    n = stored.groupBy(*blocks).agg(F.count("*").alias("n")) if blocks else stored.agg(F.count("*").alias("n"))
+    known = lambda rows: rows.join(n, list(blocks)) if blocks else rows.crossJoin(n)
+    one = (F.col("n") <= TILE) | F.lit(not prunes)
+    stored = known(stored).withColumn("cell", F.when(one, 0).otherwise(F.col("cell"))).drop("n", "visits")
+    asking = known(asking).withColumn("visits", F.when(one, F.array(F.lit(0))).otherwise(F.col("visits"))).withColumn("cell", F.when(one, 0).otherwise(F.col("cell"))).drop("n")
+    tiles = stored.groupBy(*blocks, "cell").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    place = lambda cell, part: F.col(cell).cast("long") * (1 << 20) + part
+    own = F.pmod(F.xxhash64("row"), F.col("tiles"))
+    held = stored.join(tiles, [*blocks, "cell"]).withColumn("tile", place("cell", own))
+    asks = asking.join(tiles, [*blocks, "cell"]).withColumn("mine", place("cell", own)).drop("tiles") if kind == "halved" else asking
+    asks = asks.drop("cell").withColumn("cell", F.explode("visits")).join(tiles, [*blocks, "cell"])
+    asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("tile", place("cell", F.col("part")))
+    if kind == "halved":  # of two tiles one asks, each as often as it is asked
+        asks = asks.filter((F.col("mine") == F.col("tile")) | ((F.col("mine") < F.col("tile")) == ((F.col("mine") + F.col("tile")) % 2 == 0)))
+    free = {"halved": lambda: F.col("mine") != F.col("tile"), "asked": lambda: F.lit(False), "apart": lambda: F.lit(True)}[kind]()
+    columns = [*blocks, "tile", "side", "row", "free", "id", "u"]
+    both = held.withColumn("side", F.lit(0)).select(columns).unionByName(asks.withColumn("side", F.lit(1)).withColumn("free", free).select(columns))
+    groups = tiles.agg(F.coalesce(F.sum("tiles"), F.lit(0))).first()[0]
+    keys = [*blocks, "tile"]
+    dealt = both.repartition(max(1, min(4 * groups, MOST_TASKS)), *keys).sortWithinPartitions(*keys, "side")
+    field = {f.name: f for f in both.schema.fields}
+    out = T.StructType([*(field[c] for c in blocks), T.StructField("a", field["id"].dataType), T.StructField("b", field["id"].dataType), T.StructField("similarity", T.DoubleType())])
+
+    def run(batches):
+        now, parts, tile = None, [], None
+        for batch in batches:
+            for piece in _runs(batch, [*keys, "side"]):
+                key = tuple(piece.column(c)[0].as_py() for c in keys)
+                if key != now:
+                    now, parts, tile = key, [], None
+                if piece.column("side")[0].as_py() == 0:
+                    parts.append(piece)
+                elif parts:
+                    tile = tile or _Tile(parts)
+                    for a, b, s in tile.alike(piece, threshold, kind != "apart"):
+                        named = [pa.array([x] * len(s), batch.schema.field(c).type) for c, x in zip(blocks, key)]
+                        yield pa.RecordBatch.from_arrays([*named, a, b, pa.array(s)], out.names)
+
+    return dealt.mapInArrow(run, out)
+
+
+def _runs(batch: pa.RecordBatch, keys: list[str]):
+    """The batch cut where any of its keys changes."""
+    n = len(batch)
+    if not n:
+        return
+    new = np.zeros(n - 1, bool)
+    for c in keys:
+        x = batch.column(c)
+        new |= pc.not_equal(x.slice(1), x.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    at = [0, *(np.flatnonzero(new) + 1).tolist(), n]
+    for a, z in zip(at, at[1:]):
+        yield batch.slice(a, z - a)
+
+
+def _by_dimension(lengths: np.ndarray, flat: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each dimension the rows that have it, and their vectors."""
+    starts, out = np.cumsum(lengths) - lengths, {}
+    for d in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == d)
+        out[d] = at, flat[starts[at][:, None] + np.arange(d)]
+    return out
+
+
+class _Tile:
+    """Stored vectors of one tile, in a task."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        lengths, flats, _ = zip(*map(_columns, parts))
+        self.vectors = _by_dimension(np.concatenate(lengths), np.concatenate(flats))
+        self.ids = pa.concat_arrays([p.column("id") for p in parts])
+        self.row, self.free = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("row", "free"))
+
+    def alike(self, asking: pa.RecordBatch, threshold: float, within: bool):
+        """(ids, stored ids, similarities) of alike pairs, a bounded number at a time."""
+        ids = asking.column("id")
+        row, free = (asking.column(c).to_numpy(zero_copy_only=False) for c in ("row", "free"))
+        lengths, flat, _ = _columns(asking)
+        for d, (at, u) in _by_dimension(lengths, flat).items():
+            if d not in self.vectors:
+                continue
+            there, v = self.vectors[d]
+            for start in range(0, len(at), STRIP):
+                i, j = np.nonzero(u[start : start + STRIP] @ v.T >= threshold - SLACK)
+                i += start
+                for k in range(0, len(i), HITS):
+                    x, y = i[k : k + HITS], j[k : k + HITS]
+                    s = np.zeros(len(x))
+                    for c in range(d):  # in the order of `vectors.dot`, to the last bit
+                        s += u[x, c] * v[y, c]
+                    p, q = at[x], there[y]
+                    ok = (s >= threshold) & (free[p] | self.free[q] | (row[p] < self.row[q]))
+                    if within and ok.any():
+                        ok &= pc.not_equal(ids.take(pa.array(p)), self.ids.take(pa.array(q))).to_numpy(zero_copy_only=False)
+                    if ok.any():
+                        yield ids.take(pa.array(p[ok])), self.ids.take(pa.array(q[ok])), s[ok]
 
 
 def candidates(nodes: DataFrame, threshold: float, blocks: tuple[str, ...], incremental: bool = False, pivots: int = PIVOTS) -> DataFrame:
-    """The pairs of nodes (id, vector, blocks, and is_new if incremental) that are compared in full: each once."""
+    """The pairs of nodes (as in `alike`) that all bounds together leave, each once: what an index can rule out of a table."""
     r = radius(threshold)
     rows = units(nodes, [*blocks, "id", *(["is_new"] if incremental else [])])
     chosen_pivots = chosen(rows, pivots)
@@ -194,7 +312,7 @@ class Index:
     def near(self, vectors: DataFrame, threshold: float) -> DataFrame:
         """Pairs (blocks, id, stored_id, similarity) of vectors given and stored ones that are alike."""
         r = radius(threshold)
-        asking = placed(units(vectors, [*self.blocks, "id"]), self.pivots, r, self.ranges()).drop("cell")
-        pairs = met(asking, self.stored(), r, self.blocks)
-        s = F.when(F.size("ua") == F.size("ub"), V.dot(F.col("ua"), F.col("ub")))
-        return pairs.withColumn("similarity", s).filter(F.col("similarity") >= threshold).select(*self.blocks, F.col("a").alias("id"), F.col("b").alias("stored_id"), "similarity")
+        asking = placed(units(vectors, [*self.blocks, "id"]), self.pivots, r, self.ranges())
+        asking = asking.withColumn("row", F.lit(0).cast("long"))
+        stored = self.stored().withColumn("row", F.xxhash64("id", "u")).withColumn("free", F.lit(True))
+        return products(asking, stored, threshold, self.blocks, "apart").select(*self.blocks, F.col("a").alias("id"), F.col("b").alias("stored_id"), "similarity")

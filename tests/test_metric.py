@@ -79,3 +79,29 @@ def test_pairs_compared(spark):
     u = metric.units(df, ["id"])
     visits = metric.placed(u, metric.chosen(u), metric.radius(0.9)).selectExpr("avg(size(visits))").first()[0]
     assert visits < 3 and metric.candidates(df, 0.9, ("label",)).count() == 10 * 40 * 39 / 2
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.9])
+def test_blocks_of_many_tiles(spark, monkeypatch, threshold):
+    """Products of tiles, with cells and without, give each pair once."""
+    monkeypatch.setattr(metric, "TILE", 16)
+    rows = vectors(4, 150) + ODD
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows, threshold)
+    got = M.similar_pairs(df, threshold, ("label",)).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == set(want)
+    asked = M.similar_pairs(df, threshold, ("label",), incremental=True).collect()
+    assert len(asked) == sum(want.values()) and {(r["a"], r["b"]) for r in asked} == {k for k, new in want.items() if new}
+
+
+def test_pairs_of_groups_are_found_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long").mapInArrow(counted, "a long, b long")
+    got = {(r["group_id"], r["id"]) for r in M.groups(pairs).collect()}
+    assert got == {(1, 1), (1, 2), (1, 3), (7, 7), (7, 8)} and seen.value == 3

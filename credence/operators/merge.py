@@ -33,16 +33,17 @@ def similar_pairs(nodes: DataFrame, threshold: float, blocks: tuple[str, ...] =
     """a < b, similarity of nodes of one block whose vectors are alike. nodes: id, vector (+ is_new).
 
     The gate is part of the join keys, so pairs across roles or types are never formed; incremental: only new nodes ask, so
-    old ones never meet. A metric index rules pairs out before they are compared (`metric`).
+    old ones never meet. Cells of a metric index rule vectors out; the rest meet in matrix products of tiles (`metric`).
     """
-    return metric.compared(metric.candidates(nodes, threshold, blocks, incremental), threshold, blocks)
+    return metric.alike(nodes, threshold, blocks, incremental)
 
 
 def groups(pairs: DataFrame, is_new: DataFrame | None = None) -> DataFrame:
     """group_id (its smallest id), id. Without is_new: connected components. With it (id, is_new): components of new
     nodes, each attached to at most one old anchor, the most similar, then the smallest id."""
-    from credence.operators.graph import components
+    from credence.operators.graph import components, cut
 
+    pairs = cut(pairs, "pairs")  # read several times
     if is_new is None:
         nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         return components(nodes, pairs.select("a", "b")).select(F.col("comp").alias("group_id"), "id")

@@ -22,6 +22,17 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)))
 
 
+#: Characters whose capital is several letters by the full mapping of Unicode, and their one-letter capitals (themselves if none).
+_FULL = [c for c in map(chr, range(0x80, 0x20000)) if len(c.upper()) > 1]
+_SIMPLE = ["\u1e9e" if c == "\u00df" else c.title() if len(c.title()) == 1 else c for c in _FULL]
+
+
+def simple_upper(text: Column) -> Column:
+    """In capitals, one letter for one, as SQL engines without the full mapping have it (\u00df gives \u1e9e, not SS)."""
+    one = lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(F.translate(c, "".join(_FULL), "".join(_SIMPLE)))
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), one), "")
+
+
 def set_cosine(a: Column, b: Column) -> Column:
     """|A n B| / sqrt(|A| |B|); 0 if either is empty."""
     n = F.size(a) * F.size(b)

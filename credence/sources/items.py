@@ -15,9 +15,12 @@ ITEM = T.StructType(
 )
 
 
-def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of JSON files of any of four shapes: {trajectory}, {messages}, a list of messages, or a list of items with sessions."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("value"))
+def read_items(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Items of JSON files of any of four shapes: {trajectory}, {messages}, a list of messages, or a list of items with sessions.
+
+    lines: each line of a file is what a file is otherwise; many small trajectories come in few files then.
+    """
+    raw = spark.read.text(path, wholetext=not lines).filter((F.trim("value") != "") | F.lit(not lines))
     is_list = F.ltrim("value").startswith("[")
     items = F.from_json("value", T.ArrayType(ITEM))
     bare = F.from_json("value", f"array<{MESSAGE}>")

@@ -151,12 +151,10 @@ def cache_misses(messages: DataFrame, noise_floor: int = 1024) -> DataFrame:
 def repeated_queries(queries: DataFrame, threshold: float = 0.72) -> DataFrame:
     """task, repeated: queries that resemble an earlier one of their task (Jaccard of tokens)."""
     from credence.functions.text import words
+    from credence.operators.sets import like_an_earlier_one
 
-    rows = queries.select("task", "seq", F.array_distinct(words(F.col("query"))).alias("t")).filter(F.size("t") > 0)
-    tokens = rows.select("task", "seq", F.size("t").alias("n"), F.explode("t").alias("w"))
-    left, right = tokens.alias("a"), tokens.select("task", "w", F.col("seq").alias("seq2"), F.col("n").alias("n2")).alias("b")
-    common = left.join(right, ["task", "w"]).filter("seq2 < seq").groupBy("task", "seq", "seq2").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("n2").alias("n2"))
-    hits = common.filter(F.col("c") >= threshold * (F.col("n") + F.col("n2") - F.col("c"))).select("task", "seq").distinct()
+    rows = queries.select(F.col("task").alias("block"), "seq", F.array_distinct(words(F.col("query"))).alias("t"))
+    hits = like_an_earlier_one(rows, threshold).withColumnRenamed("block", "task")
     return queries.select("task").distinct().join(hits.groupBy("task").agg(F.count("*").alias("repeated")), "task", "left").select("task", F.coalesce("repeated", F.lit(0)).alias("repeated"))
 
 

@@ -15,18 +15,64 @@ from __future__ import annotations
 from collections import namedtuple
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessorHandle
 
-from credence.streaming.sessions import COLUMNS, OUTPUT, ROCKSDB, SessionMachine
-
-Row = namedtuple("Row", "role content is_message_end is_trajectory_end")
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
-
-def _bool(x) -> bool | None:
-    return None if x is None or pd.isna(x) else bool(x)
+from credence.streaming.sessions import OUTPUT, SAID, SessionMachine, rocksdb
+
+Turn = namedtuple("Turn", "role content is_message_end is_trajectory_end")
+#: Indices of one entry of the map of what waits. Each call to the state is a message to the JVM, so rows don't go singly.
+BLOCK = 64
+
+
+class Waiting:
+    """What waits of one problem: rows by index, in blocks that are read when they are asked for and written if they changed."""
+
+    def __init__(self, state, new: bool):
+        self.state, self.new = state, new
+        self.blocks: dict[int, dict[int, tuple]] = {}
+        self.stored: set[int] = set()
+        self.changed: set[int] = set()
+        self.since: int | None = None  # the earliest received_ms of what was stored, as far as it was read
+
+    def block(self, i: int) -> dict[int, tuple]:
+        b = i // BLOCK
+        if b not in self.blocks:
+            found = None if self.new else self.state.getValue((b,))
+            self._loaded(b, found)
+        return self.blocks[b]
+
+    def _loaded(self, b: int, found) -> None:
+        self.blocks[b] = {x[0]: tuple(x[1:]) for x in found[0]} if found else {}
+        if found:
+            self.stored.add(b)
+            self.since = min([x[4] for x in self.blocks[b].values()] + ([] if self.since is None else [self.since]))
+
+    def put(self, i: int, row: tuple) -> None:
+        self.block(i)[i] = row
+        self.changed.add(i // BLOCK)
+
+    def take(self, i: int) -> Turn | None:
+        row = self.block(i).pop(i, None)
+        if row is None:
+            return None
+        self.changed.add(i // BLOCK)
+        return Turn(*row[:4])
+
+    def indices(self) -> list[int]:
+        """All that waits; blocks that are known already are as they are now, not as they were stored."""
+        if not self.new:
+            for key, found in self.state.iterator():
+                if key[0] not in self.blocks:
+                    self._loaded(key[0], found)
+        return sorted(i for rows in self.blocks.values() for i in rows)
+
+    def write(self) -> None:
+        for b in sorted(self.changed):
+            if self.blocks[b]:
+                self.state.updateValue((b,), ([(i, *row) for i, row in sorted(self.blocks[b].items())],))
+            elif b in self.stored:
+                self.state.removeKey((b,))
 
 
 class OrderedMachine(SessionMachine):
@@ -35,85 +81,83 @@ class OrderedMachine(SessionMachine):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "recv_index long", "role string, content string, is_message_end boolean, is_trajectory_end boolean, received_ms long")
+        self.waiting = handle.getMapState("waiting", "block long", "rows array<struct<recv_index: long, role: string, content: string, is_message_end: boolean, is_trajectory_end: boolean, received_ms: long>>")
         self.place = handle.getValueState("place", "next long, received_ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        next_index, latest = self.place.get() if self.place.exists() else (0, 0)
-        whole = pd.concat(list(rows)).sort_values("recv_index", kind="stable")
-        whole["ms"] = whole["received_at"].astype("datetime64[ms]").astype("int64")
-        finish = bool(whole["close"].any())
-        ready: list[Row] = []
-        late: list[tuple] = []
-        come: dict[int, tuple] = {}
-        for r in whole[~whole["close"]].itertuples(index=False):
-            i, latest = int(r.recv_index), max(latest, int(r.ms))
-            if i < next_index or i in come or self.waiting.containsKey((i,)):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        place = self.place.get()
+        next_index, latest = place or (0, 0)
+        held = Waiting(self.waiting, place is None)
+        finish, ready, late, come = False, [], [], {}
+        for r in sorted(rows, key=lambda r: r.recv_index):
+            if r.close:
+                finish = True
+                continue
+            i, latest = r.recv_index, max(latest, r.received_ms)
+            if i < next_index or i in held.block(i):
                 late.append((key[0], "late", None, r.role, r.content, 1))
             else:
-                come[i] = (r.role, r.content, _bool(r.is_message_end), _bool(r.is_trajectory_end), int(r.ms))
-        waits = self.waiting.exists()
-        while True:
-            if next_index in come:
-                ready.append(Row(*come.pop(next_index)[:4]))
-            elif waits and self.waiting.containsKey((next_index,)):
-                ready.append(Row(*self.waiting.getValue((next_index,))[:4]))
-                self.waiting.removeKey((next_index,))
-            else:
-                break
-            next_index += 1
+                held.put(i, (r.role, r.content, r.is_message_end, r.is_trajectory_end, r.received_ms))
+                come[i] = r.received_ms
+        if finish or come:
+            while (row := held.take(next_index)) is not None:
+                ready.append(row)
+                next_index += 1
         if finish:
-            come |= {k[0]: tuple(v) for k, v in self.waiting.iterator()} if waits else {}
-            ready += [Row(*come[i][:4]) for i in sorted(come)]
-            next_index = max([next_index, *(i + 1 for i in come)])
-            self.waiting.clear()
-        else:
-            for i, row in come.items():
-                self.waiting.updateValue((i,), row)
-                self.handle.registerTimer(row[4])
-        self.place.update((next_index, latest))
-        yield pd.DataFrame(self.advance(key[0], iter(ready), finish) + late, columns=COLUMNS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        held = {k[0]: tuple(v) for k, v in self.waiting.iterator()} if self.waiting.exists() else {}
-        last = max((i for i, row in held.items() if row[4] <= until), default=None)
-        ready: list[Row] = []
+            left = held.indices()
+            ready += [held.take(i) for i in left]
+            next_index = max([next_index, *(i + 1 for i in left)])
+        waits = [ms for i, ms in come.items() if i >= next_index]
+        # A timer for the earliest does: when it goes off, the rest gets its own. What waited before has one.
+        if waits and (held.since is None or held.since > min(waits)):
+            self.handle.registerTimer(min(waits))
+        held.write()
+        if place != (next_index, latest):
+            self.place.update((next_index, latest))
+        said = self.advance(key[0], iter(ready), finish) if ready or finish or place is None else []
+        yield from (SAID(*x) for x in said + late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        until, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        held = Waiting(self.waiting, False)
+        left = held.indices()
+        since = {i: held.block(i)[i][4] for i in left}
+        last = max((i for i in left if since[i] <= until or since[i] < now), default=None)
+        ready: list[Turn] = []
         if last is not None:
-            next_index, latest = self.place.get()
-            while any(i <= last for i in held) or last + 1 in held:
-                i = min(held)
-                ready.append(Row(*held.pop(i)[:4]))
-                self.waiting.removeKey((i,))
+            for i in left:
+                if i > last + 1:
+                    break
+                ready.append(held.take(i))
                 last = max(last, i)
+            next_index, latest = self.place.get()
             self.place.update((max(next_index, last + 1), latest))
-        yield pd.DataFrame(self.advance(key[0], iter(ready)) if ready else [], columns=COLUMNS)
+            held.write()
+        if rest := left[len(ready) :]:
+            self.handle.registerTimer(min(since[i] for i in rest))
+        yield from (SAID(*x) for x in (self.advance(key[0], iter(ready)) if ready else []))
 
 
-_INPUT = ("problem_id", "role", "content", "is_message_end", "is_trajectory_end", "recv_index", "received_at", "close")
+_INPUT = ("problem_id", "role", "content", "is_message_end", "is_trajectory_end", "recv_index", "received_at", "received_ms", "close")
 
 
 def sessions(turns: DataFrame, patience: str) -> DataFrame:
     """Streaming turns (problem_id, role, content, is_message_end, is_trajectory_end, recv_index, received_at, close) in order
     through the machine. Needs the RocksDB state store provider."""
     close = F.coalesce("close", F.lit(False)) if "close" in turns.columns else F.lit(False)
-    rows = turns.withColumn("close", close).select(*_INPUT).filter("problem_id is not null and received_at is not null and (close or recv_index is not null)")
-    rows = rows.withColumn("recv_index", F.coalesce("recv_index", F.lit(-1).cast("long")))  # a column of whole numbers in pandas
-    return rows.withWatermark("received_at", patience).groupBy("problem_id").transformWithStateInPandas(OrderedMachine(), OUTPUT, "Append", "EventTime")
+    rows = turns.withColumn("close", close).withColumn("received_ms", F.unix_millis("received_at")).select(*_INPUT).filter("problem_id is not null and received_at is not null and (close or recv_index is not null)")
+    rows = rows.withColumn("recv_index", F.coalesce("recv_index", F.lit(-1).cast("long")))  # of closing rows
+    return rows.withWatermark("received_at", patience).groupBy("problem_id").transformWithState(OrderedMachine(), OUTPUT, "Append", "EventTime")
 
 
 def run(spark: SparkSession, root: str, schema: T.StructType, patience: str, files: int | None = None) -> None:
     """Take in what has come to root/in since the last run, `files` of it at a time; what the machine says goes to root/out."""
     whole = T.StructType([*schema.fields, *([] if "close" in schema.names else [T.StructField("close", T.BooleanType())])])
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKSDB)
-    try:
+    with rocksdb(spark):
         reader = spark.readStream.schema(whole)
         stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{root}/in")
         out = sessions(stream, patience).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
         out.trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
 def finish(spark: SparkSession, root: str, schema: T.StructType, patience: str) -> None:

@@ -75,6 +75,41 @@ def test_shuffled_over_many_batches_as_in_order(spark, tmp_path):
     assert feeds[0].said() == feeds[1].said() and len(feeds[0].said()) == 5 * 5
 
 
+class Calls:
+    """A map state that counts the calls to it."""
+
+    def __init__(self):
+        self.map, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        self.__dict__["calls"] += 1
+        return {"getValue": self.map.get, "updateValue": self.map.__setitem__, "removeKey": self.map.pop, "iterator": lambda: iter(list(self.map.items()))}[name]
+
+
+def test_what_waits_goes_to_the_state_in_blocks():
+    state, n = Calls(), 10 * O.BLOCK
+    held = O.Waiting(state, True)
+    for i in range(1, n):
+        held.put(i, ("user", f"{i}", None, None, i))
+    held.write()
+    assert state.calls == len(state.map) == 10
+    held = O.Waiting(state, False)
+    assert n - 1 in held.block(n - 1) and n not in held.block(n) and held.since == n - O.BLOCK and state.calls == 12
+    held.put(0, ("user", "0", None, None, 0))
+    assert [held.take(i).content for i in range(n)] == [str(i) for i in range(n)] and held.take(n) is None
+    held.write()
+    assert state.map == {} and state.calls <= 12 + 9 + 10
+
+
+def test_timers_go_on_for_what_is_left(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    feed.put(row("a", 2, "two", 40), row("a", 4, "four", 52), row("a", 6, "six", 60))
+    assert [x[3] for x in feed.said()] == ["two"]
+    feed.put(row("z", 0, "clock", 65))  # past a's row 4 as well
+    feed.put(row("z", 1, "clock", 90))
+    assert [(x[2], x[3]) for x in feed.said() if x[0] == "a"] == [(0, "two"), (1, "four"), (2, "six")]
+
+
 def size(path):
     return sum(os.path.getsize(f) for f in glob.glob(f"{path}/**/*.parquet", recursive=True))
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 # Types of Arrow functions are objects: workers import this module without a session to parse type names with.
@@ -236,9 +238,22 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-@F.pandas_udf(_SENTENCES)
-def split_sentences(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [{"index": i, "text": t[s:e], "start": s, "end": e} for i, (s, e) in enumerate(sentence_spans(t))] if isinstance(t, str) else [])
+# Texts and sentences stay Arrow columns, one text's are Python objects at a time: those of a batch would fill an executor.
+@F.arrow_udf(_SENTENCES)
+def split_sentences(text: pa.Array) -> pa.Array:
+    number, starts, ends, bounds, pieces = array("i"), array("i"), array("i"), array("i", [0]), []
+    for x in text:
+        t = x.as_py()
+        spans = sentence_spans(t)
+        number.extend(range(len(spans)))
+        starts.extend([s for s, _ in spans])
+        ends.extend([e for _, e in spans])
+        pieces.append(pa.array([t[s:e] for s, e in spans], pa.string()))
+        bounds.append(len(starts))
+    cut = pa.concat_arrays(pieces) if pieces else pa.array([], pa.string())
+    ints = [pa.array(v, pa.int32()) for v in (number, starts, ends)]
+    values = pa.StructArray.from_arrays([ints[0], cut, *ints[1:]], ["index", "text", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
 
 
 def first_object(text: str | None) -> str | None:

@@ -101,3 +101,23 @@ def test_marked_pieces(spark):
 def test_entity_spans(spark):
     s = spark.createDataFrame([("t", 0, 5, "A", 0.5), ("t", 3, 9, "B", 0.9), ("t", 10, 12, "C", 0.1)], "text_id string, start int, end int, label string, confidence double")
     assert [x["label"] for x in E.entity_spans(s).orderBy("start").collect()] == ["B", "C"]
+
+
+def python_peak(f, *columns):
+    """Bytes of Python objects that a function of Arrow columns holds at most."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        f.func(*columns)
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_sentences_of_a_batch_are_not_python_objects():
+    import pyarrow as pa
+
+    texts = pa.array(["One is here. Two is there. " * 40, None] * 500)
+    assert python_peak(X.split_sentences, texts) < 6_000_000  # 40,000 sentences; some 20 MB as objects
+    assert X.split_sentences.func(pa.array(["Hm. It is so.", None, ""])).to_pylist() == [[{"index": 0, "text": "Hm. It is so.", "start": 0, "end": 13}], [], []]

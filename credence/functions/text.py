@@ -306,12 +306,14 @@ def fuzzy(query: str, text: str) -> float | None:
     return found
 
 
-@F.pandas_udf(T.DoubleType())
-def fuzzy_score(query: pd.Series, text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def fuzzy_score(query: pa.Array, text: pa.Array) -> pa.Array:
     """The sum over the query's tokens (cut at spaces and slashes), null if one doesn't match."""
 
     def one(q, t):
+        if q is None or t is None:
+            return None
         scores = [fuzzy(x, t) for x in re.split(r"[\s/]+", q.strip()) if x]
         return None if any(s is None for s in scores) else float(sum(scores))
 
-    return pd.Series([one(a, b) if isinstance(a, str) and isinstance(b, str) else None for a, b in zip(query, text)], dtype="float64")
+    return pa.array((one(q.as_py(), t.as_py()) for q, t in zip(query, text)), pa.float64())

@@ -121,3 +121,11 @@ def test_sentences_of_a_batch_are_not_python_objects():
     texts = pa.array(["One is here. Two is there. " * 40, None] * 500)
     assert python_peak(X.split_sentences, texts) < 6_000_000  # 40,000 sentences; some 20 MB as objects
     assert X.split_sentences.func(pa.array(["Hm. It is so.", None, ""])).to_pylist() == [[{"index": 0, "text": "Hm. It is so.", "start": 0, "end": 13}], [], []]
+
+
+def test_scored_texts_of_a_batch_are_not_python_objects():
+    import pyarrow as pa
+
+    texts = pa.array(["the station " * 500, None] * 500)
+    assert python_peak(X.fuzzy_score, pa.array(["the ion"] * 1000), texts) < 1_000_000  # 3 MB of text
+    assert X.fuzzy_score.func(pa.array(["the ion", None, "a", " / "]), pa.array(["xx", "a", None, "a"])).to_pylist() == [None, None, None, 0.0]

@@ -99,3 +99,19 @@ def test_located():
     assert how == "fuzzy" and content[a:b].startswith("And then it ran") and content[a:b].rstrip(".").endswith("at night")
     assert located("nothing of this kind stands there", content)[2] == located("", content)[2] == located("x", None)[2] == "not_found"
     assert located("straße İ x", "die STRASSE... Straße İ X")[2] == "normalized"
+
+
+def test_few_characters_are_aligned_in_a_text_that_is_alike_all_over(monkeypatch):
+    from credence.functions import excerpts as E
+
+    rng = np.random.default_rng(4)
+    block = "".join(rng.choice(list("abcdefghij "), 60))
+    near = ["".join(c if rng.random() > 0.25 else "z" for c in block) for _ in range(300)]
+    text = " ".join([*near, "x" + block[1:40] + "yy" + block[42:] + "x", *near])
+    needle, (low, places) = folded(block)[0], folded(text)
+    edits, a, z = aligned(needle, low)
+    seen = []
+    plain = E._distances
+    monkeypatch.setattr(E, "_distances", lambda bits, m, part, anchored: (seen.append(len(part)), plain(bits, m, part, anchored))[1])
+    assert E.located(block, text) == (places[a + (low[a] == " ")], places[z - 1 - (low[z - 1] == " ")] + 1, "fuzzy") and 0 < edits < 6
+    assert sum(seen) < len(text) / 10

@@ -119,24 +119,51 @@ def component_metrics(selected: DataFrame, relations: DataFrame) -> DataFrame:
 def path_to_root(entries: DataFrame, leaves: DataFrame) -> DataFrame:
     """session, leaf, id, depth: each leaf's chain of parents, itself first. A parent that isn't there ends it.
 
-    entries: session, id, parent_id; leaves: session, id. By pointer doubling: after k rounds all ancestors within 2^k
-    steps are known, so a chain of any depth takes its logarithm in joins. A cycle is an error.
+    entries: session, id, parent_id; leaves: session, id. Stretches of entries whose parents are the ones before them in order of
+    ids are runs, each known by its first entry's parent. Between runs by pointer doubling: after k rounds all runs within 2^k
+    steps are known, so a chain of any depth takes the logarithm of its runs in joins of runs, and entries are joined twice.
+    An entry that is there repeatedly counts once, with all its parents. A cycle is an error.
     """
-    there = entries.select("session", F.col("id").alias("parent_id")).distinct()
-    up = cut(entries.select("session", "id", "parent_id").join(there, ["session", "parent_id"], "left_semi").select("session", "id", F.col("parent_id").alias("up")), "up")
-    path = entries.select("session", "id").distinct().join(leaves.select("session", "id"), ["session", "id"], "left_semi")
-    path, step, most = path.select("session", F.col("id").alias("leaf"), "id", F.lit(0).alias("depth")), 1, None
+    rows = cut(_runs(entries), "runs")
+    nodes = rows.filter("first").select("session", "id", "run", "at")
+    attached = nodes.select("session", F.col("id").alias("parent_id"), F.col("run").alias("to"), F.col("at").alias("to_at"))
+    # from a run's first entry to an entry of another run, so many steps up
+    up = rows.filter("at = 0 and parent_id is not null").select("session", "run", "parent_id").join(attached, ["session", "parent_id"])
+    up = cut(up.select("session", "run", "to", "to_at", F.lit(1).alias("steps")), "up")
+    path = nodes.join(leaves.select("session", "id").distinct(), ["session", "id"]).select("session", F.col("id").alias("leaf"), "run", "at", F.lit(0).alias("depth"))
+    path, step, most = cut(path, "path"), 1, None
     while True:
-        more = path.join(up, ["session", "id"]).select("session", "leaf", F.col("up").alias("id"), (F.col("depth") + step).alias("depth"))
+        more = path.join(up, ["session", "run"]).select("session", "leaf", F.col("to").alias("run"), F.col("to_at").alias("at"), (F.col("depth") + F.col("at") + F.col("steps")).alias("depth"))
         more = cut(more, "path")
         if more.isEmpty():
-            return path
-        most = entries.count() if most is None else most
+            break
+        most = rows.count() if most is None else most
         if step > most:
             raise ValueError("a cycle of parents")
         path = path.unionByName(more)
-        above = up.select("session", F.col("id").alias("up"), F.col("up").alias("above"))
-        up, step = cut(up.join(above, ["session", "up"]).select("session", "id", F.col("above").alias("up")), "up"), 2 * step
+        above = up.select("session", F.col("run").alias("to"), F.col("to").alias("above"), F.col("to_at").alias("above_at"), F.col("steps").alias("more"))
+        up = up.join(above, ["session", "to"]).select("session", "run", F.col("above").alias("to"), F.col("above_at").alias("to_at"), (F.col("steps") + F.col("to_at") + F.col("more")).alias("steps"))
+        up, step = cut(up, "up"), 2 * step
+    ends = path.select("session", "leaf", "run", F.col("at").alias("end"), "depth")
+    return nodes.join(ends, ["session", "run"]).filter("at <= end").select("session", "leaf", "id", (F.col("depth") + F.col("end") - F.col("at")).alias("depth"))
+
+
+def _runs(entries: DataFrame) -> DataFrame:
+    """session, id, parent_id, run, at (place in the run, from 0), first (false for what repeats an entry).
+
+    Rows are dealt out by ranges of ids and a run ends with its range, so no task has to see a whole session.
+    """
+    rows = entries.select("session", "id", "parent_id").filter("session is not null and id is not null")
+    rows = rows.repartitionByRange("session", "id").withColumn("part", F.spark_partition_id())
+    w = Window.partitionBy("session", "part").orderBy("id")
+    same = lambda c: F.coalesce(c == F.col("id"), F.lit(False))
+    rows = rows.withColumn("n", F.row_number().over(w)).withColumn("before", F.lag("id").over(w)).withColumn("two", F.lag("id", 2).over(w)).withColumn("after", F.lead("id").over(w))
+    rows = rows.withColumn("first", ~same(F.col("before")))
+    alone = F.col("first") & ~same(F.col("after")) & ~F.coalesce(F.col("two") == F.col("before"), F.lit(False))
+    head = F.col("first") & ~(alone & F.coalesce(F.col("parent_id") == F.col("before"), F.lit(False)))
+    rows = rows.withColumn("start", F.max(F.when(head, F.col("n"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.when(F.col("first"), F.col("n") - F.col("start")).otherwise(0)
+    return rows.select("session", "id", "parent_id", (F.shiftleft(F.col("part").cast("long"), 33) + F.col("start")).alias("run"), at.alias("at"), "first")
 
 
 def context_entries(path: DataFrame, entries: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Chunks, paths, settings and axes on small tables, against plain Python."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +38,31 @@ def test_paths_of_any_depth(spark):
         graph.path_to_root(spark.createDataFrame([("s", 0, 1), ("s", 1, 0)], "session string, id long, parent_id long"), spark.createDataFrame([("s", 0)], "session string, id long"))
 
 
+def test_paths_over_runs(spark, monkeypatch):
+    rng = random.Random(3)
+    entries = [("s", i, i - 1 if i and i % 50 else rng.randrange(i) if i else None) for i in range(1000)] + [("r", i, i + 1) for i in range(20)] + [("x", 1, None), ("x", 2, 1), ("x", 5, 2), ("x", 5, 1), ("x", 6, 5)]
+    parents = {}
+    for s, i, p in entries:
+        parents.setdefault((s, i), []).append(p)
+    leaves = [("s", 999), ("s", 999), ("s", 437), ("s", 50), ("s", 0), ("r", 0), ("x", 6), (None, 1)]
+
+    def paths(s, leaf):
+        front, out, d = [leaf], [], 0
+        while front:
+            out += [(s, leaf, i, d) for i in front]
+            front, d = [p for i in front for p in parents[s, i] if (s, p) in parents], d + 1
+        return out
+
+    written = []
+    plain = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: written.append((name, out := plain(df, name))) or out)
+    rows = spark.createDataFrame(entries, "session string, id long, parent_id long")
+    got = graph.path_to_root(rows, spark.createDataFrame(leaves, "session string, id long"))
+    assert sorted(map(tuple, got.collect())) == sorted(x for s, i in set(leaves) if s for x in paths(s, i))
+    # chains of entries aren't doubled: rounds see runs alone
+    assert all(df.count() <= 200 for name, df in written if name != "runs")
+
+
 def test_settings_in_layers(spark):
     rows = [(0, "base", "a.b", "1"), (0, "base", "a.c", "2"), (0, "base", "d", "3"), (0, "base", "e.f", "4"), (1, "user", "a.b", "5"), (1, "user", "d", None), (1, "user", "e", "6"), (2, "cli", "d.x", "7")]
     got = settings.layered(spark.createDataFrame(rows, "layer int, source string, path string, value string")).collect()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,30 +17,37 @@ SPAN = "struct<start:int,end:int,label:string,confidence:double>"
 ENTITY = "struct<start:int,end:int,surface:string,label:string,confidence:double>"
 #: Surfaces that name nothing. Fixed values.
 EMPTY_SURFACES = ("the", "a", "an", "the user", "the assistant", "the tool", "user", "assistant", "tool")
+#: Spans that a worker holds before it hands them on; those of one text stay together.
+PIECE = 50_000
 
 
 def by_patterns(patterns: Sequence[tuple[str, str, float]]) -> Callable[[Column], Column]:
     """An extractor of all matches of (pattern, label, confidence), with offsets in characters; a null text gives null."""
     compiled = [(re.compile(p), label, float(c)) for p, label, c in patterns]
 
-    # Spans stay Arrow columns: as Python objects those of one batch of texts would fill an executor.
+    # Spans stay Arrow columns and leave in pieces: those of one batch of texts would fill an executor, the more as Python objects.
     @F.arrow_udf(f"array<{SPAN}>")
-    def found(texts: pa.Array) -> pa.Array:
-        starts, ends, kinds, bounds = array("i"), array("i"), array("i"), array("i", [0])
-        for t in texts:
-            text = t.as_py() or ""
-            for k, (p, _, _) in enumerate(compiled):
-                for m in p.finditer(text):
-                    if m.group():
-                        starts.append(m.start())
-                        ends.append(m.end())
-                        kinds.append(k)
-            bounds.append(len(starts))
-        kind = pa.array(kinds, pa.int32())
-        label = pa.array([x for _, x, _ in compiled], pa.string()).take(kind)
-        sure = pa.array([c for _, _, c in compiled], pa.float64()).take(kind)
-        values = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), label, sure], ["start", "end", "label", "confidence"])
-        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values, mask=texts.is_null())
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            at = 0
+            starts, ends, kinds, bounds = array("i"), array("i"), array("i"), array("i", [0])
+            for i, t in enumerate(texts, 1):
+                text = t.as_py() or ""
+                for k, (p, _, _) in enumerate(compiled):
+                    for m in p.finditer(text):
+                        if m.group():
+                            starts.append(m.start())
+                            ends.append(m.end())
+                            kinds.append(k)
+                bounds.append(len(starts))
+                if len(starts) >= PIECE or i == len(texts):
+                    kind = pa.array(kinds, pa.int32())
+                    label = pa.array([x for _, x, _ in compiled], pa.string()).take(kind)
+                    sure = pa.array([c for _, _, c in compiled], pa.float64()).take(kind)
+                    values = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), label, sure], ["start", "end", "label", "confidence"])
+                    yield pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values, mask=texts[at:i].is_null())
+                    at = i
+                    starts, ends, kinds, bounds = array("i"), array("i"), array("i"), array("i", [0])
 
     return found
 
@@ -67,6 +74,20 @@ def _settled(spans: list[dict], text: str, merge: bool) -> list[dict]:
     return list(first.values())
 
 
+def _in_pieces(lists: Iterable[list[dict]]) -> Iterator[pa.Array]:
+    """Lists of entities as Arrow arrays of some PIECE of them."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string()), ("label", pa.string()), ("confidence", pa.float64())]))
+    held, size = [], 0
+    for x in lists:
+        held.append(x)
+        size += len(x) + 1
+        if size >= PIECE:
+            yield pa.array(held, kind)
+            held, size = [], 0
+    if held:
+        yield pa.array(held, kind)
+
+
 def extracted(texts: DataFrame, methods: Sequence[Callable], fallback: Sequence[Callable] = (), least: float = 0.5, labels: Sequence[str] | None = None, merge: bool = True) -> DataFrame:
     """texts with `entities`, an array of ENTITY in text order. texts: text_id, text.
 
@@ -89,10 +110,8 @@ def extracted(texts: DataFrame, methods: Sequence[Callable], fallback: Sequence[
     wanted = F.filter(spans, lambda s: (s["confidence"] >= least) & (F.lit(True) if labels is None else F.upper(s["label"]).isin([x.upper() for x in labels])))
 
     @F.arrow_udf(f"array<{ENTITY}>")
-    def settled(spans: pa.Array, texts: pa.Array) -> pa.Array:
-        # One text's spans are Python objects at a time.
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string()), ("label", pa.string()), ("confidence", pa.float64())]))
-        done = [pa.array([_settled(s.as_py() or [], t.as_py() or "", merge)], kind) for s, t in zip(spans, texts)]
-        return pa.concat_arrays(done) if done else pa.array([], kind)
+    def settled(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for spans, texts in batches:
+            yield from _in_pieces(_settled(s.as_py() or [], t.as_py() or "", merge) for s, t in zip(spans, texts))
 
     return rows.withColumn("entities", settled(wanted, F.col("text"))).select(*texts.columns, "entities")

@@ -6,6 +6,7 @@ import os
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,18 @@ def test_entities(spark):
     free = entities.extracted(df, [pairs, words], merge=False).collect()
     assert {r["text_id"]: len(r["entities"]) for r in free}[1] == len({(m.lower()) for m in re.findall("[A-Z][a-z]+", texts[0][1])} - {"the"}) + 2
     assert entities.extracted(df, [], [low]).count() == 5 and entities.extracted(df.limit(0), [pairs]).count() == 0
+
+
+def test_entities_leave_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(entities, "PIECE", 50)
+    texts = ["Ada Eve " * 10, None, "", "x", "Bob " * 120] * 40
+    found = entities.by_patterns([("[A-Z][a-z]+", "Word", 0.7), ("[a-z]", "low", 0.1)])
+    whole = [None if t is None else [(m.start(), m.end(), k) for p, k in (("[A-Z][a-z]+", "Word"), ("[a-z]", "low")) for m in re.finditer(p, t)] for t in texts]
+    pieces = list(found.func(iter([pa.array(texts[:7]), pa.array([], pa.string()), pa.array(texts[7:])])))
+    assert [None if x is None else [(s["start"], s["end"], s["label"]) for s in x] for p in pieces for x in p.to_pylist()] == whole
+    assert max(len(p.flatten()) for p in pieces) < 50 + 360 and len(pieces) > 40  # a text's spans stay together
+    pieces = list(entities._in_pieces([{"start": 0, "end": 1, "surface": "A", "label": "x", "confidence": 1.0}] * n for n in (20, 0, 40, 3, 0) * 9))
+    assert [n for p in pieces for n in map(len, p.to_pylist())] == [20, 0, 40, 3, 0] * 9 and max(len(p.flatten()) for p in pieces) < 50 + 40
+    df = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string").repartition(2)
+    got = {r["text_id"]: [(e["start"], e["surface"]) for e in r["entities"]] for r in entities.extracted(df, [lambda t: found(F.when(t != "x", t))], [found], least=0.05).collect()}
+    assert got == {i: {"A": [(0, "Ada"), (4, "Eve")], "B": [(0, "Bob")], "x": [(0, "x")]}.get((t or "")[:1], []) for i, t in enumerate(texts)}

@@ -25,10 +25,17 @@ from credence.operators.metric import MOST_TASKS, _runs
 TILE, TILE_SETS, STRIP, CHUNK = 1 << 22, 1 << 16, 1 << 18, 1 << 19
 #: Counts of members are kept by so many hashes. They only order the members.
 COUNTED = 1 << 20
+#: Rows of a table of numbers that is broadcast, at most.
+SMALL = 1 << 20
 #: Least hashes of a set: bands, and hashes of a band.
 BANDS, WIDTH = 8, 8
 
 
+def _small(written: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(written) if written.count() <= SMALL else written
+
+
 def _slices(batch: pa.RecordBatch, column: str):
     """The batch in pieces of STRIP values of a list column or so."""
     ends = np.cumsum(batch.column(column).value_lengths().to_numpy(zero_copy_only=False))
@@ -100,11 +107,12 @@ def _indexed(hashed: DataFrame, threshold: float) -> DataFrame:
                 new = np.append(True, cell[1:] != cell[:-1])
                 mins = np.zeros((len(x), BANDS * WIDTH), np.uint64)
                 mins[cell[new] >> 6, cell[new] & 63] = least[new] & np.uint64((1 << 48) - 1)
-                band = np.zeros((len(x), BANDS), np.uint64)
+                none, band = (mins.reshape(len(x), BANDS, WIDTH) == 0).all(2), np.tile(np.arange(BANDS, dtype=np.uint64), (len(x), 1))
                 for k in range(WIDTH):
                     band = (band ^ mins[:, k::WIDTH]) * np.uint64(0xD6E8FEB86659FD93)
                     band ^= band >> np.uint64(32)
                 lists = lambda lengths, values: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(values))
+                band[none] = 0
                 columns = [pa.array(kind), lists(taken, first), sketch, lists(np.full(len(x), BANDS), band.view(np.int64).ravel())]
                 yield pa.RecordBatch.from_arrays([*(x.column(c) for c in kept), *columns], schema.names)
 
@@ -140,9 +148,9 @@ class _Tile:
             self.sorted[smaller, unsettled] = self.whole if keep.all() else (key[keep], owner[keep], place[keep])
         return self.sorted[smaller, unsettled]
 
-    def met(self, asks: pa.RecordBatch, smaller: bool, unsettled: bool):
-        """Pairs (place in asks, place here) that neither sizes, nor places of a shared member, nor sketches rule out."""
-        row, n, other = (asks.column(c).to_numpy(zero_copy_only=False) for c in ("row", "n", "other"))
+    def met(self, asks: pa.RecordBatch, smaller: bool, unsettled: bool, own: bool):
+        """Pairs (place in asks, place here) that neither sizes, nor places of a shared member, nor sketches rule out. own: asks are of this tile."""
+        row, n = (asks.column(c).to_numpy(zero_copy_only=False) for c in ("row", "n"))
         lengths, values = _flat(asks.column("first"))
         key, owner, place = self.members(smaller, unsettled)
         order = np.argsort(values.view(np.uint32))
@@ -162,8 +170,10 @@ class _Tile:
             theirs = self.n[y]
             ok = np.minimum(np.repeat(left[a:z], k), theirs - place[i]) >= self.shared * (n[x] + theirs) - 1e-6
             x, y = x[ok], y[ok]
-            ok = other[x] | (row[x] < self.row[y])
-            found.append(np.unique(x[ok] * len(self.row) + y[ok]))
+            if own:
+                ok = row[x] < self.row[y]
+                x, y = x[ok], y[ok]
+            found.append(np.unique(x * len(self.row) + y))
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         x, y = pairs // len(self.row), pairs % len(self.row)
         mine, width = _words(asks.column("sketch")), self.sketch.shape[1]
@@ -180,40 +190,55 @@ def _met(index: DataFrame, threshold: float) -> DataFrame:
     tiles = index.groupBy("block", "class").agg(F.sum(F.size("first")).alias("members"), F.count("*").alias("n"))
     tiles = cut(tiles.withColumn("tiles", F.ceil(F.greatest(F.col("members") / TILE, F.col("n") / TILE_SETS))).drop("n"), "tiles")
     tasks = tiles.agg(F.coalesce(F.ceil(F.sum(F.col("members") * F.col("tiles")) / STRIP), F.lit(1))).first()[0]
-    tiles = tiles.drop("members")
-    held = index.join(tiles, ["block", "class"]).withColumn("tile", F.pmod(F.xxhash64("row"), F.col("tiles"))).withColumns({"side": F.lit(0), "other": F.lit(False)})
+    tiles = _small(tiles.drop("members"))
+    held = index.join(tiles, ["block", "class"]).withColumn("tile", F.pmod(F.xxhash64("row"), F.col("tiles"))).withColumn("side", F.lit(0))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    own = held.withColumnRenamed("tile", "mine").withColumn("tile", each).filter((F.col("mine") == F.col("tile")) | ((F.col("mine") < F.col("tile")) == ((F.col("mine") + F.col("tile")) % 2 == 0)))
-    own = own.withColumns({"side": F.lit(1), "other": F.col("mine") != F.col("tile")})
-    larger = index.withColumn("class", F.col("class") - 1).join(tiles, ["block", "class"]).withColumn("tile", each).withColumns({"side": F.lit(2), "other": F.lit(True)})
+    same = held.filter("tiles > 1").withColumnRenamed("tile", "mine").withColumn("tile", each).filter((F.col("mine") != F.col("tile")) & ((F.col("mine") < F.col("tile")) == ((F.col("mine") + F.col("tile")) % 2 == 0))).withColumn("side", F.lit(1))
+    larger = index.withColumn("class", F.col("class") - 1).join(tiles, ["block", "class"]).withColumn("tile", each).withColumn("side", F.lit(2))
     keys = ["block", "class", "tile"]
-    columns = [*keys, "side", "other", "row", "n", "settled", "first", "sketch"]
-    both = held.select(columns).unionByName(own.select(columns)).unionByName(larger.select(columns))
+    columns = [*keys, "side", "row", "n", "settled", "first", "sketch"]
+    both = held.select(columns).unionByName(same.select(columns)).unionByName(larger.select(columns))
     least = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = both.repartition(max(least, min(tasks, MOST_TASKS)), *keys).sortWithinPartitions(*keys, "side", "settled")
 
+    def met(tile, piece, smaller, own):
+        for asks in _slices(piece, "first"):
+            x, y = tile.met(asks, smaller, piece.column("settled")[0].as_py(), own)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([asks.column("row").take(pa.array(x)), pa.array(tile.row[y])], ["i", "j"])
+
     def run(batches):
         now, parts, tile = None, [], None
+
+        def among(parts):
+            for p in parts:
+                yield from met(tile, p, False, True)
+
         for batch in batches:
             for piece in _runs(batch, [*keys, "side", "settled"]):
                 key, side = tuple(piece.column(c)[0].as_py() for c in keys), piece.column("side")[0].as_py()
+                if parts and tile is None and (key != now or side > 0):
+                    tile = _Tile(parts, threshold)
+                    yield from among(parts)
                 if key != now:
                     now, parts, tile = key, [], None
                 if side == 0:
                     parts.append(piece)
                 elif parts:
-                    tile = tile or _Tile(parts, threshold)
-                    for asks in _slices(piece, "first"):
-                        x, y = tile.met(asks, side == 2, piece.column("settled")[0].as_py())
-                        if len(x):
-                            yield pa.RecordBatch.from_arrays([asks.column("row").take(pa.array(x)), pa.array(tile.row[y])], ["i", "j"])
+                    yield from met(tile, piece, side == 2, False)
+        if parts and tile is None:
+            tile = _Tile(parts, threshold)
+            yield from among(parts)
 
     return dealt.mapInArrow(run, "i long, j long")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """block, row, seq of the later of each pair (i, j) that is alike. sets: block, row, seq, t, n."""
-    side = lambda c, s: sets.select(F.col("row").alias(c), *(F.col(x).alias(f"{x}{s}") for x in ("block", "seq", "t", "n")))
+    pairs = cut(pairs, "pairs")
+    asked = cut(pairs.select(F.col("i").alias("row")).unionByName(pairs.select(F.col("j").alias("row"))).distinct(), "asked")
+    few = cut(sets.select("block", "row", "seq", "t", "n").join(_small(asked), "row", "left_semi"), "few")
+    side = lambda c, s: few.select(F.col("row").alias(c), *(F.col(x).alias(f"{x}{s}") for x in ("block", "seq", "t", "n")))
     met = pairs.join(side("i", 1), "i").join(side("j", 2), "j").filter("seq1 <> seq2").withColumn("c", F.size(F.array_intersect("t1", "t2")))
     alike = met.filter(F.col("c") >= F.lit(Decimal(str(threshold))) * (F.col("n1") + F.col("n2") - F.col("c")))
     return alike.select(F.col("block1").alias("block"), F.when(F.col("seq1") > F.col("seq2"), F.col("i")).otherwise(F.col("j")).alias("row"), F.greatest("seq1", "seq2").alias("seq"))
@@ -221,9 +246,11 @@ def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def _settled(index: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """block, row, seq of sets that are like the earliest one of a band of theirs."""
-    bands = index.select("block", "row", "seq", F.posexplode("bands").alias("band", "key")).filter("key <> 0")
-    least = bands.groupBy("block", "band", "key").agg(F.min_by("row", "seq").alias("j"), F.count("*").alias("of")).filter("of > 1").drop("of")
-    pairs = bands.join(least, ["block", "band", "key"]).filter("row <> j").select(F.col("row").alias("i"), "j").distinct()
+    bands = index.select("block", "row", "seq", "n", F.explode("bands").alias("key")).filter("key <> 0")
+    least = bands.groupBy("block", "key").agg(F.min_by(F.struct("row", "n"), "seq").alias("least"), F.count("*").alias("of")).filter("of > 1")
+    sized = F.least("n", "least.n") >= threshold * F.greatest("n", "least.n") - F.lit(1e-6)
+    pairs = bands.drop("seq").join(least.drop("of"), ["block", "key"]).filter((F.col("row") != F.col("least.row")) & sized)
+    pairs = pairs.select(F.col("row").alias("i"), F.col("least.row").alias("j")).distinct()
     return _alike(pairs, sets, threshold).distinct()
 
 
@@ -235,11 +262,11 @@ def like_an_earlier_one(sets: DataFrame, threshold: float) -> DataFrame:
     whole = sets.filter("block is not null and seq is not null").withColumn("t", F.sort_array("t"))
     whole = whole.select("block", "seq", "t", F.size("t").cast("long").alias("n"), F.unhex(F.sha2(F.concat_ws("\x00", "t"), 256)).alias("same"))
     whole = cut(whole.withColumn("row", F.monotonically_increasing_id()), "sets").filter("n > 0")  # not before, where it would make the members twice
-    least = cut(whole.groupBy("block", "same").agg(F.min("seq").alias("least"), F.min_by("row", "seq").alias("row")), "least")
-    copies = whole.select("block", "same", "seq").join(least.drop("row"), ["block", "same"]).filter("seq > least").select("block", "seq")
-    index = cut(_indexed(whole.select("block", "row", "seq", "n", F.transform("t", lambda w: F.xxhash64(w)).alias("h")), threshold), "index")
-    index = index.join(least.select("row"), "row")
+    least = whole.groupBy("block", "same").agg(F.min("seq").alias("least"), F.min_by("row", "seq").alias("first"))
+    copies = cut(whole.select("block", "same", "seq", "row").join(least, ["block", "same"]).filter("row <> first").select("block", "seq", "row", (F.col("seq") > F.col("least")).alias("later")), "copies")
+    index = _indexed(whole.select("block", "row", "seq", "n", F.transform("t", lambda w: F.xxhash64(w)).alias("h")), threshold)
+    index = cut(index.join(_small(copies.select("row")), "row", "left_anti"), "index")
     settled = cut(_settled(index, whole, threshold), "settled")
-    known = index.drop("bands", "seq").join(settled.select("row", F.lit(True).alias("settled")), "row", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    known = index.drop("bands", "seq").join(_small(settled.select("row").distinct()).withColumn("settled", F.lit(True)), "row", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
     later = settled.unionByName(_alike(_met(known, threshold), whole, threshold)).select("block", "seq")
-    return later.unionByName(copies).distinct()
+    return later.unionByName(copies.filter("later").select("block", "seq")).distinct()
